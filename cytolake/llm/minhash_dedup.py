@@ -6,9 +6,10 @@ candidate's similarity is estimated from the bit counts of their differences, co
 passes (well below the threshold, so that no link is lost to the estimate) is confirmed on the full sets of both texts.
 
 With 56 bands of 6 rows a pair at similarity 0.8 shares no band with probability 4e-8. Equal sets are collapsed first.
-Then every bucket links its members to its smallest one (a star), best estimates first, and components are found;
-buckets whose members ended in one component need no further pairs. All pairs that are left across components of a
-bucket are tested too, so none is skipped, yet a large group of near copies never writes out its square.
+In each of a few rounds every bucket names one member by hash, each other member takes the likeliest of those that its
+buckets name, these pairs are confirmed, and components are found; a bucket whose members are all in one component
+needs no further pairs. At last all likely pairs that are left across components of a bucket are confirmed too, so none
+is skipped, yet a large group of near copies never writes out its square.
 
 Empty and null texts have no shingles and are linked with nothing; shorter texts than a shingle are one shingle. Rows
 that share a doc_id are one vertex (their links are joined). Rows with a null doc_id take no part and are kept.
@@ -27,7 +28,7 @@ from . import tokens
 from .common import cut
 from .components import components
 
-ROWS, BANDS, BITS, MARGIN = 6, 56, 2, 0.15
+ROWS, BANDS, BITS, MARGIN, ROUNDS = 6, 56, 2, 0.15, 4
 _SKETCH = "_id long, n_shingles long, _s1 long, _s2 long, _bands array<long>, _sig array<long>"
 _CHUNK = 512
 
@@ -140,7 +141,7 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, bits: int = BITS, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, bits: int = BITS, margin: float = MARGIN, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: n_shingles, component_id (the smallest doc_id reachable) and kept."""
     n = rows * bands
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
@@ -151,51 +152,60 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     rep = F.when(F.col("n_shingles") > 0, F.col("rep"))
     classed = cut(sketched.select("_id", "n_shingles", "_s1", "_s2").join(classes, ["_s1", "_s2"], "left").select("_id", "n_shingles", rep.alias("_rep")))
     keyed = reps.select("_id", F.explode("_bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("_id").alias("center"), F.max("_id").alias("_far")).filter("center < _far").select("key", "center")
-    buckets = cut(keyed.join(shared, "key").select("key", F.col("_id").alias("id"), "center"))
+    shared = keyed.groupBy("key").agg(F.min("_id").alias("_near"), F.max("_id").alias("_far")).filter("_near < _far").select("key")
+    buckets = cut(keyed.join(shared, "key").select("key", F.col("_id").alias("id")))
     needed = buckets.select(F.col("id").alias("_id")).distinct()
     held = cut(source.join(needed, "_id", "left_semi"))
     sigs = cut(reps.select("_id", "_sig").join(needed, "_id", "left_semi"))
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    def scored(pairs: DataFrame) -> DataFrame:
         x = sigs.select(F.col("_id").alias("a"), F.col("_sig").alias("_x"))
         y = sigs.select(F.col("_id").alias("b"), F.col("_sig").alias("_y"))
-        scored = pairs.join(x, "a").join(y, "b").withColumn("est", estimate(F.col("_x"), F.col("_y"), n, bits))
-        return scored.filter(F.col("est") >= percent / 100 - margin).select("a", "b", "est")
+        return pairs.join(x, "a").join(y, "b").withColumn("est", estimate(F.col("_x"), F.col("_y"), n, bits)).drop("_x", "_y")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = held.select(F.col("_id").alias("a"), F.col("text").alias("_ta"))
         y = held.select(F.col("_id").alias("b"), F.col("text").alias("_tb"))
         return cut(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_confirm(width, percent), "a long, b long"))
 
-    stars = cut(likely(buckets.filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()))
-    first = stars.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-    # an id that repeats with other texts ties their classes together
+    # an id that repeats with other texts ties its classes together
     ties = classed.filter("_rep <> _id").select(F.col("_id").alias("a"), F.col("_rep").alias("b")).join(own.select(F.col("_id").alias("a")), "a", "left_semi")
-    links = confirmed(first).unionByName(ties)
-    tested = first.select("a", "b")
+    links, tested = cut(ties), None
     labels = components(links)
-    for turn in ("stars", "all"):
-        named = buckets.join(labels.select("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    least = percent / 100 - margin
+
+    def open_buckets() -> DataFrame:
+        """Members, with components, of buckets that still hold two components or more."""
+        named = buckets.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         split = named.groupBy("key").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).filter("_c1 < _c2").select("key")
-        named = named.join(split, "key")
-        if turn == "stars":
-            comp = labels.select(F.col("id").alias("b"), F.col("comp").alias("_cb"))
-            rest = stars.select("a", "b").join(labels.select(F.col("id").alias("a"), F.col("comp").alias("_ca")), "a", "left").join(comp, "b", "left")
-            rest = rest.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
-        else:
-            open_ = cut(named.select("key", "id", "comp"))
-            other = open_.select("key", F.col("id").alias("b"), F.col("comp").alias("_cb"))
-            rest = open_.withColumnRenamed("id", "a").join(other, "key").filter("comp < _cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            rest = likely(rest.join(tested, ["a", "b"], "left_anti")).select("a", "b")
-        rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
-        if rest.isEmpty():
+        return named.join(split, "key")
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+
+    for turn in range(rounds):
+        named = cut(open_buckets())
+        if named.isEmpty():
+            break
+        center = named.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64(F.lit(turn), "id")).alias("_c"))
+        stars = named.join(center, "key").filter("comp <> _c.comp").select("id", F.greatest("id", "_c.id").alias("a"), F.least("id", "_c.id").alias("b")).distinct()
+        best = scored(fresh(stars)).filter(F.col("est") >= least).groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("_p"))
+        pairs = cut(best.select("_p.*").distinct())
+        if pairs.isEmpty():
             continue
-        tested = tested.unionByName(rest)
-        more = confirmed(rest)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        more = confirmed(pairs)
+        links = links.unionByName(more)
+        labels = components(links)
+    # what is left across components of a bucket: all of it, the estimate being part of the join
+    named = open_buckets().join(sigs.select(F.col("_id").alias("id"), "_sig"), "id")
+    other = named.select("key", F.col("id").alias("b"), F.col("comp").alias("_cb"), F.col("_sig").alias("_y"))
+    named = named.select(F.col("key").alias("_k"), F.col("id").alias("a"), "comp", "_sig")
+    near = (F.col("_k") == F.col("key")) & (F.col("comp") < F.col("_cb")) & (estimate(F.col("_sig"), F.col("_y"), n, bits) >= least)
+    rest = named.join(other, near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = cut(fresh(rest))
+    if not rest.isEmpty():
+        labels = components(links.unionByName(confirmed(rest)))
     vertex = classed.join(labels.select(F.col("id").alias("_rep"), "comp"), "_rep", "left")
     done = F.when(F.col("_id").isNotNull(), F.coalesce("comp", "_rep", "_id"))
     return vertex.select(F.col("_id").alias("doc_id"), "n_shingles", done.alias("component_id"), F.coalesce(F.col("_id") == done, F.lit(True)).alias("kept"))
