@@ -67,7 +67,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Chunk lattices in flat arrays: arcs of a node lie together, ``cum`` is the node number plus their running probability."""
+    """Chunk lattices in flat arrays: arcs of a node lie together, ``cum`` is their running probability, 1 at the last."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], theta: float):
         self.table = {s: (i, -theta * log(rank + 1)) for i, (s, rank, _) in enumerate(pieces) if s}
@@ -75,7 +75,9 @@ class Lattices:
         self.floor = -theta * log(len(pieces) + 1)
         self.longest = max(map(len, self.table))
         self.surface = surfaces(pieces)
-        self.single = {s for s in self.table if len(s) == 1}
+        self.simple = np.zeros(0x110000, bool)  # characters that are pieces; a space stands for its mark, the mark itself does not
+        self.simple[[ord(c) for c in self.table if len(c) == 1]] = True
+        self.simple[ord(" ")], self.simple[ord(_MARK)] = _MARK in self.table, False
         weight = np.full(len(pieces), exp(self.floor))
         by_length: dict[int, list[str]] = {}
         for s, (i, logw) in self.table.items():
@@ -88,7 +90,9 @@ class Lattices:
             at = np.arange(len(names)) * n
             h = (sums[at + n] - sums[at]) * inverse[at]
             order = np.argsort(h)
-            self.known[n] = (h[order], np.array([self.table[x][0] for x in names], np.int32)[order])
+            coarse = np.zeros(1 << 16, bool)
+            coarse[h >> np.uint64(48)] = True
+            self.known[n] = (h[order], np.array([self.table[x][0] for x in names], np.int32)[order], coarse)
         self.clear()
 
     @staticmethod
@@ -105,7 +109,7 @@ class Lattices:
         self._new()
         self.n_arcs = self.n_nodes = 0
         size = 1 << 16
-        self.cum, self.logp = np.zeros(size), np.zeros(size)
+        self.cum, self.logp, self.rest = np.zeros(size), np.zeros(size), np.zeros(size)
         self.piece, self.next, self.node = (np.zeros(size, np.int32) for _ in range(3))
         self.low = np.zeros(size, np.int32)
         self.root = np.zeros(size, np.int32)
@@ -124,12 +128,12 @@ class Lattices:
         run = 0.0
         for (piece, _, nxt), w in zip(options, weights, strict=True):
             run += w
-            self._cum.append(node + run / whole)
+            self._cum.append(run / whole)
             self._logp.append(log(max(w / whole, 1e-300)))
             self._piece.append(piece)
             self._next.append(nxt)
             self._node.append(node)
-        self._cum[-1] = node + 1.0
+        self._cum[-1] = 1.0
         self.n_arcs += len(options)
         return node, top + log(whole)
 
@@ -154,6 +158,13 @@ class Lattices:
             nodes[at], sums[at] = self._append(options)
         return nodes[0]
 
+    def _sorted_out(self, chunks: list[str]) -> tuple[list[str], list[str]]:
+        """Short chunks whose characters are all pieces, and the others."""
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        ok = np.logical_and.reduceat(self.simple[code], np.cumsum(sizes) - sizes) & (sizes <= _SHORT)
+        return [c for c, x in zip(chunks, ok, strict=True) if x], [c for c, x in zip(chunks, ok, strict=True) if not x]
+
     def _build_many(self, chunks: list[str]) -> None:
         """Lattices of short chunks whose characters are all pieces, in one go; nodes in order of characters left."""
         sums, inverse = self._hashed("".join(chunks).replace(" ", _MARK))
@@ -162,11 +173,14 @@ class Lattices:
         n = int(ends[-1])
         left = np.repeat(ends, sizes) - np.arange(n)
         where, length, piece = [], [], []
-        for size, (keys, numbers) in sorted(self.known.items()):
+        for size, (keys, numbers, coarse) in sorted(self.known.items()):
             at = np.flatnonzero(left >= size)
+            h = (sums[at + size] - sums[at]) * inverse[at]
+            if size > 2:
+                some = coarse[h >> np.uint64(48)]
+                at, h = at[some], h[some]
             if not len(at):
                 continue
-            h = (sums[at + size] - sums[at]) * inverse[at]
             q = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[q] == h
             where.append(at[hit])
@@ -189,13 +203,16 @@ class Lattices:
             whole = np.add.reduceat(value, first[lo:hi] - a)
             beta[where[first[lo:hi]]] = whole
             share[a:b] = value / np.repeat(whole, count[lo:hi])
-        run = np.cumsum(share)
         node = self.n_nodes + np.repeat(np.arange(len(first)), count)
-        cum = node + (run - np.repeat(run[first] - share[first], count))
-        cum[first + count - 1] = self.n_nodes + np.arange(len(first)) + 1.0
+        cum = share.copy()  # added up arc by arc, so that it depends on the chunk alone
+        for k in range(1, int(count.max())):
+            at = first[count > k] + k
+            cum[at] += cum[at - 1]
+        cum[first + count - 1] = 1.0
         nxt = np.where(length == rest, -1, node_of[np.minimum(where + length, n - 1)])
         self._store("cum", self.n_arcs, cum)
         self._store("logp", self.n_arcs, np.log(np.maximum(share, 1e-300)))
+        self._store("rest", self.n_arcs, _others(share))
         for name, values in (("piece", piece), ("next", nxt), ("node", node)):
             self._store(name, self.n_arcs, values)
         self._store("low", self.n_nodes, self.n_arcs + first)
@@ -218,9 +235,7 @@ class Lattices:
         if self.n_arcs > _ARCS:
             self.clear()
             fresh = chunks
-        plain, odd = [], []
-        for c in sorted(fresh):
-            (plain if len(c) <= _SHORT and _MARK not in c and self.single.issuperset(c.replace(" ", _MARK)) else odd).append(c)
+        plain, odd = self._sorted_out(list(fresh))
         if plain:
             with np.errstate(over="ignore"):
                 self._build_many(plain)
@@ -229,6 +244,7 @@ class Lattices:
         for c in odd:
             self._root.append(self._build(c))
             self.index[c] = len(self.index)
+        self._store("rest", before, _others(np.exp(np.array(self._logp, float))))
         for name, at in (("cum", before), ("logp", before), ("piece", before), ("next", before), ("node", before), ("low", first), ("root", count)):
             self._store(name, at, getattr(self, "_" + name))
         self.low[self.n_nodes] = self.n_arcs
@@ -242,12 +258,11 @@ class Lattices:
         items, arcs, step = [], [], 0
         while len(active):
             u = _unit(seeds[active] + np.uint64((step + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-            goal = np.minimum(node + u, np.nextafter(node + 1.0, 0.0))
             arc = self.low[node].astype(np.int64)
-            behind = np.flatnonzero(cum[arc] <= goal)  # the last arc of a node reaches beyond every goal
+            behind = np.flatnonzero(cum[arc] <= u)  # the last arc of a node reaches beyond every number
             while len(behind):
                 arc[behind] += 1
-                behind = behind[cum[arc[behind]] <= goal[behind]]
+                behind = behind[cum[arc[behind]] <= u[behind]]
             items.append(active)
             arcs.append(arc)
             node = self.next[arc]
@@ -267,22 +282,40 @@ def _truncated(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
         return -np.logaddexp(-top, np.log(-np.log(u)) - phi)
 
 
+def _others(p: np.ndarray) -> np.ndarray:
+    """log(1 - p): the weight of an arc's siblings; minus infinity where it has none."""
+    return np.where(p < 1.0 - 1e-12, np.log1p(-np.minimum(p, 1.0 - 1e-12)), -np.inf)
+
+
+#: -log(-log u) is below this for every number that ``_unit`` gives.
+_TOP = 37.0
+
+
 class _Path:
+    """A sampled path, and for its steps the largest perturbed value among the step's siblings.
+
+    A step's value is below its prefix's log-probability plus ``_TOP``, and prefixes only lose, so steps past the place
+    where that falls below the ``k`` + 1 largest values so far are never drawn: they can neither be chosen nor be the
+    threshold.
+    """
+
     __slots__ = ("arcs", "items", "before", "values", "log_prob", "top", "banned")
 
-    def __init__(self, lattices: Lattices, arcs: np.ndarray, items: np.ndarray, top: float, after: int, seed: np.uint64):
+    def __init__(self, lattices: Lattices, arcs: np.ndarray, items: np.ndarray, top: float, after: int, seed: np.uint64, k: int):
         self.arcs, self.items, self.top, self.banned = arcs, items, top, {}
-        own = lattices.logp[arcs]
-        sums = np.cumsum(own)
+        sums = np.cumsum(lattices.logp[arcs])
         self.log_prob = float(sums[-1]) if len(sums) else 0.0
-        self.before = sums - own
-        self.values = np.full(len(arcs), -np.inf)
-        if after < len(arcs):
-            p = np.exp(own[after:])
-            several = p < 1.0 - 1e-12  # steps without siblings have nothing to give
-            u = _unit(seed + (np.arange(after, len(arcs), dtype=np.uint64) + np.uint64(1)) * np.uint64(_G))
-            phi = self.before[after:] + np.log1p(-np.where(several, p, 0.5))
-            self.values[after:] = np.where(several, _truncated(phi, top, u), -np.inf)
+        self.before = np.concatenate([[0.0], sums[:-1]])
+        self.values = np.full(after, -np.inf)
+        at, more = after, 160
+        while at < len(arcs):
+            if len(self.values) - after > k and self.before[at] + _TOP < np.partition(self.values[after:], -k - 1)[-k - 1]:
+                break
+            end = min(len(arcs), at + more)
+            u = _unit(seed + (np.arange(at, end, dtype=np.uint64) + np.uint64(1)) * np.uint64(_G))
+            phi = self.before[at:end] + lattices.rest[arcs[at:end]]
+            self.values = np.concatenate([self.values, _truncated(phi, top, u)])
+            at, more = end, 2 * more
 
 
 def _segmentations(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[list[_Path]]:
@@ -302,7 +335,7 @@ def _segmentations(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: i
 
     with np.errstate(over="ignore"):
         tops = -np.log(-np.log(_unit(seeds + np.uint64(3))))
-        found = [[_Path(lattices, a, i, float(top), 0, mix(np.array([s + np.uint64(5)]))[0])] for (i, a), top, s in zip(sampled(roots, [0] * len(texts), 1), tops, seeds, strict=True)]
+        found = [[_Path(lattices, a, i, float(top), 0, mix(np.array([s + np.uint64(5)]))[0], k)] for (i, a), top, s in zip(sampled(roots, [0] * len(texts), 1), tops, seeds, strict=True)]
         for turn in range(2, k + 1):
             chosen, starts, firsts = [], [], []
             for d, paths in enumerate(found):
@@ -336,7 +369,7 @@ def _segmentations(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: i
                 path, t, arc, value = one
                 whole = np.concatenate([path.arcs[:t], [arc], arcs]).astype(np.int64)
                 at = np.concatenate([path.items[: t + 1], items])
-                found[d].append(_Path(lattices, whole, at, value, t + 1, mix(np.array([seeds[d] + np.uint64(turn * 13)]))[0]))
+                found[d].append(_Path(lattices, whole, at, value, t + 1, mix(np.array([seeds[d] + np.uint64(turn * 13)]))[0], k))
     return found
 
 
