@@ -40,24 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, without its lineage.
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written as Parquet to the cluster's shared folder and read back: no lineage, and true sizes for the planner.
 
-    The folder is ``spark.checkpoint.dir``; where that is unset (tests), a temporary one.
+    The folder is ``spark.checkpoint.dir``; where that is unset (tests), a temporary one. Loops need the true sizes: a
+    checkpoint keeps the size estimate of its plan, a product over joins that grows with every round.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the same shared folder and read back: smaller than a checkpoint where rows hold texts."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/cytolake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -26,3 +26,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = stepped.select("id", "comp")
         if done:
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) for every id of ``labels``, after more links between ids of it; only what they change is worked on."""
+    comp = lambda side: labels.select(F.col("id").alias(side), F.col("comp").alias("_" + side))
+    between = cut(links.join(comp("a"), "a").join(comp("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b"))
+    if between.isEmpty():
+        return cut(labels)
+    change = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("_new"))
+    return cut(labels.join(change, "comp", "left").select("id", F.coalesce("_new", "comp").alias("comp")))

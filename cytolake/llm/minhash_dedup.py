@@ -8,8 +8,9 @@ passes (well below the threshold, so that no link is lost to the estimate) is co
 With 56 bands of 6 rows a pair at similarity 0.8 shares no band with probability 4e-8. Equal sets are collapsed first.
 In each of a few rounds every bucket names one member by hash, each other member takes the likeliest of those that its
 buckets name, these pairs are confirmed, and components are found; a bucket whose members are all in one component
-needs no further pairs. At last all likely pairs that are left across components of a bucket are confirmed too, so none
-is skipped, yet a large group of near copies never writes out its square.
+needs no further pairs. At last all pairs that are left across components of a bucket are confirmed too, but for those
+whose sizes, less the shingles that no other such document has, cannot reach the threshold: none is skipped that could
+be a link, yet a large group of near copies never writes out its square.
 
 Empty and null texts have no shingles and are linked with nothing; shorter texts than a shingle are one shingle. Rows
 that share a doc_id are one vertex (their links are joined). Rows with a null doc_id take no part and are kept.
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import cut
-from .components import components
+from .components import merged
 
-ROWS, BANDS, BITS, MARGIN, ROUNDS = 6, 56, 2, 0.15, 4
+ROWS, BANDS, BITS, MARGIN, ROUNDS = 6, 56, 2, 0.15, 2
 _SKETCH = "_id long, n_shingles long, _s1 long, _s2 long, _bands array<long>, _sig array<long>"
 _CHUNK = 512
 
@@ -111,6 +112,17 @@ def _sketch(width: int, rows: int, bands: int, bits: int):
     return run
 
 
+def _shingle_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("_id").to_numpy(zero_copy_only=False)
+            for i, s in zip(ids, _sets(b.column("text"), width), strict=True):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64))], names=["_id", "_sh"])
+
+    return run
+
+
 def estimate(a: Column, b: Column, n: int, bits: int) -> Column:
     """Similarity from packed signatures: lanes that agree, less those expected to agree by chance."""
     lanes = sum(1 << (k * bits) for k in range(64 // bits))
@@ -156,7 +168,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     buckets = cut(keyed.join(shared, "key").select("key", F.col("_id").alias("id")))
     needed = buckets.select(F.col("id").alias("_id")).distinct()
     held = cut(source.join(needed, "_id", "left_semi"))
-    sigs = cut(reps.select("_id", "_sig").join(needed, "_id", "left_semi"))
+    sigs = cut(reps.select("_id", "_sig", "n_shingles").join(needed, "_id", "left_semi"))
 
     def scored(pairs: DataFrame) -> DataFrame:
         x = sigs.select(F.col("_id").alias("a"), F.col("_sig").alias("_x"))
@@ -170,23 +182,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
 
     # an id that repeats with other texts ties its classes together
     ties = classed.filter("_rep <> _id").select(F.col("_id").alias("a"), F.col("_rep").alias("b")).join(own.select(F.col("_id").alias("a")), "a", "left_semi")
-    links, tested = cut(ties), None
-    labels = components(links)
+    labels = merged(needed.unionByName(ties.select(F.col("a").alias("_id"))).unionByName(ties.select(F.col("b").alias("_id"))).distinct().select(F.col("_id").alias("id"), F.col("_id").alias("comp")), ties)
     least = percent / 100 - margin
+    tested = None
 
     def open_buckets() -> DataFrame:
         """Members, with components, of buckets that still hold two components or more."""
-        named = buckets.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        named = buckets.join(labels, "id")
         split = named.groupBy("key").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).filter("_c1 < _c2").select("key")
-        return named.join(split, "key")
+        return cut(named.join(split, "key"))
 
     def fresh(pairs: DataFrame) -> DataFrame:
         return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
+    named = open_buckets()
     for turn in range(rounds):
-        named = cut(open_buckets())
-        if named.isEmpty():
-            break
         center = named.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64(F.lit(turn), "id")).alias("_c"))
         stars = named.join(center, "key").filter("comp <> _c.comp").select("id", F.greatest("id", "_c.id").alias("a"), F.least("id", "_c.id").alias("b")).distinct()
         best = scored(fresh(stars)).filter(F.col("est") >= least).groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("_p"))
@@ -194,18 +204,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        more = confirmed(pairs)
-        links = links.unionByName(more)
-        labels = components(links)
-    # what is left across components of a bucket: all of it, the estimate being part of the join
-    named = open_buckets().join(sigs.select(F.col("_id").alias("id"), "_sig"), "id")
-    other = named.select("key", F.col("id").alias("b"), F.col("comp").alias("_cb"), F.col("_sig").alias("_y"))
-    named = named.select(F.col("key").alias("_k"), F.col("id").alias("a"), "comp", "_sig")
-    near = (F.col("_k") == F.col("key")) & (F.col("comp") < F.col("_cb")) & (estimate(F.col("_sig"), F.col("_y"), n, bits) >= least)
-    rest = named.join(other, near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        labels = merged(labels, confirmed(pairs))
+        named = open_buckets()
+    # What is left across components of a bucket: all of it. Shingles that no other open document has can't be shared, so
+    # sizes without them bound the similarity; that bound and the estimate are part of the join.
+    inside = named.select(F.col("id").alias("_id")).distinct()
+    shingled = held.join(inside, "_id", "left_semi").mapInArrow(_shingle_rows(width), "_id long, _sh long")
+    lone = shingled.groupBy("_sh").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id")).filter("_n = 1").groupBy("_id").agg(F.count(F.lit(1)).alias("_u"))
+    sizes = sigs.select("_id", "_sig", "n_shingles").join(lone, "_id", "left").select(F.col("_id").alias("id"), "_sig", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("_u", F.lit(0))).alias("m"))
+    full = cut(named.join(sizes, "id"))
+    x = full.select(F.col("key").alias("_k"), F.col("id").alias("a"), F.col("comp").alias("_ca"), F.col("_sig").alias("_x"), F.col("n").alias("_na"), F.col("m").alias("_ma"))
+    y = full.select("key", F.col("id").alias("b"), F.col("comp").alias("_cb"), F.col("_sig").alias("_y"), F.col("n").alias("_nb"), F.col("m").alias("_mb"))
+    shared_most = F.least("_ma", "_mb")
+    near = (F.col("_k") == F.col("key")) & (F.col("_ca") < F.col("_cb")) & (100 * shared_most >= percent * (F.col("_na") + F.col("_nb") - shared_most))
+    rest = x.join(y, near & (estimate(F.col("_x"), F.col("_y"), n, bits) >= least)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = cut(fresh(rest))
     if not rest.isEmpty():
-        labels = components(links.unionByName(confirmed(rest)))
+        labels = merged(labels, confirmed(rest))
     vertex = classed.join(labels.select(F.col("id").alias("_rep"), "comp"), "_rep", "left")
     done = F.when(F.col("_id").isNotNull(), F.coalesce("comp", "_rep", "_id"))
     return vertex.select(F.col("_id").alias("doc_id"), "n_shingles", done.alias("component_id"), F.coalesce(F.col("_id") == done, F.lit(True)).alias("kept"))
