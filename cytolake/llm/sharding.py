@@ -50,9 +50,9 @@ def propagate(cells: DataFrame, quota: DataFrame, rounds: int = ROUNDS) -> DataF
         rank = F.struct((F.col("members") - F.when(F.col("room") > 0, 0).otherwise(F.lit(1 << 40))).alias("m"), F.pmod(_hash("hub", "shard"), F.lit(1 << 20)).alias("h"), F.col("shard").alias("shard"), F.col("room").alias("room"))
         best = open_.groupBy("hub").agg(F.max(rank).alias("best"), F.max("members").alias("most"))
         asks = (
-            cells.join(best, "hub").filter("shard <> best.shard AND best.room > 0 AND best.m > 0")
+            cells.join(best, "hub").filter("shard <> best.shard AND best.room > 0 AND members <= best.m")
             .select("hub", "shard", "members", F.col("best.shard").alias("target"), F.col("best.room").alias("room"), F.col("best.m").alias("pull"))
-            # a smaller cell never draws a larger one that stands in a full shard back and forth: only as many as fit move
+            # never towards a smaller cell: the sum of squares grows with every move, so none goes back and forth
         )
         # strong pulls first; within a pull in hash order. The running sum is taken in two steps, so that no task holds a shard.
         asks = asks.withColumn("_b", F.least(F.lit(63), F.floor(F.log2(F.col("pull").cast("double"))).cast("int")) * -8 + F.pmod(_hash("hub"), F.lit(8)).cast("int"))

@@ -7,7 +7,8 @@ probability among all ways to finish. The ``k`` segmentations with the largest G
 found by a best-first (A-star) search whose bound is exact: a prefix's perturbed maximum. Going down one sampled path,
 all siblings of a step share one lazily drawn maximum, truncated at the path's own value; the largest of them is
 expanded next. The results are distinct, and each has the probability that a top-k sample holds it, given the next
-value: 1 - exp(-exp(log p - threshold)), or 1 if there is no further segmentation.
+value: 1 - exp(-exp(log p - threshold)), or 1 if there is no further segmentation; its logarithm is given too, as long
+texts have one that no double holds.
 
 All random numbers are hashes of (seed, row key, sample, chunk, step), so a row's samples depend on the row alone: not
 on batches, partitions or retries; rows that repeat a doc_id and text get the same samples. Null and empty texts have
@@ -37,7 +38,7 @@ _ARCS = 4_000_000
 _SHORT = 60
 _MARK = "▁"
 _G = 0x9E3779B97F4A7C15
-_OUT = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean"
+_OUT = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, inclusion double, log_inclusion double, round_trip boolean"
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -321,9 +322,9 @@ class _Path:
 def _segmentations(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[list[_Path]]:
     """The sampled paths of each text, best first; ``paths[-1].values`` and the others' hold what is left."""
     chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-    lattices.learn({c for cs in chunks for c in cs})
+    lattices.learn(set().union(*chunks))
     index = lattices.index
-    roots = [lattices.root[np.fromiter((index[c] for c in cs), np.int64, len(cs))] for cs in chunks]
+    roots = [lattices.root[np.array(list(map(index.__getitem__, cs)), np.int64)] for cs in chunks]
 
     def sampled(starts: list[np.ndarray], firsts: list[int], turn: int) -> list[tuple[np.ndarray, np.ndarray]]:
         sizes = [len(s) for s in starts]
@@ -398,18 +399,20 @@ def _encode(vocabulary, k: int, theta: float, seed: int):
                 key = np.array([(i or 0) & 0xFFFFFFFFFFFFFFFF for i in ids[at:end]], np.uint64)
                 with np.errstate(over="ignore"):
                     seeds = mix(mix(key + np.uint64(seed)) ^ np.uint64(_G))
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(9)]
                 for doc, text, paths in zip(ids[at:end], part, _segmentations(lattices, part, seeds, k), strict=True):
                     threshold = max(float(p.values.max()) if len(p.values) else -np.inf for p in paths)
                     raw = (" " + text).encode("utf-8", "surrogatepass") if text else b""
                     for n, p in enumerate(paths):
                         pieces = lattices.piece[p.arcs]
-                        inclusion = 1.0 if threshold == -np.inf else -float(np.expm1(-np.exp(min(p.log_prob - threshold, 700.0))))
+                        over = p.log_prob - threshold
+                        inclusion = 1.0 if threshold == -np.inf else -float(np.expm1(-np.exp(min(over, 700.0))))
+                        log_inclusion = over if over < -30 else log(inclusion)
                         same = b"".join(map(lattices.surface.__getitem__, pieces.tolist())) == raw
-                        for c, v in zip(cols, (doc, n + 1, pieces, len(pieces), p.log_prob, p.top, inclusion, same), strict=True):
+                        for c, v in zip(cols, (doc, n + 1, pieces, len(pieces), p.log_prob, p.top, inclusion, log_inclusion, same), strict=True):
                             c.append(v)
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-                names = ["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip"]
+                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+                names = ["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "log_inclusion", "round_trip"]
                 flat = np.concatenate([np.zeros(0, np.int32), *cols[2]]).astype(np.int32)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in cols[2]])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -391,7 +392,7 @@ def test_sentencepiece_round_trip(spark, corpus):
         if i is not None and i != 72:
             assert len({tuple(r.ids) for r in own}) == len(own) and sorted(r.sample for r in own) == list(range(1, len(own) + 1))
             ordered = sorted(own, key=lambda r: r.sample)
-            assert all(a.perturbed >= b.perturbed for a, b in zip(ordered, ordered[1:])) and all(0 < r.inclusion <= 1 for r in own)
+            assert all(a.perturbed >= b.perturbed for a, b in zip(ordered, ordered[1:])) and all(0 <= r.inclusion <= 1 and math.isfinite(r.log_inclusion) and r.log_inclusion <= 0 for r in own)
             assert len(own) == (3 if len(t or "") > 3 else 1) or i in (62, 63, 64, 65, 66, 67)
     assert len({tuple(r.ids) for r in by[72]}) == 3 and len(by[72]) == 6  # repeated rows: the same samples twice
     texts = dict((i, t or "") for i, t in corpus if i is not None)
