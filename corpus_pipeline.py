@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; chunks of lines that the corpus repeats stay with their first owner only."""
+    """All documents; runs of two lines or more that the corpus repeats stay at their first place only."""
     return deduped(docs)
 
 

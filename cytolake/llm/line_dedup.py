@@ -1,14 +1,20 @@
-"""Line dedup by content-defined chunks of lines.
-
-The lines of a text are hashed; a rolling (cyclic polynomial) hash over the last ``window`` line hashes ends a chunk
-wherever it is 0 modulo ``divisor``, so boundaries depend on nearby lines only and survive shifts. A chunk of two lines
-or more that the corpus holds in other places too is removed everywhere but at its owner: the document with the
-smallest id, and there its first place.
-
-Native: DataFrame functions only. Chunk texts are counted by (hash, bytes), which combines copies before the shuffle,
-so bytes are compared for every chunk; only then do light (hash, document, place) rows meet the owners. A hash under
-which two different texts meet is left alone. Nulls stay null, a text that loses all its chunks becomes empty, lines
-shared singly stay, and rows that share a doc_id count as one document; rows without a doc_id are returned unchanged.
+"""Line dedup: repeated runs of two lines or more, whole (``run_dedup``), or content-defined chunks of lines (``line_dedup``).
+
+``run_dedup``, which the query and the pipeline use: a line is removed where it stands in a run of two lines or more
+that begins at an earlier place too, places going by doc_id, then by line. Such a run is a chain of pairs of lines, each
+with an earlier place of its own, so pairs are all that has to meet, and every repeated run goes whole whatever
+surrounds it. The first place of any line is never removed, and within a document a pair that overlaps its own first
+place is no repeat. Empty lines are lines.
+
+``line_dedup`` removes chunks instead, and so only part of a repeated run. The lines of a text are hashed; a rolling
+(cyclic polynomial) hash over the last ``window`` line hashes ends a chunk wherever it is 0 modulo ``divisor``, so
+boundaries depend on nearby lines only and survive shifts. A chunk of two lines or more that the corpus holds in other
+places too is removed everywhere but at its owner: the document with the smallest id, and there its first place.
+
+Native: DataFrame functions only. Light (hash, document, place) rows meet; then bytes are compared, of every chunk or of
+every pair that shares its hash. A hash under which two different texts meet is left alone. Nulls stay null, a text that
+loses all its lines becomes empty, lines shared singly stay, and rows that share a doc_id count as one document; rows
+without a doc_id are returned unchanged.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cut, let
 
 WINDOW, DIVISOR, LEAST_LINES = 2, 3, 2
 
@@ -92,11 +98,61 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) ->
     return done.select(*[fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns], F.struct("_d.n_lines", "_d.n_lines_removed", "_d.n_chunks_removed").alias("_dedup"))
 
 
+def _pairs(lines: Column) -> Column:
+    """Hash of every two lines that follow each other, by the place of the first."""
+    return let(
+        F.transform(lines, lambda x: F.xxhash64(x)),
+        lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, k: F.xxhash64(x, F.get(h, k + 1))),
+    )
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def run_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated runs of lines taken out of ``text``; ``n_chars`` follows. Adds struct ``_dedup``: lines before, lines and runs removed."""
+    pairs = docs.select(F.col("doc_id").alias("_id"), F.posexplode(_pairs(_lines(F.col("text")))).alias("_k", "_h")).filter("_id IS NOT NULL")
+    owners = pairs.groupBy("_h").agg(F.min(F.struct("_id", "_k")).alias("_o"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h", "_o")
+    later = (F.col("_id") > F.col("_o._id")) | (F.col("_k") > F.col("_o._k") + 1)  # within a document, places that overlap the first are no repeat of it
+    marks = pairs.join(owners, "_h").select("_id", F.struct("_k", "_h", later.alias("_later")).alias("_mark"))
+    marks = marks.groupBy("_id").agg(F.collect_set("_mark").alias("_marks"))  # a document's own pairs at most
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    held = cut(rows.join(marks, "_id", "left").select("_row", "_marks"), "lines")
+    # rows that share a doc_id may differ in text: a mark counts where the row has that pair at that place
+    own = lambda lines, more: let(_pairs(lines), lambda p: F.filter("_marks", lambda m: (F.get(p, m["_k"]) == m["_h"]) & more(m)))
+    texts = held.filter("_marks IS NOT NULL").select(
+        F.explode(let(_lines(F.col("_row.text")), lambda x: F.transform(own(x, lambda m: F.lit(True)), lambda m: F.struct(m["_h"].alias("_h"), F.concat_ws("\n", F.slice(x, m["_k"] + 1, 2)).alias("_text"))))).alias("_p")
+    )
+    shared = texts.select("_p.*").groupBy("_h", "_text").agg(F.lit(1).alias("_one")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    clashes = shared.agg(F.collect_list("_h").alias("_clashes"))  # hashes of 64 bits under which two texts meet: none, or a handful
+    left = let(
+        _lines(F.col("_row.text")),
+        lambda x: let(
+            F.array_distinct(F.flatten(F.transform(own(x, lambda m: m["_later"] & ~F.array_contains("_clashes", m["_h"])), lambda m: F.array(m["_k"], m["_k"] + 1)))),
+            lambda gone: F.struct(
+                F.concat_ws("\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda k: F.get(x, k))).alias("text"),
+                F.size(x).cast("long").alias("n_lines"),
+                F.size(gone).cast("long").alias("n_lines_removed"),
+                F.size(F.array_except(gone, F.transform(gone, lambda k: k + 1))).cast("long").alias("n_chunks_removed"),
+            ),
+        ),
+    )
+    whole = F.struct(
+        F.col("_row.text").alias("text"), F.size(F.split(F.coalesce(F.col("_row.text"), F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.lit(0).cast("long").alias("n_lines_removed"), F.lit(0).cast("long").alias("n_chunks_removed"),
+    )
+    done = held.crossJoin(F.broadcast(clashes)).select("_row", F.when(F.col("_marks").isNull(), whole).otherwise(left).alias("_d"))  # one row
+    text = F.when(F.col("_d.n_lines_removed") > 0, F.col("_d.text")).otherwise(F.col("_row.text"))
+    fresh = {"text": text, "n_chars": F.length(text).cast("long")}
+    return done.select(*[fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns], F.struct("_d.n_lines", "_d.n_lines_removed", "_d.n_chunks_removed").alias("_dedup"))
+
+
 def deduped(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of their texts, and no column more."""
-    return line_dedup(docs).drop("_dedup")
+    """``docs`` with repeated runs of lines taken out of their texts, and no column more."""
+    return run_dedup(docs).drop("_dedup")
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, counts, and the text that is left."""
-    return line_dedup(docs.select("doc_id", "text")).select("doc_id", "_dedup.*", "text")
+    return run_dedup(docs.select("doc_id", "text")).select("doc_id", "_dedup.*", "text")

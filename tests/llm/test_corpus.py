@@ -487,3 +487,40 @@ def test_pipeline_stages(spark, corpus, tmp_path):
             assert docs.columns == before.columns
     assert counts[0] >= counts[2] > 0 and counts[1] == counts[0]
     assert c.run(spark, str(tmp_path)).count() == counts[-1]
+
+
+def brute_runs(rows):
+    """Lines that stand in a run of two lines or more with an earlier place, by comparing all places."""
+    lines = {i: (t or "").split("\n") for i, t in rows}
+    places = [(i, k) for i in sorted(lines) for k in range(len(lines[i]))]
+    out = {}
+    for n, (i, k) in enumerate(places):
+        for j, m in places[:n]:
+            length = 0
+            while k + length < len(lines[i]) and m + length < len(lines[j]) and (i != j or m + length < k) and lines[i][k + length] == lines[j][m + length]:
+                length += 1
+            if length >= 2:
+                out.setdefault(i, set()).update(range(k, k + length))
+    return {i: "\n".join(x for k, x in enumerate(own) if k not in out.get(i, ())) for i, own in lines.items()}
+
+
+def test_line_runs(spark, corpus):
+    """Every repeated run goes whole, whatever its length and surroundings."""
+    from cytolake.llm.line_dedup import deduped, line_dedup_report
+
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in dict(r for r in corpus if r[0] is not None).items()]
+    for n in (2, 3, 5, 8, 12):
+        block = [" ".join(prose(rng, 6)) for _ in range(n)]
+        for i in range(6):
+            rows.append((100 + 10 * n + i, "\n".join([" ".join(prose(rng, 5)) for _ in range(3)] + block + [" ".join(prose(rng, 5)) for _ in range(3)])))
+    rows += [(300, "a\na\na"), (301, "x\ny\nx\ny\nx\ny"), (302, "p\nq\nr"), (303, "q\nr\ns"), (304, "r\ns\nt"), (305, "alone\nv"), (306, "w\nalone"), (307, "b\nb\nb\nb\nb"), (308, "p\nq\n"), (309, "p\nq\n")]
+    want = brute_runs(rows)
+    got = {r.doc_id: r for r in line_dedup_report(frame(spark, rows, extra=True)).collect()}
+    assert {i: (r.text or "") for i, r in got.items()} == want and got[61].text is None
+    for n in (2, 3, 5, 8, 12):
+        assert all(got[100 + 10 * n + i].n_lines_removed == n and got[100 + 10 * n + i].n_chunks_removed == 1 for i in range(1, 6))
+    assert got[300].text == "a\na\na" and got[305].n_lines_removed == got[306].n_lines_removed == 0
+    same = deduped(frame(spark, corpus + [(400, "m\nn"), (401, "k\nm\nn"), (401, "z\nz1\nz2"), (None, "m\nn")], extra=True)).collect()
+    assert sorted(r.text for r in same if r.doc_id == 401) == ["k", "z\nz1\nz2"] and "m\nn" in [r.text for r in same if r.doc_id is None]
+    assert len(same) == len(corpus) + 4 and all(r.n_chars == len(r.text) for r in same if r.text is not None)
