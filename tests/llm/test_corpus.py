@@ -524,3 +524,42 @@ def test_line_runs(spark, corpus):
     same = deduped(frame(spark, corpus + [(400, "m\nn"), (401, "k\nm\nn"), (401, "z\nz1\nz2"), (None, "m\nn")], extra=True)).collect()
     assert sorted(r.text for r in same if r.doc_id == 401) == ["k", "z\nz1\nz2"] and "m\nn" in [r.text for r in same if r.doc_id is None]
     assert len(same) == len(corpus) + 4 and all(r.n_chars == len(r.text) for r in same if r.text is not None)
+
+
+def verified(x, y):
+    import pyarrow as pa
+
+    from cytolake.llm.substring_dedup import _verify
+
+    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [0], "_from": [0], "_part": [" ".join(x)], "text": [" ".join(y)]})
+    return sorted(tuple(r.values()) for out in _verify(5, 46, 0.8)(iter([batch])) for r in out.to_pylist())
+
+
+def test_passages_swapped_and_scattered():
+    """Exact passages that adjoin in a copy and stand in another order, apart or beside repeats in the owner; and a copy with insertions."""
+    words = (f"w{k}" for k in itertools.count())
+    fresh = lambda n: list(itertools.islice(words, n))
+    a, b, c = fresh(60), fresh(60), fresh(64)
+    cases = {
+        "swapped": (a + b, b + fresh(150) + a, [(0, 60), (60, 120)]),
+        "apart": (a + b, a + fresh(300) + b, [(0, 60), (60, 120)]),
+        "three": (a + b + c, c + fresh(200) + a + fresh(90) + b, [(0, 60), (60, 120), (120, 184)]),
+        "phrase first": (a + b, a[10:24] + fresh(100) + b + fresh(80) + a[10:24] + fresh(5) + a, [(0, 60), (60, 120)]),
+        "inserted": (a[:30] + fresh(3) + a[30:], a, [(0, 63)]),
+    }
+    for name, (x, y, want) in cases.items():
+        got = verified(x, y)
+        assert [r[2:4] for r in got] == want, (name, got)
+        for _, _, lo, hi, p, q, n, score in got:
+            u, v = ({tuple(z[k : k + 5]) for k in range(len(z) - 4)} for z in (x[lo:hi], y[p:q]))
+            assert score >= 0.8 and n == hi - lo and abs(len(u & v) / len(u | v) - score) < 1e-9
+
+
+def test_passages_in_any_order():
+    rng = random.Random(9)
+    for _ in range(60):
+        words = (f"w{k}" for k in itertools.count())
+        blocks = [list(itertools.islice(words, rng.randint(54, 90))) for _ in range(4)]
+        y = [w for z in rng.sample(blocks, 4) for w in z + list(itertools.islice(words, rng.randint(0, 120)))]
+        covered = {k for r in verified(sum(blocks, []), y) for k in range(r[2], r[3])}
+        assert len(covered) == sum(map(len, blocks))
