@@ -563,3 +563,34 @@ def test_passages_in_any_order():
         y = [w for z in rng.sample(blocks, 4) for w in z + list(itertools.islice(words, rng.randint(0, 120)))]
         covered = {k for r in verified(sum(blocks, []), y) for k in range(r[2], r[3])}
         assert len(covered) == sum(map(len, blocks))
+
+
+def split_hubs(spark, sizes, n_shards):
+    """Documents in equal-text groups of the given sizes: how many groups are cut, after a look at the quotas."""
+    from cytolake.llm.sharding import shard_rows
+
+    rows = [(n, f"group {g}") for n, g in enumerate(g for g, k in enumerate(sizes) for _ in range(k))]
+    got = shard_rows(frame(spark, rows), n_shards).collect()
+    load, where = Counter(r.shard for r in got), defaultdict(set)
+    assert len(got) == len(rows) and max(load.values()) - min(load[s] for s in range(n_shards)) <= 1
+    for r in got:
+        where[r.text_crc32].add(r.shard)
+    return sum(len(z) > 1 for z in where.values())
+
+
+def test_shards_without_room(spark):
+    """Every text has a copy, or all but a few: no room to move in, yet hubs stay together."""
+    assert split_hubs(spark, [2] * 160, 8) == 0
+    assert split_hubs(spark, [3, 2, 4, 2, 3] * 20 + [1] * 4, 8) <= 7
+
+
+def test_swaps_unite(spark):
+    from cytolake.llm.sharding import propagate
+
+    quota = spark.createDataFrame([(0, 8), (1, 8)], "shard int, quota long")
+    crossed = [(1, 0, 5), (1, 1, 2), (2, 0, 2), (2, 1, 5), (3, 0, 1), (4, 1, 1)]
+    got = propagate(spark.createDataFrame(crossed, "hub long, shard int, members long"), quota).collect()
+    assert {r.hub: (r.shard, r.members) for r in got} == {1: (0, 7), 2: (1, 7), 3: (0, 1), 4: (1, 1)} and len(got) == 4
+    for_whole = [(1, 0, 5), (1, 1, 3), (2, 0, 3), (3, 1, 5)]
+    got = propagate(spark.createDataFrame(for_whole, "hub long, shard int, members long"), quota).collect()
+    assert {r.hub: (r.shard, r.members) for r in got} == {1: (0, 8), 2: (1, 3), 3: (1, 5)} and len(got) == 3
