@@ -412,12 +412,12 @@ def ag20_excluded_score(t):
 @query()
 def st12_neighbourhood_test(t):
     n = t.neighbours()
-    return r6(spatial.neighbourhood_test(spatial.edges(n), n, iterations=50), "observed", "score")
+    return r6(spatial.neighbourhood_test(spatial.edges(n), n), "observed", "score")
 
 
 @query()
 def st11_ternary_test(t):
-    return r6(spatial.ternary_test(t.cells(), "0", "1", "2", iterations=20), "observed", "zscore")
+    return r6(spatial.ternary_test(t.cells(), "0", "1", "2"), "observed", "zscore")
 
 
 # ---- images -------------------------------------------------------------------------------------------------------

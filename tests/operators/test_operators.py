@@ -302,3 +302,24 @@ def test_registry_runs_and_imports_without_the_corpus(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 70
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, operator", [("st12_neighbourhood_test", "neighbourhood_test"), ("st11_ternary_test", "ternary_test")])
+def test_permutation_queries_run_all_shuffles(spark, monkeypatch, name, operator):
+    """The registered queries make as many shuffles as the operators do by default."""
+    import inspect
+
+    from cytolake.operators import spatial
+    from cytolake.plans import registry
+
+    class Seen(Exception):
+        pass
+
+    def permuted(cells, iterations, *rest):
+        raise Seen(iterations)
+
+    want = inspect.signature(getattr(spatial, operator)).parameters["iterations"].default
+    monkeypatch.setattr(spatial, "permuted", permuted)
+    with pytest.raises(Seen) as seen:
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen.value.args == (want,) and want >= 100
