@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,15 +41,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. In local mode alone a temporary one will do."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir is unset: steps need a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written as Parquet to the cluster's shared folder and read back: no lineage, and true sizes for the planner.
 
-    The folder is ``spark.checkpoint.dir``; where that is unset (tests), a temporary one. Loops need the true sizes: a
-    checkpoint keeps the size estimate of its plan, a product over joins that grows with every round.
+    Loops need the true sizes: a checkpoint keeps the size estimate of its plan, a product over joins that grows with
+    every round.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/cytolake-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cytolake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

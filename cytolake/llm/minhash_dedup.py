@@ -9,11 +9,16 @@ With 56 bands of 6 rows a pair at similarity 0.8 shares no band with probability
 In each of a few rounds every bucket names one member by hash, each other member takes the likeliest of those that its
 buckets name, these pairs are confirmed, and components are found; a bucket whose members are all in one component
 needs no further pairs. At last all pairs that are left across components of a bucket are confirmed too, but for those
-whose sizes, less the shingles that no other such document has, cannot reach the threshold: none is skipped that could
-be a link, yet a large group of near copies never writes out its square.
-
-Empty and null texts have no shingles and are linked with nothing; shorter texts than a shingle are one shingle. Rows
-that share a doc_id are one vertex (their links are joined). Rows with a null doc_id take no part and are kept.
+that a bound on their difference rules out: each document has a bitmap of the parities of its hashed shingles, and bits
+in which two bitmaps differ are shingles that only one of both has. Two sets at the threshold differ in a known share
+of their sizes at most, so no link is ever ruled out, while documents that share a template or a passage and no more
+never leave the join: what it gives are links, and the few pairs that miss one by a hair.
+
+Empty and null texts have no shingles and are linked with nothing; shorter texts than a shingle are one shingle. Long
+texts are read whole; the bitmaps of the longest are folded, which rules out less and loses nothing. Rows that share a
+doc_id are one vertex (their links are joined). Rows with a null doc_id take no part and are kept. Of rows with equal
+sets the smallest doc_id stands for all; an empty table gives an empty result, and no column but doc_id and text counts,
+whatever its name.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from .components import merged
 ROWS, BANDS, BITS, MARGIN, ROUNDS = 6, 56, 2, 0.15, 2
 _SKETCH = "_id long, n_shingles long, _s1 long, _s2 long, _bands array<long>, _sig array<long>"
 _CHUNK = 512
+#: Bits of a bitmap for each shingle, and longs of a bitmap at most.
+_BITS_EACH, _LONGS = 8, 64
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -112,17 +119,35 @@ def _sketch(width: int, rows: int, bands: int, bits: int):
     return run
 
 
-def _shingle_rows(width: int):
+def parities(values: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, in a power of two of longs; half as many longs are the two halves' exclusive or."""
+    longs = min(_LONGS, 1 << max(0, (-(-_BITS_EACH * len(values) // 64) - 1).bit_length()))
+    odd = np.bincount((tokens.mix(values) & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _bitmaps(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("_id").to_numpy(zero_copy_only=False)
-            for i, s in zip(ids, _sets(b.column("text"), width), strict=True):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s.view(np.int64))], names=["_id", "_sh"])
+            maps = [parities(s) for s in _sets(b.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(maps, pa.list_(pa.int64()))], names=["_id", "_map"])
 
     return run
 
 
+def apart(x: Column, y: Column) -> Column:
+    """Shingles that two sets do not share, at least: the bits in which their bitmaps differ, in the width of the narrower."""
+    narrow = F.least(F.size(x), F.size(y))
+
+    def folded(z: Column) -> Column:
+        halves = F.zip_with(F.slice(z, 1, narrow), F.slice(z, narrow + 1, narrow), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(z) == narrow, z).otherwise(halves)
+
+    # sets whose sizes are within a factor of two have bitmaps within one of two
+    bits = F.aggregate(F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * narrow, bits).otherwise(F.lit(0))
+
+
 def estimate(a: Column, b: Column, n: int, bits: int) -> Column:
     """Similarity from packed signatures: lanes that agree, less those expected to agree by chance."""
     lanes = sum(1 << (k * bits) for k in range(64 // bits))
@@ -161,8 +186,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     classes = cut(sketched.filter("n_shingles > 0 AND _id IS NOT NULL").groupBy("_s1", "_s2").agg(F.min("_id").alias("rep")))
     own = classes.withColumnRenamed("rep", "_id")
     reps = sketched.filter("n_shingles > 0").join(own, ["_id", "_s1", "_s2"], "left_semi")
-    rep = F.when(F.col("n_shingles") > 0, F.col("rep"))
-    classed = cut(sketched.select("_id", "n_shingles", "_s1", "_s2").join(classes, ["_s1", "_s2"], "left").select("_id", "n_shingles", rep.alias("_rep")))
+    some = sketched.select("_id", "n_shingles", "_s1", "_s2").filter("n_shingles > 0")
+    classed = cut(some.join(classes, ["_s1", "_s2"], "left").select("_id", "n_shingles", F.col("rep").alias("_rep")))
     keyed = reps.select("_id", F.explode("_bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("_id").alias("_near"), F.max("_id").alias("_far")).filter("_near < _far").select("key")
     buckets = cut(keyed.join(shared, "key").select("key", F.col("_id").alias("id")))
@@ -206,22 +231,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = merged(labels, confirmed(pairs))
         named = open_buckets()
-    # What is left across components of a bucket: all of it. Shingles that no other open document has can't be shared, so
-    # sizes without them bound the similarity; that bound and the estimate are part of the join.
+    # What is left across components of a bucket: all of it. Sizes, the estimate and the bitmaps are part of the join.
     inside = named.select(F.col("id").alias("_id")).distinct()
-    shingled = held.join(inside, "_id", "left_semi").mapInArrow(_shingle_rows(width), "_id long, _sh long")
-    lone = shingled.groupBy("_sh").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id")).filter("_n = 1").groupBy("_id").agg(F.count(F.lit(1)).alias("_u"))
-    sizes = sigs.select("_id", "_sig", "n_shingles").join(lone, "_id", "left").select(F.col("_id").alias("id"), "_sig", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("_u", F.lit(0))).alias("m"))
-    full = cut(named.join(sizes, "id"))
-    x = full.select(F.col("key").alias("_k"), F.col("id").alias("a"), F.col("comp").alias("_ca"), F.col("_sig").alias("_x"), F.col("n").alias("_na"), F.col("m").alias("_ma"))
-    y = full.select("key", F.col("id").alias("b"), F.col("comp").alias("_cb"), F.col("_sig").alias("_y"), F.col("n").alias("_nb"), F.col("m").alias("_mb"))
-    shared_most = F.least("_ma", "_mb")
-    near = (F.col("_k") == F.col("key")) & (F.col("_ca") < F.col("_cb")) & (100 * shared_most >= percent * (F.col("_na") + F.col("_nb") - shared_most))
-    rest = x.join(y, near & (estimate(F.col("_x"), F.col("_y"), n, bits) >= least)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    maps = held.join(inside, "_id", "left_semi").mapInArrow(_bitmaps(width), "_id long, _map array<long>")
+    sizes = sigs.join(maps, "_id").select(F.col("_id").alias("id"), "_sig", F.col("n_shingles").alias("n"), "_map")
+    full = cut(named.join(cut(sizes), "id"))
+    x = full.select(F.col("key").alias("_k"), F.col("id").alias("a"), F.col("comp").alias("_ca"), F.col("_sig").alias("_x"), F.col("n").alias("_na"), F.col("_map").alias("_ma"))
+    y = full.select("key", F.col("id").alias("b"), F.col("comp").alias("_cb"), F.col("_sig").alias("_y"), F.col("n").alias("_nb"), F.col("_map").alias("_mb"))
+    near = (F.col("_k") == F.col("key")) & (F.col("_ca") < F.col("_cb")) & (100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
+    close = (100 + percent) * apart(F.col("_ma"), F.col("_mb")) <= (100 - percent) * (F.col("_na") + F.col("_nb"))
+    rest = x.join(y, near & (estimate(F.col("_x"), F.col("_y"), n, bits) >= least) & close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = cut(fresh(rest))
     if not rest.isEmpty():
         labels = merged(labels, confirmed(rest))
-    vertex = classed.join(labels.select(F.col("id").alias("_rep"), "comp"), "_rep", "left")
+    vertex = classed.join(labels.select(F.col("id").alias("_rep"), "comp"), "_rep", "left").select("_id", "n_shingles", "_rep", "comp")
+    empty = sketched.filter("n_shingles = 0").select("_id", "n_shingles", F.lit(None).cast("long").alias("_rep"), F.lit(None).cast("long").alias("comp"))
+    vertex = vertex.unionByName(empty)  # these join nothing
     done = F.when(F.col("_id").isNotNull(), F.coalesce("comp", "_rep", "_id"))
     return vertex.select(F.col("_id").alias("doc_id"), "n_shingles", done.alias("component_id"), F.coalesce(F.col("_id") == done, F.lit(True)).alias("kept"))
 
@@ -229,9 +254,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id, with its own columns.
 
-    Of rows that repeat a kept doc_id one stays. Rows with a null doc_id all stay.
+    Rows that repeat a kept doc_id stay where their texts differ; of those that repeat its text too one stays, the same
+    one in every run. Rows with a null doc_id all stay.
     """
     kept = near_duplicates(docs, **how).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    some = rows.join(kept, "_id", "left_semi").dropDuplicates(["_id"])
-    return some.select("_row.*").unionByName(docs.filter("doc_id IS NULL"))
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    some = rows.join(kept, "_id", "left_semi").withColumn("_sha", F.sha2(F.encode(text, "UTF-8"), 256))
+    one = some.groupBy("_id", "_sha").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return one.select("_row.*").unionByName(docs.filter("doc_id IS NULL"))
