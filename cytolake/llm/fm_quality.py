@@ -5,8 +5,10 @@ repetition, as one feature per bin) and the length; labels, language, source and
 w0 + sum w x + 1/2 sum_f ((sum v x)^2 - sum v^2 x^2): all pairwise interactions in linear time. It is fitted by
 AdaGrad on ``sample`` labelled rows at most (in hash order of doc_id), and scoring is one pass without a shuffle.
 
-Null and empty texts score from the bins alone. Labels that are null are left out; a document with several labels
-counts with each of them. Without any label all scores are the prior 0.5.
+Null and empty texts score from the bins alone. Long texts are read whole, a slice of the batch at a time. Labels that
+are null are left out; a document with several labels counts with each of them, and a doc_id with several rows counts
+with each row, up to ``sample`` rows in all. Rows that repeat get equal scores. Without any label, and so with empty
+tables, all scores are the prior 0.5. No column but doc_id, text and the label counts, whatever its name.
 """
 
 from __future__ import annotations
@@ -132,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")  # ``sample`` rows at most
-    got = rows.mapInArrow(_sparse, "_id long, y int, idx array<int>, val array<float>").orderBy(F.xxhash64("_id"), "_id", "y").toArrow()
+    sparse = rows.mapInArrow(_sparse, "_id long, y int, idx array<int>, val array<float>")
+    got = sparse.orderBy(F.xxhash64("_id"), "_id", "y", F.xxhash64("idx", "val")).limit(sample).toArrow()  # a doc_id may stand for many rows
     idx, val = got.column("idx").combine_chunks(), got.column("val").combine_chunks()
     cut = idx.offsets.to_numpy()
     i, v = idx.values.to_numpy().astype(np.int64), val.values.to_numpy().astype(np.float64)
