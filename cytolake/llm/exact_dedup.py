@@ -6,7 +6,10 @@ task first does the same for the rows that it reads, so a hot text leaves it onc
 its limit, the heaviest subtrees go to a temporary file of the task and are finished one after another.
 
 Null counts as empty; all empty texts are one group. Of equal texts the row with the most code points in the original
-text stays, then the smallest doc_id (a null doc_id comes last). Repeated rows count as often as they occur.
+text stays, then the smallest doc_id (a null doc_id comes last). Repeated rows count as often as they occur. A trie holds its
+limit and one text more at most, however long the text; an empty table gives an empty result, and no column but doc_id
+and text counts, whatever its name. Owners come back to their rows by the text's SHA-256: light rows, of which a hot
+text's are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -155,14 +158,14 @@ def _combine(limit: int):
     """Per scan task: one row for each text that the rows read so far hold; handed on whenever the trie is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, read = PatriciaTrie(limit=1 << 62), 0
+        trie = PatriciaTrie(limit=1 << 62)
         for b in batches:
             body, rest = b.column("_body"), [b.column(c).to_pylist() for c in ("_points", "_id", "_n", "_sha", "_len", "_hash")]
             for key, points, ident, n, sha, length, hash_ in zip(body, *rest, strict=True):
                 trie.insert(key.as_py(), [points, ident, n, (sha, length, hash_)])
-            if trie.held > limit:
-                yield from _emit(trie.items(), True)
-                trie = PatriciaTrie(limit=1 << 62)
+                if trie.held > limit:  # a batch may hold many long texts
+                    yield from _emit(trie.items(), True)
+                    trie = PatriciaTrie(limit=1 << 62)
         yield from _emit(trie.items(), True)
 
     return run
