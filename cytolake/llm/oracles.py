@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import RULES
+from .quality_rules import BASE, FULL, RULES
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -28,7 +28,7 @@ m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_c
  coalesce(x.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper FROM w LEFT JOIN x USING (r)),
 b AS (SELECT *, {_BITS} AS failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
- n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed_bits, 'full-1' AS policy FROM b
+ n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed_bits, 'full-1' AS policy, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_upper AS BIGINT) AS n_upper FROM b
 """
 
 OP8 = rf"""
@@ -37,4 +37,12 @@ k AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
-ORACLE_SQL = {"op3_mixing": OP3, "op6_quality_rules": OP6, "op8_exact_dedup": OP8}
+_RULE_ROWS = " UNION ALL ".join(
+    f"SELECT '{policy.version}' AS version, '{rule}' AS rule, CAST(count(*) FILTER (WHERE (failed & {1 << list(RULES).index(rule)}) <> 0) AS BIGINT) AS n_failed,"
+    f" CAST(count(*) FILTER (WHERE (failed & {policy.mask}) = {1 << list(RULES).index(rule)}) AS BIGINT) AS n_only FROM b"
+    for policy in (BASE, FULL)
+    for rule in policy.rules
+)
+LEDGER = OP6[: OP6.rindex("SELECT doc_id")] + _RULE_ROWS
+
+ORACLE_SQL = {"quality_ablation": LEDGER, "op3_mixing": OP3, "op6_quality_rules": OP6, "op8_exact_dedup": OP8}

@@ -5,7 +5,9 @@ and a mask; applying one is ``failed & mask = 0``, so a new policy needs no seco
 ``ablation`` counts from the bits alone what each rule rejects and what only it rejects.
 
 Native: DataFrame functions only. Nothing is shuffled; the work of a document stays in its row.
-Nulls and empty texts have no words and fail ``few_words``. Rows are judged one by one, so repeated rows agree.
+Nulls and empty texts have no words and fail ``few_words``. Rows are judged one by one and whole, so repeated rows
+agree, there are no ties, and a long text costs its own row only; an empty table gives an empty ledger. A column that
+has the ledger's name is replaced; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -92,17 +94,17 @@ def ledger(docs: DataFrame, text: str = "text", out: str = "ledger") -> DataFram
         failed = failed.bitwiseOR(b)
     names = [c for c in flat.columns if c != "_row"]
     entry = F.struct(*names, failed.alias("failed")).alias(out)
-    return flat.select("_row", entry).select("_row.*", out)
+    return flat.select("_row", entry).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() != out.lower()], out)
 
 
 def passes(policy: Policy, failed: Column) -> Column:
     return failed.bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
-def ablation(entries: DataFrame, policy: Policy, failed: str = "ledger.failed") -> DataFrame:
-    """Per rule of the policy: documents that fail it, and those that the policy would keep without it."""
+def ablation(entries: DataFrame, policy: Policy, failed: str = "ledger.failed", count: str | None = None) -> DataFrame:
+    """Per rule of the policy: documents that fail it, and those that the policy would keep without it; ``count``, if given, is how many an entry stands for."""
     hit = F.col(failed).bitwiseAND(F.lit(policy.mask).cast("long"))
-    per_hit = entries.groupBy(hit.alias("hit")).agg(F.count(F.lit(1)).alias("n"))  # 2^rules rows at most
+    per_hit = entries.groupBy(hit.alias("hit")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("n"))  # 2^rules rows at most
     rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << list(RULES).index(r)).cast("long").alias("bit")) for r in policy.rules]))
     return (
         per_hit.select("hit", "n", rules.alias("r"))
@@ -124,9 +126,21 @@ def quality_rules(docs: DataFrame, policy: Policy = FULL) -> DataFrame:
         (passes(BASE, F.col("ledger.failed")) & passes(policy, F.col("ledger.failed"))).alias("kept"),
         F.col("ledger.failed").alias("failed_bits"),
         F.lit(policy.version).alias("policy"),
+        "ledger.n_lines",
+        "ledger.n_upper",
     )
 
 
+def ablation_report(docs: DataFrame, policies: tuple[Policy, ...] = (BASE, FULL)) -> DataFrame:
+    """Per policy and rule: documents that fail it, and those that it alone rejects; the texts are measured once."""
+    e = ledger(docs.select("text")).select(F.col("ledger.failed").alias("failed")).groupBy("failed").agg(F.count(F.lit(1)).alias("n"))  # 2^rules rows at most
+    out = None
+    for policy in policies:
+        one = ablation(e, policy, "failed", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def keep_passing(docs: DataFrame, policy: Policy = FULL) -> DataFrame:
     """The documents that the policy keeps, with their own columns."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))

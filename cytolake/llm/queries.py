@@ -48,6 +48,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of both policies rejects, and what it alone rejects."""
+    from .quality_rules import ablation_report
+
+    return ablation_report(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sp_lattice import encode
 
@@ -75,4 +82,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_minhash_dedup, op5_html_extract, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_fm_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_minhash_dedup, op5_html_extract, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_fm_quality, op10_line_dedup, quality_ablation)}
