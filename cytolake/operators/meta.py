@@ -47,25 +47,26 @@ def combine_ranks(ranked: DataFrame, method: str = "RankProd", gene: str = "gene
     )
 
 
-def combine_p(results: DataFrame, method: str = "fisher", gene: str = "gene", study: str = "study", p: str = "p_val", effect: str = "log_fc", min_num: int = 5, min_ratio: float = 0.8, level: float = 0.05) -> DataFrame:
+def combine_p(results: DataFrame, method: str = "fisher", gene: str = "gene", study: str = "study", p: str = "p_val", effect: str = "log_fc", min_num: int = 5, min_ratio: float = 0.8) -> DataFrame:
     """One row per gene: p-values of the majority side combined; 1 where too few studies agree. Ties go to the positive side.
 
-    Rows without an effect enter neither side.
+    ``available_study`` counts studies with a p-value, ``sig_study`` those of them on the majority side. A p-value without
+    an effect is available and on neither side; the mean effect is over all effects.
     """
     if method not in ("fisher", "z.transform", "logit"):
         raise ValueError(f"method {method!r}")
     total = results.select(study).distinct().agg(F.count(F.lit(1)).alias("total_study"))
-    rows = results.filter(F.col(p).isNotNull() & F.col(effect).isNotNull()).withColumn("_log", -F.ln(p))
+    rows = results.withColumn("_log", -F.ln(p))
     if method == "z.transform":
         rows = rows.withColumn("_log", -normal_quantile(F.col(p)))
     elif method == "logit":
         rows = rows.withColumn("_log", -F.ln(F.col(p) / (1 - F.col(p))))
-    up, down = F.col(effect) > 0, F.col(effect) < 0
+    known = F.col(p).isNotNull()
+    up, down = known & (F.col(effect) > 0), known & (F.col(effect) < 0)
     one = lambda c, v: F.when(c, v)
     g = rows.groupBy(gene).agg(
-        F.count(F.lit(1)).alias("available_study"), F.count(one(up, 1)).alias("_np"), F.count(one(down, 1)).alias("_nn"),
+        F.count(p).alias("available_study"), F.count(one(up, 1)).alias("_np"), F.count(one(down, 1)).alias("_nn"),
         F.sum(one(up, F.col("_log"))).alias("_lp"), F.sum(one(down, F.col("_log"))).alias("_ln"), F.avg(effect).alias("mean_es"),
-        F.count(one(up & (F.col(p) <= level), 1)).alias("_sp"), F.count(one(down & (F.col(p) <= level), 1)).alias("_sn"),
     )
     side = F.col("_np") >= F.col("_nn")
     k, s = F.when(side, F.col("_np")).otherwise(F.col("_nn")), F.when(side, F.col("_lp")).otherwise(F.col("_ln"))
@@ -80,9 +81,8 @@ def combine_p(results: DataFrame, method: str = "fisher", gene: str = "gene", st
         t = F.col("_sum") * F.sqrt(3 * (5 * F.col("_kk") + 4) / (F.col("_kk") * F.pi() * F.pi() * (5 * F.col("_kk") + 2)))
         two = t_two_sided(t, 5 * F.col("_kk") + 4)
         value = F.when(t >= 0, two / 2).otherwise(1 - two / 2)
-    sig = F.when(F.col("_np") >= F.col("_nn"), F.col("_sp")).otherwise(F.col("_sn"))
     return g.crossJoin(F.broadcast(total)).select(  # total: one row
-        gene, "total_study", "available_study", sig.alias("sig_study"), ratio(F.col("_k"), F.col("available_study")).alias("percent_same_dir"), "mean_es",
+        gene, "total_study", "available_study", F.col("_k").alias("sig_study"), ratio(F.col("_k"), F.col("available_study")).alias("percent_same_dir"), "mean_es",
         F.when(F.col("_ok"), value).otherwise(F.lit(1.0)).alias("combined_p"),
     )
 

@@ -176,12 +176,19 @@ def ag3_comb_rank_median(t):
     return r6(meta.combine_ranks(meta.study_ranks(t.studies()), "RankSum"), "median_es", "rank", "signed_rank", "sig_study_ratio")
 
 
-@query(
-    sql("studies") + ", g AS (SELECT gene, count(*) AS av, count(*) FILTER (WHERE log_fc > 0) AS np, count(*) FILTER (WHERE log_fc < 0) AS nn, sum(-ln(p_val)) FILTER (WHERE log_fc > 0) AS lp, sum(-ln(p_val)) FILTER (WHERE log_fc < 0) AS ln_, avg(log_fc) AS m,"
-    " count(*) FILTER (WHERE log_fc > 0 AND p_val <= 0.05) AS sp, count(*) FILTER (WHERE log_fc < 0 AND p_val <= 0.05) AS sn FROM studies GROUP BY 1), h AS (SELECT *, CASE WHEN np >= nn THEN np ELSE nn END AS k, CASE WHEN np >= nn THEN lp ELSE ln_ END AS x FROM g)"
-    " SELECT gene, (SELECT count(DISTINCT study) FROM studies) AS total_study, av AS available_study, CASE WHEN np >= nn THEN sp ELSE sn END AS sig_study, round(k / av, 6) AS percent_same_dir, round(m, 6) AS mean_es,"
-    " round(CASE WHEN av >= 5 AND k >= av * 0.5 AND k > 0 THEN exp(-x) * list_sum(list_transform(range(k), lambda i: pow(x, i) / gamma(i + 1))) ELSE 1.0 END, 6) AS combined_p FROM h"
-)
+def _combine_p_sql(value: str) -> str:
+    """``value``: the combined p-value from the majority side's k p-values, a list ``ps``."""
+    return sql("studies") + (
+        ", g AS (SELECT gene, count(p_val) AS av, avg(log_fc) AS m, coalesce(list(p_val) FILTER (WHERE log_fc > 0 AND p_val IS NOT NULL), []) AS pos, coalesce(list(p_val) FILTER (WHERE log_fc < 0 AND p_val IS NOT NULL), []) AS neg FROM studies GROUP BY 1),"
+        " h AS (SELECT *, CASE WHEN len(pos) >= len(neg) THEN pos ELSE neg END AS ps, len(CASE WHEN len(pos) >= len(neg) THEN pos ELSE neg END) AS k FROM g)"
+        f" SELECT gene, (SELECT count(DISTINCT study) FROM studies) AS total_study, av AS available_study, k AS sig_study, round(k / av, 6) AS percent_same_dir, round(m, 6) AS mean_es, round(CASE WHEN av >= 5 AND k >= av * 0.5 AND k > 0 THEN {value} ELSE 1.0 END, 6) AS combined_p FROM h"
+    )
+
+
+_MINUS_LOG = "list_sum(list_transform(ps, lambda p: -ln(p)))"
+
+
+@query(_combine_p_sql(f"exp(-{_MINUS_LOG}) * list_sum(list_transform(range(k), lambda i: pow({_MINUS_LOG}, i) / gamma(i + 1)))"))
 def ag6_combine_p_fisher(t):
     return r6(meta.combine_p(t.studies(), min_ratio=0.5), "percent_same_dir", "mean_es", "combined_p")
 
@@ -637,16 +644,16 @@ def sc6_links(t):
     return t["pages"].select("page_id", archive.links(F.col("html"), keep_all=True).alias("links"), F.size(archive.links(F.col("html"))).cast("long").alias("n_kept"))
 
 
-@query("SELECT doc_id, md5(text) AS md5, CAST(length(text) AS BIGINT) AS size_bytes FROM documents")
+@query("SELECT doc_id, md5(text) AS md5, CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents")
 def sk2_md5(t):
-    return t["documents"].select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.length("text").cast("long").alias("size_bytes"))
+    return t["documents"].select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").cast("long").alias("size_bytes"))
 
 
 @query(
     "SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'size_mismatch' WHEN doc_id % 3 = 0 THEN 'md5_mismatch' ELSE 'verified' END AS status FROM documents"
 )
 def sk3_verify(t):
-    d = t["documents"].select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size_bytes"), F.upper(F.md5(F.col("text").cast("binary"))).alias("md5"))
+    d = t["documents"].select(F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("size_bytes"), F.upper(F.md5(F.col("text").cast("binary"))).alias("md5"))
     spoiled = d.filter("path % 7 <> 0").select("path", F.when(F.col("path") % 5 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"), F.when(F.col("path") % 3 == 0, F.lit("x")).otherwise(F.col("md5")).alias("md5"))
     return archive.verify(d, spoiled)
 
