@@ -17,27 +17,30 @@ one segmentation, the empty one. Literal U+2581 is encoded by bytes, so decoding
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
 from .tokens import mix
 
 MODEL, K, THETA, SEED = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 11
-_CHUNK = re.compile(r" *[^ \n]+| +|\n+")
+#: Characters of the texts that are worked on at once; a longer text stands alone.
 _SLICE_CHARS = 1 << 18
-#: Arcs that a worker keeps; beyond, it starts afresh (only speed depends on it).
+#: Arcs that a worker keeps; beyond, it forgets the rarer chunks (only speed depends on it).
 _ARCS = 4_000_000
 #: Chunks up to which weights multiply without underflow; longer ones are summed in logarithms.
 _SHORT = 60
 _MARK = "▁"
 _G = 0x9E3779B97F4A7C15
+#: The seed's key where there is no doc_id: no doc_id leads to it but by chance.
+_NO_ID = 0x5851F42D4C957F2D
 _OUT = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, inclusion double, log_inclusion double, round_trip boolean"
 
 
@@ -67,8 +70,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+class _Prefixes:
+    """Of all prefixes of one length that pieces have: sorted hashes, each with its piece, or -1 where it is none."""
+
+    SHIFT = np.uint64(64 - 17)
+
+    def __init__(self, hashes: np.ndarray, pieces: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.pieces = hashes[order], pieces[order]
+        self.first = np.searchsorted(self.hashes >> self.SHIFT, np.arange((1 << 17) + 1, dtype=np.uint64)).astype(np.int32)
+        self.first = np.minimum(self.first, len(order) - 1)
+        self.several = int(np.bincount((self.hashes >> self.SHIFT).astype(np.int64)).max()) - 1
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index of each hash, or -1: from the first with its leading bits onwards."""
+        at = self.first[(h >> self.SHIFT).astype(np.int64)]
+        out = np.where(self.hashes[at] == h, at, -1)
+        todo, last = np.flatnonzero(out < 0), len(self.hashes) - 1
+        todo = todo[self.hashes[at[todo]] < h[todo]]
+        for k in range(1, self.several + 1):
+            here = np.minimum(at[todo] + k, last)
+            there = self.hashes[here]
+            hit = there == h[todo]
+            out[todo[hit]] = here[hit]
+            todo = todo[there < h[todo]]
+        return out
+
+
 class Lattices:
-    """Chunk lattices in flat arrays: arcs of a node lie together, ``cum`` is their running probability, 1 at the last."""
+    """Lattices of chunks in flat arrays: arcs of a node lie together, ``cum`` is their running probability, 1 at the last."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], theta: float):
         self.table = {s: (i, -theta * log(rank + 1)) for i, (s, rank, _) in enumerate(pieces) if s}
@@ -76,47 +106,38 @@ class Lattices:
         self.floor = -theta * log(len(pieces) + 1)
         self.longest = max(map(len, self.table))
         self.surface = surfaces(pieces)
-        self.simple = np.zeros(0x110000, bool)  # characters that are pieces; a space stands for its mark, the mark itself does not
-        self.simple[[ord(c) for c in self.table if len(c) == 1]] = True
-        self.simple[ord(" ")], self.simple[ord(_MARK)] = _MARK in self.table, False
-        weight = np.full(len(pieces), exp(self.floor))
-        by_length: dict[int, list[str]] = {}
+        self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.width = np.fromiter(map(len, self.surface), np.int64, len(pieces))
+        self.start = np.cumsum(self.width) - self.width
+        self.single = np.full(0x110000, -1, np.int32)  # pieces of one character; a space stands for its mark, the mark itself for none
+        for c, (i, _) in self.table.items():
+            if len(c) == 1:
+                self.single[ord(c)] = i
+        self.single[ord(" ")], self.single[ord(_MARK)] = self.single[ord(_MARK)], -1
+        self.weight = np.full(len(pieces), exp(self.floor))
+        by_length: dict[int, dict[str, int]] = {}
         for s, (i, logw) in self.table.items():
-            weight[i] = exp(logw)
-            by_length.setdefault(len(s), []).append(s)
-        self.weight = weight
-        self.known = {}  # length -> sorted hashes of its pieces, their numbers
-        for n, names in by_length.items():
-            sums, inverse = self._hashed("".join(names))
+            self.weight[i] = exp(logw)
+            for n in range(2, len(s)):
+                by_length.setdefault(n, {}).setdefault(s[:n], -1)
+            if len(s) > 1:
+                by_length.setdefault(len(s), {})[s] = i
+        self.known = {}
+        for n, names in sorted(by_length.items()):
+            sums, inverse = _hashed(_codes("".join(names)))
             at = np.arange(len(names)) * n
-            h = (sums[at + n] - sums[at]) * inverse[at]
-            order = np.argsort(h)
-            coarse = np.zeros(1 << 16, bool)
-            coarse[h >> np.uint64(48)] = True
-            self.known[n] = (h[order], np.array([self.table[x][0] for x in names], np.int32)[order], coarse)
-        self.clear()
-
-    @staticmethod
-    def _hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix sums of a polynomial hash of the characters, and the inverse powers that move it to any place."""
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        power, inverse = tokens._power_tables(len(code))
-        sums = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum((code + np.uint64(1)) * power[: len(code)], out=sums[1:])
-        return sums, inverse
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self._new()
-        self.n_arcs = self.n_nodes = 0
+            self.known[n] = _Prefixes((sums[at + n] - sums[at]) * inverse[at], np.array(list(names.values()), np.int32))
+        self.n_arcs = self.n_nodes = self.n_chunks = 0
         size = 1 << 16
-        self.cum, self.logp, self.rest = np.zeros(size), np.zeros(size), np.zeros(size)
-        self.piece, self.next, self.node = (np.zeros(size, np.int32) for _ in range(3))
-        self.low = np.zeros(size, np.int32)
-        self.root = np.zeros(size, np.int32)
+        self.cum, self.logp = np.zeros(size), np.zeros(size)
+        self.piece, self.next = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        self.low, self.chunk = np.zeros(size, np.int32), np.zeros(size, np.int32)  # of a node: its first arc, its chunk
+        self.root, self.uses = np.zeros(size, np.int32), np.zeros(size, np.int64)
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._new()
 
     def _new(self) -> None:
-        self._cum, self._logp, self._piece, self._next, self._node, self._low, self._root = ([] for _ in range(7))
+        self._cum, self._logp, self._piece, self._next, self._low, self._root = ([] for _ in range(6))
 
     def _append(self, options: list[tuple[int, float, int]]) -> tuple[int, float]:
         """A node with these arcs (piece, log weight, next node); its number and log sum."""
@@ -133,7 +154,6 @@ class Lattices:
             self._logp.append(log(max(w / whole, 1e-300)))
             self._piece.append(piece)
             self._next.append(nxt)
-            self._node.append(node)
         self._cum[-1] = 1.0
         self.n_arcs += len(options)
         return node, top + log(whole)
@@ -159,42 +179,36 @@ class Lattices:
             nodes[at], sums[at] = self._append(options)
         return nodes[0]
 
-    def _sorted_out(self, chunks: list[str]) -> tuple[list[str], list[str]]:
-        """Short chunks whose characters are all pieces, and the others."""
-        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        ok = np.logical_and.reduceat(self.simple[code], np.cumsum(sizes) - sizes) & (sizes <= _SHORT)
-        return [c for c, x in zip(chunks, ok, strict=True) if x], [c for c, x in zip(chunks, ok, strict=True) if not x]
-
-    def _build_many(self, chunks: list[str]) -> None:
+    def _build_many(self, code: np.ndarray, sizes: np.ndarray) -> None:
         """Lattices of short chunks whose characters are all pieces, in one go; nodes in order of characters left."""
-        sums, inverse = self._hashed("".join(chunks).replace(" ", _MARK))
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        code = np.where(code == ord(" "), ord(_MARK), code)
+        sums, inverse = _hashed(code)
         ends = np.cumsum(sizes)
         n = int(ends[-1])
         left = np.repeat(ends, sizes) - np.arange(n)
-        where, length, piece = [], [], []
-        for size, (keys, numbers, coarse) in sorted(self.known.items()):
-            at = np.flatnonzero(left >= size)
-            h = (sums[at + size] - sums[at]) * inverse[at]
-            if size > 2:
-                some = coarse[h >> np.uint64(48)]
-                at, h = at[some], h[some]
+        order = np.argsort(left.astype(np.int16), kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        single = self.single[np.where(code == ord(_MARK), ord(" "), code)]
+        where, length, piece = [order], [np.ones(n, np.int64)], [single[order]]
+        at = order
+        for size, prefixes in self.known.items():
+            at = at[np.searchsorted(left[at], size) :]  # those with fewer characters left come first
+            k = prefixes.find((sums[at + size] - sums[at]) * inverse[at])
+            at, k = at[k >= 0], k[k >= 0]
             if not len(at):
-                continue
-            q = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[q] == h
+                break
+            own = prefixes.pieces[k]
+            hit = own >= 0
             where.append(at[hit])
             length.append(np.full(int(hit.sum()), size))
-            piece.append(numbers[q[hit]])
+            piece.append(own[hit])
         where, length, piece = map(np.concatenate, (where, length, piece))
-        order = np.argsort(left[where] * n + where, kind="stable")
+        order = np.argsort(rank[where], kind="stable")
         where, length, piece = where[order], length[order], piece[order]
         rest = left[where]
-        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        node_of = np.zeros(n, np.int64)
-        node_of[where[first]] = self.n_nodes + np.arange(len(first))
-        count = np.diff(np.append(first, len(where)))
+        count = np.bincount(rank[where], minlength=n)
+        first = np.cumsum(count) - count
         beta, share = np.zeros(n + 1), np.empty(len(where))
         weight = self.weight[piece]
         levels = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
@@ -204,61 +218,127 @@ class Lattices:
             whole = np.add.reduceat(value, first[lo:hi] - a)
             beta[where[first[lo:hi]]] = whole
             share[a:b] = value / np.repeat(whole, count[lo:hi])
-        node = self.n_nodes + np.repeat(np.arange(len(first)), count)
         cum = share.copy()  # added up arc by arc, so that it depends on the chunk alone
         for k in range(1, int(count.max())):
             at = first[count > k] + k
             cum[at] += cum[at - 1]
         cum[first + count - 1] = 1.0
+        node_of = self.n_nodes + rank
         nxt = np.where(length == rest, -1, node_of[np.minimum(where + length, n - 1)])
-        self._store("cum", self.n_arcs, cum)
-        self._store("logp", self.n_arcs, np.log(np.maximum(share, 1e-300)))
-        self._store("rest", self.n_arcs, _others(share))
-        for name, values in (("piece", piece), ("next", nxt), ("node", node)):
+        for name, values in (("cum", cum), ("logp", np.log(np.maximum(share, 1e-300))), ("piece", piece), ("next", nxt)):
             self._store(name, self.n_arcs, values)
         self._store("low", self.n_nodes, self.n_arcs + first)
-        self._store("root", len(self.index), node_of[ends - sizes])
+        chunk = np.empty(n, np.int64)
+        chunk[rank] = self.n_chunks + np.repeat(np.arange(len(sizes)), sizes)
+        self._store("chunk", self.n_nodes, chunk)
+        self._store("root", self.n_chunks, node_of[ends - sizes])
         self.n_arcs += len(where)
-        self.n_nodes += len(first)
-        self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks)), strict=True))
+        self.n_nodes += n
+        self.n_chunks += len(sizes)
 
     def _store(self, name: str, at: int, new) -> None:
         old = getattr(self, name)
         if at + len(new) + 1 > len(old):
-            old = np.concatenate([old, np.zeros(max(len(old) // 2, len(new)) + 1, old.dtype)])
+            old = np.concatenate([old, np.zeros(max(len(old) // 4, len(new)) + 1, old.dtype)])
             setattr(self, name, old)
         old[at : at + len(new)] = new
 
-    def learn(self, chunks: set[str]) -> None:
-        fresh = chunks.difference(self.index)
-        if not fresh:
-            return
+    def _shrink(self) -> None:
+        """Forgets chunks that came up least, until half of the nodes at most are left."""
+        uses, chunk = self.uses[: self.n_chunks], self.chunk[: self.n_nodes]
+        least = 2
+        while True:
+            kept = uses >= least
+            nodes = kept[chunk]
+            if 2 * int(nodes.sum()) <= self.n_nodes:
+                break
+            least *= 2
+        arcs = np.repeat(nodes, np.diff(self.low[: self.n_nodes + 1]))
+        renamed, numbered = np.cumsum(nodes) - 1, np.cumsum(kept) - 1
+        degree = np.diff(self.low[: self.n_nodes + 1])[nodes]
+        nxt = self.next[: self.n_arcs][arcs]
+        for name, values in (
+            ("next", np.where(nxt < 0, -1, renamed[nxt])), ("cum", self.cum[: self.n_arcs][arcs]), ("logp", self.logp[: self.n_arcs][arcs]), ("piece", self.piece[: self.n_arcs][arcs]),
+            ("low", np.concatenate([[0], np.cumsum(degree)])), ("chunk", numbered[chunk[nodes]]), ("root", renamed[self.root[: self.n_chunks][kept]]), ("uses", np.zeros(int(kept.sum()), np.int64)),
+        ):
+            self._store(name, 0, values)
+        known = kept[self.numbers]
+        self.keys, self.numbers = self.keys[known], numbered[self.numbers[known]]
+        self.n_arcs, self.n_nodes, self.n_chunks = int(arcs.sum()), len(degree), int(kept.sum())
+
+    def learn(self, text: str, code: np.ndarray, first: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The number of each chunk, given by place, size and hash; unknown ones get their lattices."""
         if self.n_arcs > _ARCS:
-            self.clear()
-            fresh = chunks
-        plain, odd = self._sorted_out(list(fresh))
-        if plain:
-            with np.errstate(over="ignore"):
-                self._build_many(plain)
-        before, first, count = self.n_arcs, self.n_nodes, len(self.index)
-        self._new()
-        for c in odd:
-            self._root.append(self._build(c))
-            self.index[c] = len(self.index)
-        self._store("rest", before, _others(np.exp(np.array(self._logp, float))))
-        for name, at in (("cum", before), ("logp", before), ("piece", before), ("next", before), ("node", before), ("low", first), ("root", count)):
-            self._store(name, at, getattr(self, "_" + name))
-        self.low[self.n_nodes] = self.n_arcs
-        self._new()
+            self._shrink()
+        own, index, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.keys, own)
+        fresh = np.ones(len(own), bool)
+        inside = at < len(self.keys)
+        fresh[inside] = self.keys[at[inside]] != own[inside]
+        number = np.empty(len(own), np.int64)
+        number[~fresh] = self.numbers[at[~fresh]]
+        new = index[fresh]
+        if len(new):
+            places = _runs(first[new], sizes[new])
+            plain = np.logical_and.reduceat(self.single[code[places]] >= 0, np.cumsum(sizes[new]) - sizes[new]) & (sizes[new] <= _SHORT)
+            before = self.n_chunks
+            if plain.any():
+                with np.errstate(over="ignore"):
+                    self._build_many(code[_runs(first[new[plain]], sizes[new[plain]])], sizes[new[plain]])
+            arcs, nodes, chunks = self.n_arcs, self.n_nodes, self.n_chunks
+            self._new()
+            numbers = []
+            for i in new[~plain]:
+                was = self.n_nodes
+                self._root.append(self._build(text[first[i] : first[i] + sizes[i]]))
+                numbers += [self.n_chunks] * (self.n_nodes - was)
+                self.n_chunks += 1
+            for name, place in (("cum", arcs), ("logp", arcs), ("piece", arcs), ("next", arcs), ("low", nodes), ("root", chunks)):
+                self._store(name, place, getattr(self, "_" + name))
+            self._store("chunk", nodes, numbers)
+            self._store("uses", before, np.zeros(self.n_chunks - before, np.int64))
+            self.low[self.n_nodes] = self.n_arcs
+            self._new()
+            named = np.empty(len(new), np.int64)
+            named[plain] = before + np.arange(int(plain.sum()))
+            named[~plain] = chunks + np.arange(len(new) - int(plain.sum()))
+            number[fresh] = named
+            self.keys = np.insert(self.keys, at[fresh], own[fresh])
+            self.numbers = np.insert(self.numbers, at[fresh], named)
+        self.uses[number] += count
+        return number[inverse]
+
+    def roots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Root nodes of the chunks of all texts, one after another, and how many each text has; a space goes in front of a text."""
+        joined = "".join([" " + t for t in texts if t])
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        if not joined:
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        code = _codes(joined)
+        space, line = code == 32, code == 10
+        starts = space.copy()  # a run of spaces with the word behind it, a word behind lines, or a run of lines
+        starts[1:] &= ~space[:-1]
+        starts[1:] |= line[:-1] & ~line[1:]
+        starts[1:] |= line[1:] & ~line[:-1]
+        ends = np.cumsum(size)
+        starts[(ends - size)[size > 0]] = True
+        first = np.flatnonzero(starts)
+        sizes = np.diff(np.append(first, len(code)))
+        with np.errstate(over="ignore"):
+            sums, inverse = _hashed(code)
+            keys = mix((sums[first + sizes] - sums[first]) * inverse[first] + sizes.astype(np.uint64) * np.uint64(_G))
+        number = self.learn(joined, code, first, sizes, keys)
+        edges = np.searchsorted(first, np.concatenate([[0], ends]))
+        return self.root[number].astype(np.int64), np.diff(edges)
 
     def sample(self, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From each start node to the end of its chunk: item and arc of every step, items in order."""
+        """From each start node to the end of its chunk: arcs of every step, starts in order, and the steps of each start."""
         cum = self.cum[: self.n_arcs]
         active = np.flatnonzero(starts >= 0)
         node = starts[active]
-        items, arcs, step = [], [], 0
+        items, arcs, count = [], [], np.zeros(len(starts), np.int64)
         while len(active):
-            u = _unit(seeds[active] + np.uint64((step + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+            u = _unit(seeds[active] + np.uint64((len(items) + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
             arc = self.low[node].astype(np.int64)
             behind = np.flatnonzero(cum[arc] <= u)  # the last arc of a node reaches beyond every number
             while len(behind):
@@ -266,21 +346,48 @@ class Lattices:
                 behind = behind[cum[arc[behind]] <= u[behind]]
             items.append(active)
             arcs.append(arc)
+            count[active] += 1
             node = self.next[arc]
             going = node >= 0
             active, node = active[going], node[going]
-            step += 1
-        if not items:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        item, arc = np.concatenate(items), np.concatenate(arcs)
-        order = np.argsort(item, kind="stable")
-        return item[order], arc[order]
+        at = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for step, (item, arc) in enumerate(zip(items, arcs, strict=True)):
+            out[at[item] + step] = arc
+        return out, count
 
 
-def _truncated(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
-    """Gumbel numbers with locations ``phi``, given that they are below ``top``."""
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _hashed(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial hash of the characters, and the inverse powers that move it to any place."""
+    power, inverse = tokens.power_tables(len(code))
+    sums = np.zeros(len(code) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        return -np.logaddexp(-top, np.log(-np.log(u)) - phi)
+        np.cumsum((code.astype(np.uint64) + np.uint64(1)) * power[: len(code)], out=sums[1:])
+    return sums, inverse
+
+
+def _runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of every run, one run after another."""
+    at = np.cumsum(sizes) - sizes
+    return np.repeat(first - at, sizes) + np.arange(int(sizes.sum()))
+
+
+def _summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs, 0 for an empty run."""
+    out = np.zeros(len(sizes))
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+def _truncated(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel numbers with locations ``phi``, given that they are below ``top``."""
+    return -np.logaddexp(-top, np.log(-np.log(u)) - phi)
 
 
 def _others(p: np.ndarray) -> np.ndarray:
@@ -290,88 +397,131 @@ def _others(p: np.ndarray) -> np.ndarray:
 
 #: -log(-log u) is below this for every number that ``_unit`` gives.
 _TOP = 37.0
+#: Steps of a path whose siblings are drawn at first; each time after, twice as many.
+_STEPS = 64
 
 
-class _Path:
-    """A sampled path, and for its steps the largest perturbed value among the step's siblings.
+class Paths:
+    """One sampled path for each of many texts, with the steps whose siblings have the largest perturbed values.
 
-    A step's value is below its prefix's log-probability plus ``_TOP``, and prefixes only lose, so steps past the place
-    where that falls below the ``k`` + 1 largest values so far are never drawn: they can neither be chosen nor be the
-    threshold.
+    ``rows`` are the texts' numbers, ``arcs`` and ``items`` (the chunk of each step) lie text after text, ``size`` steps
+    each. A step's value is below its prefix's log-probability plus ``_TOP``, and prefixes only lose, so steps past the
+    place where that falls below the ``k`` + 1 largest values so far are never drawn: they can neither be chosen nor be
+    the threshold. ``values`` and ``steps`` hold those ``k`` + 1, the largest first.
     """
 
-    __slots__ = ("arcs", "items", "before", "values", "log_prob", "top", "banned")
-
-    def __init__(self, lattices: Lattices, arcs: np.ndarray, items: np.ndarray, top: float, after: int, seed: np.uint64, k: int):
-        self.arcs, self.items, self.top, self.banned = arcs, items, top, {}
-        sums = np.cumsum(lattices.logp[arcs])
-        self.log_prob = float(sums[-1]) if len(sums) else 0.0
-        self.before = np.concatenate([[0.0], sums[:-1]])
-        self.values = np.full(after, -np.inf)
-        at, more = after, 160
-        while at < len(arcs):
-            if len(self.values) - after > k and self.before[at] + _TOP < np.partition(self.values[after:], -k - 1)[-k - 1]:
-                break
-            end = min(len(arcs), at + more)
-            u = _unit(seed + (np.arange(at, end, dtype=np.uint64) + np.uint64(1)) * np.uint64(_G))
-            phi = self.before[at:end] + lattices.rest[arcs[at:end]]
-            self.values = np.concatenate([self.values, _truncated(phi, top, u)])
-            at, more = end, 2 * more
-
-
-def _segmentations(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[list[_Path]]:
-    """The sampled paths of each text, best first; ``paths[-1].values`` and the others' hold what is left."""
-    chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-    lattices.learn(set().union(*chunks))
-    index = lattices.index
-    roots = [lattices.root[np.array(list(map(index.__getitem__, cs)), np.int64)] for cs in chunks]
-
-    def sampled(starts: list[np.ndarray], firsts: list[int], turn: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        sizes = [len(s) for s in starts]
-        ends = np.cumsum(sizes)
-        key = np.concatenate([s + (np.arange(f, f + n, dtype=np.uint64) + np.uint64(7)) * np.uint64(_G) for s, f, n in zip(seeds, firsts, sizes, strict=True)]) if sizes else np.zeros(0, np.uint64)
-        item, arc = lattices.sample(np.concatenate(starts).astype(np.int64) if sizes else np.zeros(0, np.int64), mix(key + np.uint64(turn)))
-        cut = np.searchsorted(item, np.concatenate([[0], ends]))
-        return [(item[a:b] - e + n + f, arc[a:b]) for a, b, e, n, f in zip(cut[:-1], cut[1:], ends, sizes, firsts, strict=True)]
+    def __init__(self, lattices: Lattices, rows: np.ndarray, arcs: np.ndarray, items: np.ndarray, size: np.ndarray, top: np.ndarray, after: np.ndarray, lead: np.ndarray, seeds: np.ndarray, k: int):
+        self.rows, self.arcs, self.items, self.size, self.top = rows, arcs, items, size, top
+        self.first = np.cumsum(size) - size
+        self.log_prob = _summed(lattices.logp[arcs], size)
+        self.values = np.full((len(rows), k + 1), -np.inf)
+        self.steps = np.zeros((len(rows), k + 1), np.int64)
+        self.before = np.zeros((len(rows), k + 1))  # log-probability of the prefix of each of these steps
+        at, lead = after.copy(), lead.copy()
+        todo, more = np.flatnonzero(at < size), _STEPS
+        while len(todo):
+            step = at[todo, None] + np.arange(more)
+            there = step < size[todo, None]
+            own = lattices.logp[arcs[np.where(there, self.first[todo, None] + step, 0)]]
+            own[~there] = 0.0
+            sums = lead[todo, None] + np.cumsum(own, axis=1)
+            before = np.concatenate([lead[todo, None], sums[:, :-1]], axis=1)
+            u = _unit(seeds[todo, None] + (step.astype(np.uint64) + np.uint64(1)) * np.uint64(_G))
+            with np.errstate(divide="ignore"):
+                value = np.where(there, _truncated(before + _others(np.exp(own)), top[todo, None], u), -np.inf)
+            value, step, before = (np.concatenate(x, axis=1) for x in ((self.values[todo], value), (self.steps[todo], step), (self.before[todo], before)))
+            best = np.argpartition(-value, k, axis=1)[:, : k + 1]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(value, best, axis=1), axis=1, kind="stable"), axis=1)
+            self.values[todo], self.steps[todo], self.before[todo] = (np.take_along_axis(x, best, axis=1) for x in (value, step, before))
+            at[todo] += more
+            lead[todo] = sums[:, -1]
+            more *= 2
+            todo = todo[(at[todo] < size[todo]) & (lead[todo] + _TOP >= self.values[todo, k])]
+
+
+def _segmentations(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> tuple[list[Paths], np.ndarray]:
+    """The sampled paths of all texts, best first, and the largest value that is left of each text."""
+    roots, n_chunks = lattices.roots(texts)
+    first_chunk = np.cumsum(n_chunks) - n_chunks
+    n = len(texts)
+    all_rows = np.arange(n)
+
+    def sampled(rows: np.ndarray, starts: np.ndarray, first: np.ndarray, count: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arcs and chunks of the steps from ``count`` starts of each row on, the first of them at chunk ``first``; and how many steps."""
+        chunk = _runs(first, count)
+        key = np.repeat(seeds[rows], count) + (chunk.astype(np.uint64) + np.uint64(7)) * np.uint64(_G)
+        arcs, steps = lattices.sample(starts, mix(key + np.uint64(turn)))
+        return arcs, np.repeat(chunk, steps), _summed(steps, count).astype(np.int64)
 
     with np.errstate(over="ignore"):
-        tops = -np.log(-np.log(_unit(seeds + np.uint64(3))))
-        found = [[_Path(lattices, a, i, float(top), 0, mix(np.array([s + np.uint64(5)]))[0], k)] for (i, a), top, s in zip(sampled(roots, [0] * len(texts), 1), tops, seeds, strict=True)]
+        top = -np.log(-np.log(_unit(seeds + np.uint64(3))))
+        arcs, items, size = sampled(all_rows, roots, np.zeros(n, np.int64), n_chunks, 1)
+        zeros = np.zeros(n, np.int64)
+        found = [Paths(lattices, all_rows, arcs, items, size, top, zeros, zeros.astype(float), mix(seeds + np.uint64(5)), k)]
+        taken: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # rows, and the path, step and arc where each left
         for turn in range(2, k + 1):
-            chosen, starts, firsts = [], [], []
-            for d, paths in enumerate(found):
-                best = max((float(p.values.max()) if len(p.values) else -np.inf, -i) for i, p in enumerate(paths))
-                if len(paths) < turn - 1 or best[0] == -np.inf:
-                    chosen.append(None)
-                    starts.append(roots[d][:0])
-                    firsts.append(0)
-                    continue
-                path = paths[-best[1]]
-                t = int(path.values.argmax())
-                node = lattices.node[path.arcs[t]]
-                lo, hi = int(lattices.low[node]), int(lattices.low[node + 1])
-                banned = path.banned.setdefault(t, {int(path.arcs[t])})
-                free = [a for a in range(lo, hi) if a not in banned]
-                p = np.exp(lattices.logp[free])
-                u = _unit(seeds[d : d + 1] + np.uint64((turn * 1_000_003 + t) * 31 + len(paths)))
-                arc = free[min(int(np.searchsorted(np.cumsum(p), u[0] * p.sum(), "right")), len(free) - 1)]
-                banned.add(arc)
-                rest = p.sum() - float(np.exp(lattices.logp[arc]))
-                again = _unit(seeds[d : d + 1] + np.uint64((turn * 1_000_033 + t) * 37 + len(paths)))
-                left = len(free) > 1 and rest > 0
-                path.values[t] = float(_truncated(np.array([path.before[t] + log(rest)]), best[0], again)[0]) if left else -np.inf
-                item = int(path.items[t])
-                chosen.append((path, t, arc, best[0]))
-                starts.append(np.concatenate([lattices.next[arc : arc + 1], roots[d][item + 1 :]]))
-                firsts.append(item)
-            for d, (one, (items, arcs)) in enumerate(zip(chosen, sampled(starts, firsts, turn), strict=True)):
-                if one is None:
-                    continue
-                path, t, arc, value = one
-                whole = np.concatenate([path.arcs[:t], [arc], arcs]).astype(np.int64)
-                at = np.concatenate([path.items[: t + 1], items])
-                found[d].append(_Path(lattices, whole, at, value, t + 1, mix(np.array([seeds[d] + np.uint64(turn * 13)]))[0], k))
-    return found
+            value = np.full((n, len(found)), -np.inf)
+            for j, p in enumerate(found):
+                value[p.rows, j] = p.values[:, 0]
+            rows = np.flatnonzero(value.max(axis=1) > -np.inf)
+            which, best = value[rows].argmax(axis=1), value[rows].max(axis=1)
+            step, lead, own = np.zeros(len(rows), np.int64), np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+            place = np.zeros(len(rows), np.int64)  # of the row within its path's arrays
+            for j, p in enumerate(found):
+                mine = np.flatnonzero(which == j)
+                place[mine] = np.searchsorted(p.rows, rows[mine])
+                step[mine], lead[mine] = p.steps[place[mine], 0], p.before[place[mine], 0]
+                own[mine] = p.arcs[p.first[place[mine]] + step[mine]]
+            node = np.searchsorted(lattices.low[: lattices.n_nodes], own, "right") - 1
+            degree = lattices.low[node + 1] - lattices.low[node]
+            sibling = lattices.low[node, None].astype(np.int64) + np.arange(int(degree.max()) if len(rows) else 0)
+            free = (np.arange(sibling.shape[1]) < degree[:, None]) & (sibling != own[:, None])
+            for r, w, s, a in taken:
+                at = np.minimum(np.searchsorted(r, rows), max(len(r) - 1, 0))
+                same = np.flatnonzero((r[at] == rows) & (w[at] == which) & (s[at] == step)) if len(r) else np.zeros(0, np.int64)
+                free[same] &= sibling[same] != a[at[same], None]
+            chance = np.where(free, np.exp(lattices.logp[np.where(free, sibling, 0)]), 0.0)
+            run = np.cumsum(chance, axis=1)
+            mark = seeds[rows] + np.uint64(turn) * np.uint64(0xA24BAED4963EE407) + step.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+            draw = _unit(mark + np.uint64(31)) * run[:, -1] if len(rows) else np.zeros(0)
+            pick = np.minimum((run <= draw[:, None]).sum(axis=1), sibling.shape[1] - 1)
+            short = np.flatnonzero(~free[np.arange(len(rows)), pick])  # rounding at the upper end: the last free one
+            pick[short] = sibling.shape[1] - 1 - free[short, ::-1].argmax(axis=1)
+            arc = sibling[np.arange(len(rows)), pick]
+            left = run[:, -1] - chance[np.arange(len(rows)), pick] if len(rows) else np.zeros(0)
+            more = (free.sum(axis=1) > 1) & (left > 0)
+            with np.errstate(divide="ignore"):
+                again = np.where(more, _truncated(lead + np.log(np.where(more, left, 1.0)), best, _unit(mark + np.uint64(37))), -np.inf)
+            pieces = []
+            for j, p in enumerate(found):
+                mine = np.flatnonzero(which == j)
+                at = place[mine]
+                p.values[at, 0] = again[mine]
+                order = np.argsort(-p.values[at], axis=1, kind="stable")
+                p.values[at], p.steps[at], p.before[at] = (np.take_along_axis(x[at], order, axis=1) for x in (p.values, p.steps, p.before))
+                pieces.append((mine, _runs(p.first[at], step[mine]), p.items[p.first[at] + step[mine]]))
+            item = np.zeros(len(rows), np.int64)
+            for mine, _, chunk in pieces:
+                item[mine] = chunk
+            count = n_chunks[rows] - item
+            starts = roots[_runs(first_chunk[rows] + item, count)]
+            starts[np.cumsum(count) - count] = lattices.next[arc]
+            arcs, items, tail = sampled(rows, starts, item, count, turn)
+            size = step + 1 + tail
+            at = np.cumsum(size) - size
+            whole, chunks = np.empty(int(size.sum()), np.int64), np.empty(int(size.sum()), np.int64)
+            for j, (mine, source, _) in enumerate(pieces):
+                target = _runs(at[mine], step[mine])
+                whole[target], chunks[target] = found[j].arcs[source], found[j].items[source]
+            whole[at + step], chunks[at + step] = arc, item
+            target = _runs(at + step + 1, tail)
+            whole[target], chunks[target] = arcs, items
+            taken.append((rows, which, step, arc))
+            found.append(Paths(lattices, rows, whole, chunks, size, best, step + 1, lead + lattices.logp[arc], mix(seeds[rows] + np.uint64(turn * 13)), k))
+    threshold = np.full(n, -np.inf)
+    for p in found:
+        np.maximum.at(threshold, p.rows, p.values[:, 0])
+    return found, threshold
 
 
 def decode(ids, surface: list[bytes]) -> str:
@@ -379,6 +529,20 @@ def decode(ids, surface: list[bytes]) -> str:
     return b"".join(map(surface.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+def _same(lattices: Lattices, piece: np.ndarray, size: np.ndarray, rows: np.ndarray, raw: np.ndarray, raw_first: np.ndarray, raw_size: np.ndarray) -> np.ndarray:
+    """Whether the pieces of each row give back its bytes."""
+    width = lattices.width[piece]
+    long = _summed(width, size).astype(np.int64)
+    ok = long == raw_size[rows]
+    if not ok.all():  # compare what is as long as its text
+        kept = np.repeat(ok, size)
+        piece, width = piece[kept], width[kept]
+    got = lattices.flat[_runs(lattices.start[piece], width)]
+    wrong = got != (raw if len(got) == len(raw) else raw[_runs(raw_first[rows[ok]], raw_size[rows[ok]])])
+    ok[ok] = _summed(wrong, long[ok]) == 0
+    return ok
+
+
 _state: dict[float, Lattices] = {}
 
 
@@ -388,44 +552,48 @@ def _encode(vocabulary, k: int, theta: float, seed: int):
             _state[theta] = Lattices(vocabulary.value, theta)
         lattices = _state[theta]
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text")
+            ids, texts = b.column("doc_id"), b.column("text").fill_null("").to_pylist()
+            key = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            copy = b.column("copy").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            with np.errstate(over="ignore"):
+                all_seeds = mix(mix(key + np.uint64(seed)) ^ np.uint64(_G))
+                all_seeds[null] = mix(np.full(int(null.sum()), _NO_ID + seed, np.uint64))
+                all_seeds = np.where(copy > 0, mix(all_seeds + copy * np.uint64(0xD6E8FEB86659FD93)), all_seeds)
+            ends = np.cumsum([len(t) for t in texts])
+            n_bytes = pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = 0
-            while at < len(ids):
-                part, size, end = [], 0, at
-                while end < len(ids) and (size < _SLICE_CHARS or end == at):
-                    part.append(texts[end].as_py() or "")
-                    size += len(part[-1])
-                    end += 1
-                key = np.array([(i or 0) & 0xFFFFFFFFFFFFFFFF for i in ids[at:end]], np.uint64)
-                with np.errstate(over="ignore"):
-                    seeds = mix(mix(key + np.uint64(seed)) ^ np.uint64(_G))
-                cols: list[list] = [[] for _ in range(9)]
-                for doc, text, paths in zip(ids[at:end], part, _segmentations(lattices, part, seeds, k), strict=True):
-                    threshold = max(float(p.values.max()) if len(p.values) else -np.inf for p in paths)
-                    raw = (" " + text).encode("utf-8", "surrogatepass") if text else b""
-                    for n, p in enumerate(paths):
-                        pieces = lattices.piece[p.arcs]
-                        over = p.log_prob - threshold
-                        inclusion = 1.0 if threshold == -np.inf else -float(np.expm1(-np.exp(min(over, 700.0))))
-                        log_inclusion = over if over < -30 else log(inclusion)
-                        same = b"".join(map(lattices.surface.__getitem__, pieces.tolist())) == raw
-                        for c, v in zip(cols, (doc, n + 1, pieces, len(pieces), p.log_prob, p.top, inclusion, log_inclusion, same), strict=True):
-                            c.append(v)
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-                names = ["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "log_inclusion", "round_trip"]
-                flat = np.concatenate([np.zeros(0, np.int32), *cols[2]]).astype(np.int32)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in cols[2]])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([lists if i == 2 else pa.array(c, t) for i, (c, t) in enumerate(zip(cols, kinds, strict=True))], names=names)
+            while at < len(texts):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE_CHARS, "right")))
+                part, own = texts[at:end], ids.slice(at, end - at)
+                found, threshold = _segmentations(lattices, part, all_seeds[at:end], k)
+                raw = np.frombuffer("".join([" " + t for t in part if t]).encode("utf-8", "surrogatepass"), np.uint8)
+                raw_size = n_bytes[at:end] + (n_bytes[at:end] > 0)
+                raw_first = np.cumsum(raw_size) - raw_size
+                for n, p in enumerate(found):
+                    over = p.log_prob - threshold[p.rows]
+                    inclusion = np.where(np.isinf(over), 1.0, -np.expm1(-np.exp(np.minimum(over, 700.0))))
+                    with np.errstate(divide="ignore"):
+                        log_inclusion = np.where(over < -30, over, np.log(inclusion))
+                    piece = lattices.piece[p.arcs]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p.size)]).astype(np.int32)), pa.array(piece))
+                    cols = [own.take(pa.array(p.rows)), pa.array(np.full(len(p.rows), n + 1, np.int32)), lists, pa.array(p.size.astype(np.int32)), *(pa.array(x) for x in (p.log_prob, p.top, inclusion, log_inclusion))]
+                    cols.append(pa.array(_same(lattices, piece, p.size, p.rows, raw, raw_first, raw_size)))
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "log_inclusion", "round_trip"])
                 at = end
 
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, k: int = K, theta: float = THETA, seed: int = SEED) -> DataFrame:
-    """Up to ``k`` rows per document, best first: piece ids, log-probability, perturbed value, inclusion score, round trip."""
+def encode(docs: DataFrame, model: str = MODEL, k: int = K, theta: float = THETA, seed: int = SEED, copies: bool = False) -> DataFrame:
+    """Up to ``k`` rows per document: piece ids, log-probability, perturbed value, inclusion score, round trip; ``sample`` 1 is the best.
+
+    With ``copies``, rows that repeat a doc_id and text are numbered, and each number has samples of its own; without,
+    they get the same samples.
+    """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(model))  # as many pieces as the model has
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    number = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))) - 1 if copies else F.lit(0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", number.cast("long").alias("copy"))
     return rows.mapInArrow(_encode(vocabulary, k, theta, seed), _OUT)
 
 

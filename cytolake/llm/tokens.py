@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("p", ())) < n + 1:
         size = max(n + 1, 2 * _BLOCK)
         inverse = np.uint64(pow(int(_PRIME), -1, 1 << 64))
@@ -68,7 +68,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
         last[:-1] |= edges[at + 1 : end]
         s = np.flatnonzero(~space & fresh)
         e = np.flatnonzero(~space & last) + 1
-        power, inverse = _power_tables(len(block))
+        power, inverse = power_tables(len(block))
         sums = np.zeros(len(block) + 1, np.uint64)
         np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[: len(block)], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)))
