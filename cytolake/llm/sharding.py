@@ -10,7 +10,9 @@ fill what is left, so quotas hold exactly and a hub larger than a shard spreads
 
 Sizes are UTF-8 bytes plus 16; null text counts as empty, and null or empty texts are linked with nothing. Rows are
 placed one by one, so repeated rows each get a slot. Rows of one hub are interchangeable: ranges of their ranks are
-mapped to shards at the end.
+mapped to shards at the end; where the hashes that order rows tie, their order within a shard is free, their number and
+the quotas are not. An empty table gives an empty result; a long text counts by its hash; no column but doc_id and text
+counts, whatever its name.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut, position
 
 _RANGES = 512
+#: Rows that one task numbers, about.
+_ROWS = 100_000
 
 
 def _hash(*cols: Column) -> Column:
@@ -112,9 +116,12 @@ def shard_rows(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     rows = rows.withColumn("_hub", F.when(F.col("size") > 16, F.xxhash64("_x", "text_crc32", "size"))).drop("_x")
     spark = docs.sparkSession
     counts = rows.groupBy("_hub").agg(F.count(F.lit(1)).alias("_members")).filter("_hub IS NOT NULL AND _members > 1")
-    rows = cut(rows.join(counts, "_hub", "left").withColumn("_hub", F.when(F.col("_members").isNotNull(), F.col("_hub"))))
+    named = rows.filter("_hub IS NOT NULL").join(counts, "_hub", "left").withColumn("_hub", F.when(F.col("_members").isNotNull(), F.col("_hub")))
+    none = rows.filter("_hub IS NULL").withColumn("_members", F.lit(None).cast("long"))  # null and empty texts have no key to meet on
+    rows = cut(named.unionByName(none))
     linked, single = rows.filter("_hub IS NOT NULL"), rows.filter("_hub IS NULL")
     total = rows.count()
+    deal = max(_RANGES, total // _ROWS)  # ranges that rows are numbered in: as many as the rows ask for
     quota = spark.range(n_shards).select(F.col("id").cast("int").alias("shard"), (F.lit(total // n_shards) + F.when(F.col("id") < total % n_shards, 1).otherwise(0)).cast("long").alias("quota"))
     quota = quota.coalesce(1)
     # the first deal: whole hubs in order of their hashes, spread evenly over all shards, within every quota
@@ -128,11 +135,11 @@ def shard_rows(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     spans = cells.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("shard", "members"))).alias("_cells"))  # n_shards cells at most
     ends = F.transform("_cells", lambda c, i: F.struct(F.aggregate(F.slice("_cells", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["members"]).alias("hi"), c["shard"].alias("shard")))
     spans = spans.select(F.col("hub").alias("_hub"), ends.alias("_ends"))
-    ranked = position(linked, ["_hub"], order, "_p", 16)
+    ranked = position(linked, ["_hub"], order, "_p", max(16, deal // 32))
     placed = ranked.join(spans, "_hub").withColumn("shard", F.element_at(F.filter("_ends", lambda e: e["hi"] > F.col("_p")), 1)["shard"]).drop("_ends", "_p")
     left = quota.join(cells.groupBy("shard").agg(F.sum("members").alias("load")), "shard", "left").select("shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("free"))
-    filled = _placed(position(single, [], order, "_p", _RANGES), "_p", _steps(left, "free")).drop("_p")
+    filled = _placed(position(single, [], order, "_p", deal), "_p", _steps(left, "free")).drop("_p")
     keep = ["doc_id", "size", "text_crc32", "shard"]
     done = placed.select(*keep).unionByName(filled.select(*keep))
-    slotted = position(done, ["shard"], _hash("doc_id", "text_crc32", F.lit("slot")), "slot", 64)
+    slotted = position(done, ["shard"], _hash("doc_id", "text_crc32", F.lit("slot")), "slot", max(64, deal // n_shards))
     return slotted.select("doc_id", "size", F.col("text_crc32").cast("long").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
