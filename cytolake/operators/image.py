@@ -50,14 +50,13 @@ def _hull_area(points: np.ndarray) -> float:
 
 
 def solidity(mask: DataFrame) -> DataFrame:
-    """Area over the area of the convex hull of the pixel squares. An object's pixels meet in one group: objects are small."""
+    """Area over the area of the convex hull of the pixel squares. Only both ends of each row of an object and their count meet in its group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[["row", "col"]].to_numpy(float)
-        return pd.DataFrame({"image": [pdf["image"].iloc[0]], "label": [int(pdf["label"].iloc[0])], "solidity": [len(own) / _hull_area(own)]})
+        ends = np.concatenate([pdf[["row", "_lo"]].to_numpy(float), pdf[["row", "_hi"]].to_numpy(float)])
+        return pd.DataFrame({"image": [pdf["image"].iloc[0]], "label": [int(pdf["label"].iloc[0])], "solidity": [pdf["_n"].sum() / _hull_area(ends)]})
 
-    rows = mask.filter("label <> 0").select("image", F.col("label").cast("int").alias("label"), "row", "col")
-    # only the outline of each row of pixels matters to the hull, but the area needs the count: both come from the whole object
+    rows = mask.filter("label <> 0").groupBy("image", F.col("label").cast("int").alias("label"), "row").agg(F.min("col").alias("_lo"), F.max("col").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     return rows.groupBy("image", "label").applyInPandas(run, "image string, label int, solidity double")
 
 
@@ -75,8 +74,8 @@ def boundary(mask: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame, keys: list[str], q: float, name: str) -> DataFrame:
-    """Percentile of the non-zero values of each channel."""
-    return df.groupBy(*keys).agg(F.expr(f"percentile(CASE WHEN v <> 0 THEN v END, {q})").alias(name))
+    """Percentile of the non-zero values of each channel, to nine decimals: between two equal values it is that value."""
+    return df.groupBy(*keys).agg(F.round(F.expr(f"percentile(CASE WHEN v <> 0 THEN v END, {q})"), 9).alias(name))
 
 
 def denoise(pixels: DataFrame, percentile: float = 0.98) -> DataFrame:
@@ -89,10 +88,11 @@ def denoise(pixels: DataFrame, percentile: float = 0.98) -> DataFrame:
 
 def two_channels(pixels: DataFrame, groups: Mapping[str, Sequence[Sequence[str]]]) -> DataFrame:
     """Nuclear and membrane images: channels rescaled to [0, 1], summed by group, groups rescaled if there are several, summed."""
-    flat = [F.struct(F.lit(out).alias("out"), F.lit(k).alias("grp"), F.lit(c).alias("channel")) for out, gs in groups.items() for k, g in enumerate(gs) for c in g]
     several = [out for out, gs in groups.items() if len(gs) > 1]
-    scaled = pixels.withColumn("_s", rescale(F.col("v"), ["image", "channel"])).withColumn("_m", F.explode(F.array(*flat))).filter("channel = _m.channel")
-    by_group = scaled.groupBy("image", "row", "col", F.col("_m.out").alias("out"), F.col("_m.grp").alias("grp")).agg(F.sum("_s").alias("_v"))
+    named = [(c, out, k) for out, gs in groups.items() for k, g in enumerate(gs) for c in g]
+    table = pixels.sparkSession.createDataFrame(named, "channel string, out string, grp int")
+    scaled = pixels.withColumn("_s", rescale(F.col("v"), ["image", "channel"])).join(F.broadcast(table), "channel")  # as many rows as the groups name
+    by_group = scaled.groupBy("image", "row", "col", "out", "grp").agg(F.sum("_s").alias("_v"))
     again = by_group.withColumn("_v", F.when(F.col("out").isin(*several), rescale(F.col("_v"), ["image", "out", "grp"])).otherwise(F.col("_v")))
     return again.groupBy("image", "row", "col", "out").agg(F.sum("_v").alias("v"))
 

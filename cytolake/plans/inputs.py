@@ -87,24 +87,39 @@ class Tables:
         w = W.partitionBy("sample").orderBy("point")
         return n.withColumn("neigh", F.array("point", F.lag("point", 1, -1).over(w), F.lead("point", 1, -1).over(w), F.lead("point", 2, -1).over(w)))
 
-    _SQL["grid"] = ((), "SELECT t.event_type AS channel, CAST(r.i AS INTEGER) AS row, CAST(c.i AS INTEGER) AS col FROM (SELECT DISTINCT event_type FROM events) t, (SELECT unnest(range(16)) AS i) r, (SELECT unnest(range(24)) AS i) c")
+    _SQL["grid"] = (
+        (),
+        "SELECT i.image, t.channel, CAST(r.i AS INTEGER) AS row, CAST(c.i AS INTEGER) AS col FROM (SELECT DISTINCT 'img' || (user_id // 15) AS image FROM events) i, (SELECT DISTINCT event_type AS channel FROM events) t, (SELECT unnest(range(15)) AS i) r, (SELECT unnest(range(24)) AS i) c",
+    )
     _SQL["pixels"] = (
         ("grid",),
-        "SELECT 'img' AS image, g.channel, g.row, g.col, coalesce(v, 0.0) AS v FROM grid g LEFT JOIN (SELECT event_type, user_id % 16 AS r, event_id % 24 AS c, round(sum(value), 4) AS v FROM events GROUP BY 1, 2, 3) e ON e.event_type = g.channel AND e.r = g.row AND e.c = g.col",
+        "SELECT g.image, g.channel, g.row, g.col, coalesce(v, 0.0) AS v FROM grid g LEFT JOIN (SELECT 'img' || (user_id // 15) AS image, event_type, user_id % 15 AS r, event_id % 24 AS c, round(sum(value), 4) AS v FROM events GROUP BY 1, 2, 3, 4) e"
+        " ON e.image = g.image AND e.event_type = g.channel AND e.r = g.row AND e.c = g.col",
     )
 
     def pixels(self) -> DataFrame:
-        """Events summed over a 16 x 24 grid for each type; empty squares are 0."""
-        e = self["events"].groupBy(F.col("event_type").alias("channel"), (F.col("user_id") % 16).cast("int").alias("row"), (F.col("event_id") % 24).cast("int").alias("col")).agg(F.round(F.sum("value"), 4).alias("v"))
-        at = self["events"].select(F.col("event_type").alias("channel")).distinct()
-        grid = at.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(23))))
-        return grid.join(e, ["channel", "row", "col"], "left").select(F.lit("img").alias("image"), "channel", "row", "col", F.coalesce("v", F.lit(0.0)).alias("v"))
-
-    _SQL["mask"] = (("grid",), "SELECT DISTINCT 'img' AS image, row, col, CASE WHEN (row + col) % 5 = 0 THEN 0 ELSE 1 + (row // 4) * 6 + col // 4 END AS label FROM grid")
+        """An image for every 15 users: their events summed over a 15 x 24 grid for each type; empty squares are 0."""
+        image = F.concat(F.lit("img"), F.floor(F.col("user_id") / 15).cast("string"))
+        e = self["events"].select(image.alias("image"), F.col("event_type").alias("channel"), (F.col("user_id") % 15).cast("int").alias("row"), (F.col("event_id") % 24).cast("int").alias("col"), "value")
+        sums = e.groupBy("image", "channel", "row", "col").agg(F.round(F.sum("value"), 4).alias("v"))
+        types = e.agg(F.array_sort(F.collect_set("channel")).alias("_types"))  # a handful
+        at = e.select("image").distinct().crossJoin(F.broadcast(types)).select("image", F.explode("_types").alias("channel"))
+        grid = at.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(14)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(23))))
+        return grid.join(sums, ["image", "channel", "row", "col"], "left").select("image", "channel", "row", "col", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+    _SQL["mask"] = (
+        ("pixels",),
+        "SELECT image, row, col, CAST(CASE WHEN s * count(*) OVER (PARTITION BY image) > sum(s) OVER (PARTITION BY image) THEN 1 + (row // 4) * 6 + col // 4 ELSE 0 END AS INTEGER) AS label FROM (SELECT image, row, col, CAST(sum(CAST(round(v * 100) AS BIGINT)) AS BIGINT) AS s FROM pixels GROUP BY 1, 2, 3)",
+    )
 
     def mask(self) -> DataFrame:
-        at = self.pixels().select("image", "row", "col").distinct()
-        return at.withColumn("label", F.when((F.col("row") + F.col("col")) % 5 == 0, 0).otherwise(1 + F.floor(F.col("row") / 4) * 6 + F.floor(F.col("col") / 4)).cast("int"))
+        """Squares brighter than the mean of their image, labelled by blocks of 4 x 4; sums are in whole hundredths, so that the comparison is exact."""
+        from pyspark.sql import Window as W
+
+        at = self.pixels().groupBy("image", "row", "col").agg(F.sum(F.round(F.col("v") * 100).cast("long")).alias("_s"))
+        own = W.partitionBy("image")
+        bright = F.col("_s") * F.count(F.lit(1)).over(own) > F.sum("_s").over(own)
+        return at.select("image", "row", "col", F.when(bright, 1 + F.floor(F.col("row") / 4) * 6 + F.floor(F.col("col") / 4)).otherwise(0).cast("int").alias("label"))
 
     _SQL["vecs"] = ((), "SELECT CAST(label AS VARCHAR) AS item, dim AS key, avg(v) AS value FROM (SELECT label, generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1, 2")
 

@@ -456,8 +456,8 @@ def n9_boundary(t):
 
 
 @query(
-    sql("pixels") + ", h AS (SELECT channel, quantile_cont(v, 0.98) FILTER (WHERE v <> 0) AS hi FROM pixels GROUP BY 1), c AS (SELECT image, channel, row, col, least(v, hi) AS v FROM pixels JOIN h USING (channel)), l AS (SELECT channel, quantile_cont(v, 0.02) FILTER (WHERE v <> 0) AS lo FROM c GROUP BY 1)"
-    " SELECT image, channel, row, col, round(CASE WHEN v < lo THEN 0 ELSE v END, 6) AS v FROM c JOIN l USING (channel)"
+    sql("pixels") + ", h AS (SELECT image, channel, round(quantile_cont(v, 0.98) FILTER (WHERE v <> 0), 9) AS hi FROM pixels GROUP BY 1, 2), c AS (SELECT image, channel, row, col, least(v, coalesce(hi, v)) AS v FROM pixels JOIN h USING (image, channel)), l AS (SELECT image, channel, round(quantile_cont(v, 0.02) FILTER (WHERE v <> 0), 9) AS lo FROM c GROUP BY 1, 2)"
+    " SELECT image, channel, row, col, round(CASE WHEN v < coalesce(lo, 0) THEN 0 ELSE v END, 6) AS v FROM c JOIN l USING (image, channel)"
 )
 def n4_denoise(t):
     return r6(image.denoise(t.pixels()).select("image", "channel", "row", "col", "v"), "v")
@@ -468,18 +468,18 @@ _GROUPS = {"nuclear": [["error"]], "membrane": [["click", "view"], ["purchase"]]
 
 
 @query(
-    sql("pixels") + ", s AS (SELECT channel, row, col, coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) AS s FROM pixels WINDOW w AS (PARTITION BY channel)), m AS (SELECT * FROM (VALUES ('error', 'nuclear', 0), ('click', 'membrane', 0), ('view', 'membrane', 0), ('purchase', 'membrane', 1)) AS v(channel, \"out\", grp)),"
-    " g AS (SELECT row, col, \"out\", grp, sum(s) AS v FROM s JOIN m USING (channel) GROUP BY 1, 2, 3, 4), h AS (SELECT row, col, \"out\", CASE WHEN \"out\" = 'membrane' THEN coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) ELSE v END AS v FROM g WINDOW w AS (PARTITION BY \"out\", grp))"
-    " SELECT 'img' AS image, row, col, \"out\", round(sum(v), 6) AS v FROM h GROUP BY 1, 2, 3, 4"
+    sql("pixels") + ", s AS (SELECT image, channel, row, col, coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) AS s FROM pixels WINDOW w AS (PARTITION BY image, channel)), m AS (SELECT * FROM (VALUES ('error', 'nuclear', 0), ('click', 'membrane', 0), ('view', 'membrane', 0), ('purchase', 'membrane', 1)) AS v(channel, \"out\", grp)),"
+    " g AS (SELECT image, row, col, \"out\", grp, sum(s) AS v FROM s JOIN m USING (channel) GROUP BY 1, 2, 3, 4, 5), h AS (SELECT image, row, col, \"out\", CASE WHEN \"out\" = 'membrane' THEN coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) ELSE v END AS v FROM g WINDOW w AS (PARTITION BY image, \"out\", grp))"
+    " SELECT image, row, col, \"out\", round(sum(v), 6) AS v FROM h GROUP BY 1, 2, 3, 4"
 )
 def n5_two_channels(t):
     return r6(image.two_channels(t.pixels(), _GROUPS), "v")
 
 
 @query(
-    sql("pixels") + ", l AS (SELECT channel, row, col, log2(v + 1) AS v FROM pixels WHERE channel IN ('click', 'view', 'error')), h AS (SELECT channel, quantile_cont(v, 0.99) FILTER (WHERE v <> 0) AS hi FROM l GROUP BY 1), c AS (SELECT channel, row, col, least(v, hi) AS v FROM l JOIN h USING (channel)),"
-    " o AS (SELECT channel, quantile_cont(v, 0.1) FILTER (WHERE v <> 0) AS lo FROM c GROUP BY 1), f AS (SELECT channel, row, col, CASE WHEN v <= lo THEN 0 ELSE v END AS v FROM c JOIN o USING (channel)), s AS (SELECT channel, row, col, coalesce(v / nullif(max(v) OVER (PARTITION BY channel), 0), 0) * 255 AS s FROM f)"
-    " SELECT 'img' AS image, row, col, CAST(trunc(sum(CASE WHEN channel IN ('click', 'error') THEN s ELSE 0 END)) AS INTEGER) AS r, CAST(trunc(sum(CASE WHEN channel IN ('view', 'error') THEN s ELSE 0 END)) AS INTEGER) AS g, CAST(trunc(sum(CASE WHEN channel = 'none' THEN s ELSE 0 END)) AS INTEGER) AS b FROM s GROUP BY 1, 2, 3"
+    sql("pixels") + ", l AS (SELECT image, channel, row, col, log2(v + 1) AS v FROM pixels WHERE channel IN ('click', 'view', 'error')), h AS (SELECT image, channel, round(quantile_cont(v, 0.99) FILTER (WHERE v <> 0), 9) AS hi FROM l GROUP BY 1, 2), c AS (SELECT image, channel, row, col, least(v, coalesce(hi, v)) AS v FROM l JOIN h USING (image, channel)),"
+    " o AS (SELECT image, channel, round(quantile_cont(v, 0.1) FILTER (WHERE v <> 0), 9) AS lo FROM c GROUP BY 1, 2), f AS (SELECT image, channel, row, col, CASE WHEN v <= coalesce(lo, 0) THEN 0 ELSE v END AS v FROM c JOIN o USING (image, channel)), s AS (SELECT image, channel, row, col, coalesce(v / nullif(max(v) OVER (PARTITION BY image, channel), 0), 0) * 255 AS s FROM f)"
+    " SELECT image, row, col, CAST(trunc(sum(CASE WHEN channel IN ('click', 'error') THEN s ELSE 0 END)) AS INTEGER) AS r, CAST(trunc(sum(CASE WHEN channel IN ('view', 'error') THEN s ELSE 0 END)) AS INTEGER) AS g, CAST(trunc(sum(CASE WHEN channel = 'none' THEN s ELSE 0 END)) AS INTEGER) AS b FROM s GROUP BY 1, 2, 3"
 )
 def n6_pseudo_colour(t):
     return image.pseudo_colour(t.pixels(), {"click": "red", "view": "green", "error": "yellow"})
@@ -496,11 +496,11 @@ def ag18_compartments(t):
     return r6(image.compartments(t.pixels(), m, nucleus), "mean_z", "z")
 
 
-@query(sql("mask") + ", b AS (SELECT m.*, m.label <> 0 AND EXISTS (SELECT 1 FROM mask o WHERE abs(o.row - m.row) + abs(o.col - m.col) = 1 AND o.label <> m.label) AS e FROM mask m) SELECT image, row, col, label, CASE WHEN e THEN 255 WHEN label = 0 THEN 0 ELSE 10 * (label % 3) + 10 END AS code FROM b")
+@query(sql("mask") + ", b AS (SELECT m.*, m.label <> 0 AND EXISTS (SELECT 1 FROM mask o WHERE o.image = m.image AND abs(o.row - m.row) + abs(o.col - m.col) = 1 AND o.label <> m.label) AS e FROM mask m) SELECT image, row, col, label, CASE WHEN e THEN 255 WHEN label = 0 THEN 0 ELSE 10 * (label % 3) + 10 END AS code FROM b")
 def n8_painted(t):
     m = t.mask()
     cells = m.filter("label <> 0").select("image", "label", (F.col("label") % 3).alias("cluster")).distinct()
-    colours = cells.select("cluster", (10 * F.col("cluster") + 10).cast("int").alias("code")).distinct()
+    colours = cells.select("cluster", (10 * F.col("cluster") + 10).cast("int").alias("code")).distinct()  # a row for each cluster
     return image.painted(m, cells, colours)
 
 
