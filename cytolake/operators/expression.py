@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import need, ratio
+from ..functions.numeric import need, ratio, zscore
 
 
 def keep_genes(counts: DataFrame, genes: DataFrame, gene: str = "gene") -> DataFrame:
@@ -92,3 +92,25 @@ def tmm_factors(counts: DataFrame, reference: str, trim_m: float = 0.3, trim_a:
     kept = rows.withColumn("_n", n).withColumn("_lm", low(trim_m)).withColumn("_la", low(trim_a))
     kept = kept.filter("_mr >= _lm AND _mr <= _n + 1 - _lm AND _ar >= _la AND _ar <= _n + 1 - _la")
     return kept.groupBy("sample").agg(F.pow(F.lit(2.0), F.try_divide(F.sum(F.col("_m") / F.col("_v")), F.sum(1 / F.col("_v")))).alias("factor"))
+
+
+def sample_pca(counts: DataFrame, k: int = 2) -> DataFrame:
+    """Loadings of each sample on the first ``k`` components of the genes x samples matrix, and the components' shares of variance.
+
+    log(x + 1), each sample scaled; genes that a sample lacks are 0. The sign of a component is such that its largest
+    loading is positive. Only the samples' products reach the driver, as Spark's own PCA has it.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    scaled = counts.select("gene", "sample", zscore(F.log1p("value"), ["sample"]).alias("_z"))
+    names = sorted(r["sample"] for r in counts.select("sample").distinct().collect())  # a name for each sample
+    empty = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("_m", n), F.lit(0.0)))
+    rows = scaled.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.coalesce("_z", F.lit(0.0))))).alias("_m")).select(array_to_vector(empty).alias("_v"))
+    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows)
+    axes, shares = model.pc.toArray(), model.explainedVariance.toArray()
+    out = []
+    for c in range(k):
+        own = axes[:, c] * (1 if axes[abs(axes[:, c]).argmax(), c] > 0 else -1)
+        out += [(n, c + 1, float(x), float(shares[c])) for n, x in zip(names, own, strict=True)]
+    return counts.sparkSession.createDataFrame(out, "sample string, component int, loading double, proportion double")

@@ -124,6 +124,19 @@ def painted(mask: DataFrame, cells: DataFrame, colours: DataFrame, outline: bool
     return rows.select(*_AT, "label", F.when(F.col("boundary"), 255).otherwise(F.coalesce("code", F.lit(0))).cast("int").alias("code"))
 
 
+def painted_values(mask: DataFrame, cells: DataFrame, value: str, high: float = 0.99, low: float = 0.0) -> DataFrame:
+    """Each pixel with its object's value, and whether it is on a boundary; background and unknown are 0.
+
+    Values are capped at the ``high`` quantile of those other than 0; then those up to the ``low`` quantile, taken anew,
+    become 0, so the smallest value always does.
+    """
+    need(cells, "image", "label", value)
+    v = cells.select("image", "label", F.col(value).alias("v"))
+    capped = v.join(_cut(v, ["image"], high, "_hi"), "image").withColumn("v", F.least("v", F.coalesce("_hi", "v"))).drop("_hi")
+    floored = capped.join(_cut(capped, ["image"], low, "_lo"), "image").select("image", "label", F.when(F.col("v") <= F.coalesce("_lo", F.lit(0.0)), 0.0).otherwise(F.col("v")).alias("value"))
+    return boundary(mask).join(floored, ["image", "label"], "left").select(*_AT, "label", F.coalesce("value", F.lit(0.0)).alias("value"), "boundary")
+
+
 def compartments(pixels: DataFrame, cell: DataFrame, nucleus: DataFrame, q: float = 0.99) -> DataFrame:
     """Means over background, cytoplasm and nuclei: each pixel clipped at its own quantile over channels and scaled, then each channel scaled over the three."""
     at = W.partitionBy(*_AT)

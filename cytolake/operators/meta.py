@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,3 +170,134 @@ def acat_v(geno: DataFrame, pheno: DataFrame, mac_thresh: int = 10, a: float = 1
     rare = rare.crossJoin(F.broadcast(mean)).select("p_value", w(F.col("maf")).alias("weight"))
     both = common.unionByName(rare).filter("p_value IS NOT NULL AND p_value < 1").withColumn("_all", F.lit(1))
     return acat(both, "p_value", ["_all"], "weight").select("p_value")
+
+
+@dataclass(frozen=True)
+class NullModel:
+    """An outcome without any variant: ``rows`` has (ind, residual, _v, _x0 = 1, _x1, ...), ``_v`` each outcome's variance up to ``sigma2``."""
+
+    binary: bool
+    n: int
+    coefficients: tuple[float, ...]
+    sigma2: float
+    inverse: tuple[tuple[float, ...], ...]  # of the sums of products of covariates, weighted by _v
+    rows: DataFrame
+
+    @property
+    def width(self) -> int:
+        return len(self.coefficients)
+
+    def explained(self, products: list[Column]) -> Column:
+        """What the covariates explain of a variant, from its products with them."""
+        out = F.lit(0.0)
+        for i, x in enumerate(products):
+            for j, y in enumerate(products):
+                out = out + F.lit(float(self.inverse[i][j])) * x * y
+        return out
+
+
+def null_model(pheno: DataFrame, covariates: list[str] | None = None, rounds: int = 50) -> NullModel:
+    """Linear, or logistic where every outcome is 0 or 1, on an intercept and the covariates; rows with a null among these go.
+
+    Both are fitted from sums over all rows: one pass of normal equations, or one for each Newton step. Only these sums,
+    as many as covariates squared, reach the driver.
+    """
+    names = list(covariates or [])
+    need(pheno, "ind", "y", *names)
+    rows = pheno.select("ind", F.col("y").cast("double").alias("_y"), F.lit(1.0).alias("_x0"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names, 1)]).dropna()
+    x = [F.col(f"_x{i}") for i in range(len(names) + 1)]
+
+    def products(weight: Column, target: Column) -> tuple[np.ndarray, np.ndarray]:
+        sums = rows.agg(*[F.sum(weight * a * b) for i, a in enumerate(x) for b in x[i:]], *[F.sum(target * a) for a in x]).first()
+        whole, at = np.zeros((len(x), len(x))), 0
+        for i in range(len(x)):
+            for j in range(i, len(x)):
+                whole[i, j] = whole[j, i] = sums[at] or 0.0
+                at += 1
+        return whole, np.array([v or 0.0 for v in sums[at:]])
+
+    n, odd = rows.agg(F.count(F.lit(1)), F.count(F.when(~F.col("_y").isin(0.0, 1.0), 1))).first()
+    if n <= len(x):
+        raise ValueError(f"{n} rows for {len(x)} coefficients")
+    dot = lambda b: sum((F.lit(float(w)) * a for w, a in zip(b, x, strict=True)), F.lit(0.0))
+    if odd:
+        whole, target = products(F.lit(1.0), F.col("_y"))
+        beta = np.linalg.solve(whole, target)
+        done = rows.withColumn("residual", F.col("_y") - dot(beta)).withColumn("_v", F.lit(1.0))
+        sigma2 = done.agg(F.sum(F.col("residual") * F.col("residual"))).first()[0] / (n - len(x))
+    else:
+        beta, sigma2 = np.zeros(len(x)), 1.0
+        for _ in range(rounds):
+            p = 1 / (1 + F.exp(-dot(beta)))
+            whole, target = products(p * (1 - p), F.col("_y") - p)
+            step = np.linalg.solve(whole, target)
+            beta = beta + step
+            if np.abs(step).max() < 1e-10:
+                break
+        p = 1 / (1 + F.exp(-dot(beta)))
+        whole, _ = products(p * (1 - p), F.col("_y"))
+        done = rows.withColumn("residual", F.col("_y") - p).withColumn("_v", p * (1 - p))
+    inverse = np.linalg.inv(whole)
+    return NullModel(not odd, n, tuple(map(float, beta)), float(sigma2), tuple(tuple(map(float, r)) for r in inverse), done.select("ind", "residual", "_v", *[f"_x{i}" for i in range(len(x))]))
+
+
+def _scored(geno: DataFrame, null: NullModel) -> DataFrame:
+    """Per variant: minor allele count and frequency, score and its variance (up to sigma2 in the linear case)."""
+    need(geno, "ind", "snp", "dosage")
+    g, v = F.col("dosage").cast("double"), F.col("_v")
+    sums = geno.join(null.rows, "ind").groupBy("snp").agg(
+        F.sum(g).alias("_s"), F.sum(g * F.col("residual")).alias("_u"), F.sum(g * g * v).alias("_gg"), *[F.sum(g * v * F.col(f"_x{i}")).alias(f"_p{i}") for i in range(null.width)]
+    )
+    spread = F.col("_gg") - null.explained([F.col(f"_p{i}") for i in range(null.width)])
+    return sums.select("snp", F.col("_s").cast("long").alias("mac"), (F.col("_s") / (2 * null.n)).alias("maf"), "_u", spread.alias("_var"))
+
+
+def marginal_tests(geno: DataFrame, null: NullModel) -> DataFrame:
+    """Score test of each variant: t with n - 1 - coefficients degrees of freedom, or the normal z of a binary outcome; with p."""
+    s = _scored(geno, null)
+    if null.binary:
+        z = ratio(F.abs("_u"), F.sqrt(F.greatest(F.lit(0.0), F.col("_var"))))
+        return s.select("snp", "mac", "maf", z.alias("statistic")).withColumn("p_value", 2 * normal_upper(F.col("statistic")))
+    df, total = null.n - 1 - null.width, null.sigma2 * (null.n - null.width)
+    part = F.when(F.col("_var") <= 0, 0.0).otherwise(ratio(F.col("_u") * F.col("_u"), F.col("_var")))
+    t = F.sqrt(F.greatest(F.lit(0.0), ratio(part, (total - part) / df)))
+    return s.select("snp", "mac", "maf", t.alias("statistic")).withColumn("p_value", t_two_sided(F.col("statistic"), F.lit(float(df))))
+
+
+def _beta_weight(maf: Column, a: float, b: float) -> Column:
+    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+    return scale * F.pow(maf, F.lit(a - 1)) * F.pow(1 - maf, F.lit(b - 1))
+
+
+def burden_test(geno: DataFrame, null: NullModel, weights: DataFrame | None = None, beta: tuple[float, float] = (1.0, 25.0), weighted: bool = True) -> DataFrame:
+    """One row (q, p_value): the score test of the weighted sum of variants. Weights are given (snp, weight), beta densities of the frequency, or 1."""
+    from ..functions.special import chi2_upper_one
+
+    if weights is None:
+        maf = geno.groupBy("snp").agg((F.sum(F.col("dosage").cast("double")) / (2 * null.n)).alias("_maf"))
+        weights = maf.select("snp", (_beta_weight(F.col("_maf"), *beta) if weighted else F.lit(1.0)).alias("weight"))
+    summed = geno.join(weights.select("snp", "weight"), "snp").groupBy("ind").agg(F.sum(F.col("dosage") * F.col("weight")).alias("dosage")).withColumn("snp", F.lit(0))
+    s = _scored(summed, null)
+    return s.select(ratio(F.col("_u") * F.col("_u"), F.lit(null.sigma2) * F.col("_var")).alias("q")).withColumn("p_value", chi2_upper_one(F.col("q")))
+
+
+def acat_v_test(geno: DataFrame, null: NullModel, weights: DataFrame | None = None, beta: tuple[float, float] = (1.0, 25.0), mac_thresh: int = 10) -> DataFrame:
+    """One row: Cauchy combination of the tests of variants above ``mac_thresh`` and a burden test of the others; p-values of 1 go.
+
+    Without given weights (snp, weight) they are squared ratios of beta densities of the frequency; the burden test counts
+    with the mean frequency, or the mean weight, of its variants.
+    """
+    tests = marginal_tests(geno, null).filter("mac > 0")
+    if weights is None:
+        tests = tests.withColumn("weight", F.lit(None).cast("double"))
+    else:
+        tests = tests.join(weights.select("snp", "weight"), "snp")
+    density = lambda m: F.pow(_beta_weight(m, *beta) / _beta_weight(m, 0.5, 0.5), F.lit(2.0))
+    common = tests.filter(F.col("mac") > mac_thresh).select("p_value", F.coalesce("weight", density(F.col("maf"))).alias("weight"))
+    rare = tests.filter(F.col("mac") <= mac_thresh)
+    given = None if weights is None else weights
+    pooled = burden_test(geno.join(rare.select("snp"), "snp", "left_semi"), null, given, beta).select("p_value")
+    mean = rare.agg(F.avg("maf").alias("_maf"), F.avg("weight").alias("_w"))
+    pooled = pooled.crossJoin(F.broadcast(mean)).select("p_value", F.coalesce("_w", density(F.col("_maf"))).alias("weight"))  # one row each
+    both = common.unionByName(pooled).filter("p_value IS NOT NULL AND p_value < 1").withColumn("_all", F.lit(1))
+    return acat(both, "p_value", ["_all"], "weight").select("p_value")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import need, ratio
+from ..functions.order import positions
 
 
 def _number(df: DataFrame, order: list, name: str, by: list[str] | None = None) -> DataFrame:
@@ -84,8 +85,8 @@ def wide(long: DataFrame, row: str, column: str, value: str, columns: list, fill
 
 
 def annotated_order(df: DataFrame, item: str, *annotations: str) -> DataFrame:
-    """Items numbered by their annotation columns."""
-    return _number(df.select(item, *annotations).distinct(), [*annotations, item], "position")
+    """Items numbered by their annotation columns; a task holds the items that share all annotations."""
+    return positions(df.select(item, *annotations).distinct(), list(annotations), [F.col(item)])
 
 
 def selected(df: DataFrame, gene: str, chosen: list) -> DataFrame:

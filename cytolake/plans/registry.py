@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import average_rank, star, zscore
 from ..functions.padjust import adjust
-from ..operators import cluster, expression, image, meta, plots, spatial, stats
+from ..operators import cluster, expression, image, meta, plots, reshape, spatial, stats
 from ..sources import archive
 from .inputs import Tables, sql
 
@@ -98,6 +98,11 @@ def st7_fold_changes(t):
     return r6(expression.fold_changes(c, groups, "even"), "base_mean", "log2_fc")
 
 
+@query()
+def st4_sample_pca(t):
+    return r6(expression.sample_pca(t.counts(), 2), "loading", "proportion")
+
+
 @query()
 def st8_tmm(t):
     c = t.counts()
@@ -224,6 +229,43 @@ def ag8_burden(t):
     return r6(meta.burden(t.geno(), t.pheno()), "q")
 
 
+#: Customers with their nation as a covariate: the linear null model in closed form, for one covariate.
+_NULL = (
+    sql("geno", "pheno") + ", z AS (SELECT c_custkey AS ind, c_acctbal AS y, CAST(c_nationkey AS DOUBLE) AS z FROM customer), f AS (SELECT count(*)::DOUBLE AS n, avg(y) AS yb, avg(z) AS zb, covar_pop(z, y) / var_pop(z) AS slope, var_pop(z) * count(*) AS szz FROM z),"
+    " e AS (SELECT ind, z - zb AS c, y - yb - slope * (z - zb) AS res FROM z, f), s AS (SELECT sum(res * res) AS sst FROM e)"
+)
+
+
+@query(_NULL + " SELECT ind, round(res, 6) AS residual FROM e")
+def st14_null_residuals(t):
+    p = t["customer"].select(F.col("c_custkey").alias("ind"), F.col("c_acctbal").alias("y"), F.col("c_nationkey").alias("z"))
+    return r6(meta.null_model(p, ["z"]).rows.select("ind", "residual"), "residual")
+
+
+@query(
+    _NULL + ", g AS (SELECT snp, sum(dosage * res) AS u, sum(dosage)::DOUBLE AS s, sum(dosage * dosage)::DOUBLE AS gg, sum(dosage * c) AS gc FROM geno JOIN e USING (ind) GROUP BY 1), h AS (SELECT snp, s, gg - s * s / n - gc * gc / szz AS sig, u, n, sst FROM g, f, s)"
+    " SELECT snp, CAST(s AS BIGINT) AS mac, round(s / (2 * n), 6) AS maf, round(CASE WHEN sig <= 0 THEN 0 ELSE sqrt(u * u / sig / ((sst - u * u / sig) / (n - 3))) END, 6) AS statistic FROM h"
+)
+def ag9_marginal_covariate(t):
+    p = t["customer"].select(F.col("c_custkey").alias("ind"), F.col("c_acctbal").alias("y"), F.col("c_nationkey").alias("z"))
+    return r6(meta.marginal_tests(t.geno(), meta.null_model(p, ["z"])).select("snp", "mac", "maf", "statistic"), "maf", "statistic")
+
+
+@query(
+    _NULL + ", w AS (SELECT snp, 25 * pow(1 - sum(dosage) / (2 * any_value(n)), 24) AS w FROM geno, f GROUP BY 1), b AS (SELECT ind, sum(dosage * w) AS d FROM geno JOIN w USING (snp) GROUP BY 1)"
+    " SELECT round(pow(sum(d * res), 2) / (any_value(sst) / (any_value(n) - 2) * (sum(d * d) - pow(sum(d), 2) / any_value(n) - pow(sum(d * c), 2) / any_value(szz))), 6) AS q FROM b JOIN e USING (ind), f, s"
+)
+def ag8_burden_covariate(t):
+    p = t["customer"].select(F.col("c_custkey").alias("ind"), F.col("c_acctbal").alias("y"), F.col("c_nationkey").alias("z"))
+    return r6(meta.burden_test(t.geno(), meta.null_model(p, ["z"])).select("q"), "q")
+
+
+@query()
+def ag10_acat_v_binary(t):
+    p = t["customer"].select(F.col("c_custkey").alias("ind"), (F.col("c_acctbal") > 4500).cast("int").alias("y"), F.col("c_nationkey").alias("z"))
+    return r6(meta.acat_v_test(t.geno(), meta.null_model(p, ["z"]), mac_thresh=500), "p_value")
+
+
 @query()
 def ag10_acat_v(t):
     return r6(meta.acat_v(t.geno(), t.pheno(), mac_thresh=500), "p_value")
@@ -305,6 +347,37 @@ def st6_rank_sum(t):
     return r6(stats.rank_sum_tests(t.values(), "grp", "variable", "value"), "w", "z")
 
 
+_ALL_RANKS = (
+    ", lv AS (SELECT DISTINCT grp, variable FROM vals), x AS (SELECT grp, variable, value, TRUE AS own FROM vals UNION ALL SELECT lv.grp, v.variable, v.value, FALSE FROM vals v JOIN lv ON lv.variable = v.variable),"
+    " r AS (SELECT *, rank() OVER (PARTITION BY grp, variable ORDER BY value) + (count(*) OVER (PARTITION BY grp, variable, value) - 1) / 2.0 AS r FROM x), ti AS (SELECT grp, variable, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT grp, variable, value, count(*)::DOUBLE AS c FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2),"
+    " g AS (SELECT grp, variable, count(*) FILTER (WHERE own)::DOUBLE AS n1, count(*)::DOUBLE AS nn, sum(r) FILTER (WHERE own) AS rs FROM r GROUP BY 1, 2), h AS (SELECT *, nn - n1 AS n2, rs - n1 * (n1 + 1) / 2 AS w FROM g JOIN ti USING (grp, variable))"
+    " SELECT grp, variable, CAST(n1 AS BIGINT) AS n, round(w, 6) AS w, round((w - n1 * n2 / 2 - sign(w - n1 * n2 / 2) * 0.5) / sqrt(n1 * n2 / 12 * ((nn + 1) - ties / (nn * (nn - 1)))), 6) AS z FROM h"
+)
+
+
+@query(sql("vals") + _ALL_RANKS)
+def st6_rank_sum_all(t):
+    return r6(stats.rank_sum_tests(t.values(), "grp", "variable", "value", mode="ONEvsALL"), "w", "z")
+
+
+@query(
+    sql("vals") + ", m AS (SELECT variable, quantile_cont(value, 0.5) AS mu FROM vals GROUP BY 1), d AS (SELECT grp, variable, value - mu AS d FROM vals JOIN m USING (variable) WHERE value <> mu),"
+    " r AS (SELECT *, rank() OVER (PARTITION BY grp, variable ORDER BY abs(d)) + (count(*) OVER (PARTITION BY grp, variable, abs(d)) - 1) / 2.0 AS r FROM d), ti AS (SELECT grp, variable, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT grp, variable, abs(d) AS a, count(*)::DOUBLE AS c FROM d GROUP BY 1, 2, 3) GROUP BY 1, 2),"
+    " g AS (SELECT grp, variable, count(*)::DOUBLE AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS v FROM r GROUP BY 1, 2)"
+    " SELECT grp, variable, CAST(n AS BIGINT) AS n, round(v, 6) AS v, round((v - n * (n + 1) / 4 - sign(v - n * (n + 1) / 4) * 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM g JOIN ti USING (grp, variable)"
+)
+def st6_signed_rank(t):
+    return r6(stats.signed_rank_tests(t.values(), "grp", "variable", "value"), "v", "z")
+
+
+@query(
+    sql("vals") + ", a AS (SELECT variable, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM vals GROUP BY 1), g AS (SELECT grp, variable, count(*)::DOUBLE AS n1, sum(value) AS s FROM vals GROUP BY 1, 2)"
+    " SELECT grp, variable, CAST(n1 AS BIGINT) AS n, round((s - n1 * m) / sqrt(n1 * (n - n1) * v / (n - 1)), 5) AS z FROM g JOIN a USING (variable)"
+)
+def st6_permutation(t):
+    return stats.permutation_tests(t.values(), "grp", "variable", "value").withColumn("z", F.round("z", 5))
+
+
 @query()
 def st6_p_values(t):
     return r6(stats.group_tests(t.values(), "grp", "variable", "value", p_values=True).select("grp", "variable", "p_value"), "p_value")
@@ -334,6 +407,14 @@ def st3_sample_correlation(t):
     return r6(stats.sample_correlation(t.counts()).select("a", "b", "n", "r"), "r")
 
 
+_BOTH = sql("counts") + ", p AS (SELECT a.gene AS a, b.gene AS b, count(*) AS n, corr(a.value, b.value) AS r FROM counts a JOIN counts b ON a.sample = b.sample GROUP BY 1, 2)"
+
+
+@query(_BOTH + " SELECT a, b, n, round(CASE WHEN a >= b THEN r END, 6) AS r FROM p")
+def st1_correlation_triangle(t):
+    return r6(stats.correlation_plot(t.counts(), "gene", "sample", "value", triangle="lower").select("a", "b", "n", "r"), "r")
+
+
 @query()
 def st1_correlation_plot(t):
     return r6(stats.correlation_plot(t.counts(), "gene", "sample", "value", triangle="lower"), "r", "p_value", "p_adj")
@@ -631,6 +712,88 @@ def pt3_annotated_order(t):
     return plots.annotated_order(t["supplier"], "s_suppkey", "s_nationkey")
 
 
+# ---- reshaping and sets -------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
+def rs1_melt(t):
+    return reshape.melt(t["part"], ["p_partkey"], ["p_size", "p_retailprice"])
+
+
+@query(sql("counts") + " SELECT gene AS sample, sample AS gene, round(value, 6) AS value FROM counts")
+def rs3_transpose(t):
+    return r6(reshape.transposed(t.counts(), "gene", "sample"), "value")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(unnest(range(1, l_linenumber)) AS INTEGER) AS copy FROM lineitem")
+def rs4_replicate(t):
+    rows = t["lineitem"].select("l_orderkey", "l_linenumber", (F.col("l_linenumber") - 1).alias("n"))
+    return reshape.replicated(rows, "n").drop("n")
+
+
+@query("SELECT c_mktsegment AS name FROM customer UNION SELECT o_orderpriority FROM orders UNION SELECT event_type FROM events")
+def se1_all_names(t):
+    return reshape.all_names((t["customer"], "c_mktsegment"), (t["orders"], "o_orderpriority"), (t["events"], "event_type"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS name FROM customer INTERSECT SELECT CAST(o_custkey AS VARCHAR) FROM orders INTERSECT SELECT CAST(user_id AS VARCHAR) FROM events")
+def se2_common_names(t):
+    return reshape.common_names((t["customer"], "c_custkey"), (t["orders"], "o_custkey"), (t["events"], "user_id"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS name FROM customer EXCEPT SELECT CAST(user_id AS VARCHAR) FROM events EXCEPT SELECT CAST(s_suppkey + 200 AS VARCHAR) FROM supplier")
+def se3_names_without(t):
+    return reshape.names_without((t["customer"], "c_custkey"), (t["events"], "user_id"), (t["supplier"].withColumn("moved", F.col("s_suppkey") + 200), "moved"))
+
+
+@query(sql("cells") + " SELECT cell_id, cluster, row_number() OVER (ORDER BY cluster, cell_id) AS position FROM cells")
+def so4_cluster_order(t):
+    return reshape.ordered_by_cluster(t.cells(), "cell_id", "cluster")
+
+
+@query("SELECT CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS total_bytes, count(*) AS n_rows, count(DISTINCT source) AS n_distinct FROM documents")
+def ag25_totals(t):
+    return reshape.totals(t["documents"], F.octet_length("text"), "source")
+
+
+@query(sql("counts") + " SELECT DISTINCT gene, gene IN ('Brand#11', 'Brand#23', 'Brand#35') AS highly_variable FROM counts")
+def pf13_flags(t):
+    return reshape.flagged(t.counts().select("gene").distinct(), "gene", ["Brand#11", "Brand#23", "Brand#35"])
+
+
+@query(sql("cells") + " SELECT cell_id, sample, cluster, cluster AS \"Idents\" FROM cells")
+def cv2_metadata(t):
+    c = t.cells().select("cell_id", "sample", "cluster")
+    return reshape.augmented(c, c, "cluster")[0]
+
+
+@query(sql("mask") + " SELECT image || '-' || row || '-' || col AS cell_id, col AS array_row, row AS array_col FROM mask")
+def cv4_array_coordinates(t):
+    return reshape.array_coordinates(t.mask().withColumn("cell_id", F.concat_ws("-", "image", "row", "col")))
+
+
+@query(sql("cells") + " SELECT 's' || sample AS image, cell_id, round(y, 6) AS spatial_0, round(x, 6) AS spatial_1 FROM cells")
+def cv6_spatial_coordinates(t):
+    c = t.cells()
+    return r6(reshape.spatial_coordinates({f"s{k}": c.filter(F.col("sample") == str(k)) for k in range(4)}), "spatial_0", "spatial_1")
+
+
+@query(sql("pixels") + " SELECT image, round(max(v), 6) AS fiducial_diameter_fullres, round(avg(v), 6) AS tissue_hires_scalef, round(avg(v) / 4, 6) AS tissue_lowres_scalef, round(0.6196 * max(v), 6) AS spot_diameter_fullres FROM pixels GROUP BY 1")
+def cv5_scale_factors(t):
+    per = t.pixels().groupBy("image").agg(F.max("v").alias("fiducial"), F.avg("v").alias("hires"), (F.avg("v") / 4).alias("lowres"))
+    return r6(reshape.scale_factors(per), "fiducial_diameter_fullres", "tissue_hires_scalef", "tissue_lowres_scalef", "spot_diameter_fullres")
+
+
+@query(
+    sql("pixels", "mask") + ", o AS (SELECT image, label, round(avg(v), 6) AS v FROM pixels JOIN mask USING (image, row, col) WHERE label <> 0 AND channel = 'click' GROUP BY 1, 2), h AS (SELECT image, round(quantile_cont(v, 0.9) FILTER (WHERE v <> 0), 9) AS hi FROM o GROUP BY 1), c AS (SELECT image, label, least(v, coalesce(hi, v)) AS v FROM o JOIN h USING (image)),"
+    " l AS (SELECT image, round(quantile_cont(v, 0) FILTER (WHERE v <> 0), 9) AS lo FROM c GROUP BY 1), f AS (SELECT image, label, CASE WHEN v <= coalesce(lo, 0) THEN 0 ELSE v END AS v FROM c JOIN l USING (image))"
+    " SELECT m.image, m.row, m.col, m.label, round(coalesce(f.v, 0), 6) AS value, m.label <> 0 AND EXISTS (SELECT 1 FROM mask o WHERE o.image = m.image AND abs(o.row - m.row) + abs(o.col - m.col) = 1 AND o.label <> m.label) AS boundary FROM mask m LEFT JOIN f ON f.image = m.image AND f.label = m.label"
+)
+def n7_cell_expression(t):
+    means = r6(image.zonal_mean(t.pixels().filter("channel = 'click'"), t.mask()), "mean_v")
+    return r6(image.painted_values(t.mask(), means, "mean_v", 0.9), "value")
+
+
 # ---- archives -----------------------------------------------------------------------------------------------------
 
 
@@ -668,6 +831,25 @@ def pf12_series_prefix(t):
     return t["customer"].select("c_custkey", archive.series_prefix(F.col("c_name")).alias("prefix"), archive.valid_project(F.concat(F.lit("prjna"), F.col("c_custkey").cast("string"))).alias("valid"))
 
 
+@query("SELECT page_id, regexp_replace(replace(url, 'https://', 'http://mirror/'), '/[^/]*$', '/') || replace(url_encode('run ' || page_id || '/é*~'), '%2F', '/') AS moved FROM pages")
+def pf11_moved_urls(t):
+    name = F.concat(F.lit("run "), F.col("page_id").cast("string"), F.lit("/é*~"))
+    return t["pages"].select("page_id", archive.moved_url(F.col("url"), "https://", "http://mirror/", name).alias("moved"))
+
+
+@query("SELECT o_orderkey AS path FROM orders WHERE NOT (o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0)")
+def sk4_to_fetch(t):
+    files = t["orders"].select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("size_bytes"), F.md5(F.col("o_orderstatus").cast("binary")).alias("md5"))
+    there = files.filter("path % 3 <> 0").withColumn("size_bytes", F.when(F.col("path") % 5 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
+    return archive.to_fetch(files, there).select("path")
+
+
+@query("SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all('<a> GSE' || doc_id || ' </a><b>GSE7</b><c>xGSE9</c>' , '>\\s*(GSE[0-9]+)\\s*<', 1), lambda x: x))) AS ids FROM documents")
+def sc5_series(t):
+    xml = F.concat(F.lit("<a> GSE"), F.col("doc_id").cast("string"), F.lit(" </a><b>GSE7</b><c>xGSE9</c>"))
+    return t["documents"].select("doc_id", archive.series_ids(xml).alias("ids"))
+
+
 @query("SELECT p_partkey AS name, CASE WHEN p_size > 25 THEN CAST(p_size AS BIGINT) END AS size_bytes FROM part")
 def sc7_listing_sizes(t):
     files = t["part"].select(F.col("p_partkey").alias("name"), F.lit(None).cast("long").alias("size_bytes"))

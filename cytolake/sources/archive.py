@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,20 +43,36 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def write_new(df: DataFrame, path: str) -> bool:
     """Writes only if nothing is there; an empty table that is there already is an error."""
-    spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        if spark.read.parquet(path).isEmpty():
-            raise ValueError(f"{path} is empty")
-        return False
-    df.write.parquet(path)
-    return True
+    try:
+        empty = df.sparkSession.read.schema(df.schema).parquet(path).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df.write.mode("errorifexists").parquet(path)
+        return True
+    if empty:
+        raise ValueError(f"{path} is empty")
+    return False
 
 
 def valid_project(accession: Column) -> Column:
     return F.upper(F.trim(accession)).rlike("^PRJNA[0-9]+$")
 
 
+def quoted(text: Column) -> Column:
+    """Percent-encoding of all but letters, digits, _ . - ~ and /."""
+    form = F.url_encode(text)  # of forms: a space is a plus, * stays and ~ does not
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        form = F.replace(form, F.lit(a), F.lit(b))
+    return form
+
+
+def moved_url(url: Column, old: str, new: str, name: Column | None = None) -> Column:
+    """A URL with one prefix in place of another, wherever it stands; with ``name``, quoted, as its last part."""
+    at = F.replace(url, F.lit(old), F.lit(new))
+    return at if name is None else F.concat(F.regexp_replace(at, "/[^/]*$", "/"), quoted(name))
+
+
 def series_prefix(accession: Column) -> Column:
     """The archive's folder of a series: its last three characters become nnn."""
     return F.concat(F.substring(accession, F.lit(1), F.greatest(F.length(accession) - 3, F.lit(0))), F.lit("nnn"))

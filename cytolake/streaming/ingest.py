@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +21,13 @@ def ingest_new(spark: SparkSession, source: str, schema: T.StructType, target: s
 
     def add(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        path = session._jvm.org.apache.hadoop.fs.Path(target)
         fresh = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
-        if path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path):
-            have = session.read.schema(schema).parquet(target)
+        try:
+            have = session.read.parquet(target)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
             need(have, key)
             fresh = fresh.join(have.select(key), key, "left_anti")
         fresh.select(*schema.names).write.mode("append").parquet(target)
