@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -323,3 +324,161 @@ def test_permutation_queries_run_all_shuffles(spark, monkeypatch, name, operator
     with pytest.raises(Seen) as seen:
         registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen.value.args == (want,) and want >= 100
+
+
+def test_null_models(spark):
+    """Residuals, score tests and burden against numpy, for a continuous and a binary outcome with two covariates."""
+    rng = np.random.default_rng(6)
+    n, m = 120, 5
+    z, g = rng.normal(size=(n, 2)), rng.choice([0, 1, 2], (n, m), p=[0.7, 0.2, 0.1]).astype(float)
+    cases = {"linear": z @ [0.5, -1.0] + 0.3 * g[:, 0] + rng.normal(size=n), "logistic": (z[:, 0] + rng.normal(size=n) > 0).astype(float)}
+    geno = spark.createDataFrame([(i, k, int(g[i, k])) for i in range(n) for k in range(m) if g[i, k]], "ind long, snp int, dosage int")
+    x = np.column_stack([np.ones(n), z])
+    for name, y in cases.items():
+        pheno = spark.createDataFrame([(i, float(y[i]), float(z[i, 0]), float(z[i, 1])) for i in range(n)] + [(n, None, 0.0, 0.0)], "ind long, y double, a double, b double")
+        null = meta.null_model(pheno, ["a", "b"])
+        if name == "linear":
+            beta = np.linalg.lstsq(x, y, rcond=None)[0]
+            res, v, sigma2 = y - x @ beta, np.ones(n), ((y - x @ beta) ** 2).sum() / (n - 3)
+        else:
+            beta = np.zeros(3)
+            for _ in range(60):
+                p = 1 / (1 + np.exp(-x @ beta))
+                beta += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (y - p))
+            p = 1 / (1 + np.exp(-x @ beta))
+            res, v, sigma2 = y - p, p * (1 - p), 1.0
+        assert null.binary == (name == "logistic") and null.coefficients == pytest.approx(beta, abs=1e-7) and null.sigma2 == pytest.approx(sigma2)
+        assert [r.residual for r in null.rows.orderBy("ind").collect()] == pytest.approx(res, abs=1e-8)
+        inverse = np.linalg.inv((x * v[:, None]).T @ x)
+        spread = lambda h: (h * h * v).sum() - (h * v) @ x @ inverse @ x.T @ (h * v)  # noqa: B023, E731
+        for r in meta.marginal_tests(geno, null).collect():
+            u, s = res @ g[:, r.snp], spread(g[:, r.snp])
+            want = abs(u) / math.sqrt(s) if null.binary else math.sqrt(u * u / s / ((sigma2 * (n - 3) - u * u / s) / (n - 4)))
+            assert r.statistic == pytest.approx(want) and r.mac == g[:, r.snp].sum() and 0 < r.p_value <= 1
+        w = 25 * (1 - g.sum(axis=0) / (2 * n)) ** 24
+        q = meta.burden_test(geno, null).first()
+        assert q.q == pytest.approx((res @ (g @ w)) ** 2 / sigma2 / spread(g @ w)) and q.p_value == pytest.approx(math.erfc(math.sqrt(q.q / 2)), abs=1e-9)
+        given = spark.createDataFrame([(k, 1.0 + k) for k in range(m)], "snp int, weight double")
+        for weights in (None, given):
+            assert 0 < meta.acat_v_test(geno, null, weights, mac_thresh=int(np.median(g.sum(axis=0)))).first().p_value < 1
+
+
+def test_rank_tests_in_every_mode(spark):
+    """Rank sums against all, permutation z and signed ranks, by going through all values."""
+    rng = np.random.default_rng(3)
+    rows = [(g, "v", float(rng.integers(0, 9))) for g in "abc" for _ in range(12)] + [("a", "w", 1.0), ("b", "w", 1.0)]
+    df = spark.createDataFrame(rows, "g string, k string, x double")
+    by = {g: np.array([x for a, k, x in rows if (a, k) == (g, "v")]) for g in "abc"}
+    every = np.concatenate(list(by.values()))
+
+    def ranks(x):
+        return np.array([(x < y).sum() + ((x == y).sum() + 1) / 2 for y in x])
+
+    whole = {r.g: r for r in stats.rank_sum_tests(df, "g", "k", "x", mode="ONEvsALL").filter("k = 'v'").collect()}
+    dealt = {r.g: r for r in stats.permutation_tests(df, "g", "k", "x").filter("k = 'v'").collect()}
+    signed = {r.g: r for r in stats.signed_rank_tests(df, "g", "k", "x", p_values=True).filter("k = 'v'").collect()}
+    plain = {r.g: r for r in stats.rank_sum_tests(df, "g", "k", "x", continuity=False).filter("k = 'v'").collect()}
+    for g, own in by.items():
+        r = ranks(np.concatenate([own, every]))[: len(own)]
+        assert whole[g].w == pytest.approx(r.sum() - len(own) * (len(own) + 1) / 2)
+        n1, n = len(own), len(every)
+        assert dealt[g].z == pytest.approx((own.sum() - n1 * every.mean()) / math.sqrt(n1 * (n - n1) / (n * (n - 1)) * ((every - every.mean()) ** 2).sum()))
+        d = own - np.median(every)
+        d = d[d != 0]
+        assert signed[g].v == pytest.approx(ranks(np.abs(d))[d > 0].sum()) and signed[g].n == len(d) and 0 < signed[g].p_value <= 1
+        assert plain[g].w == pytest.approx(ranks(every)[np.concatenate([np.full(12, h == g) for h in "abc"])].sum() - n1 * (n1 + 1) / 2)
+
+
+@pytest.mark.parametrize("method", ["bh", "by", "holm", "hochberg", "bonferroni"])
+def test_one_family_is_adjusted_as_families_are(spark, method):
+    """Two steps over ranges give what one task gives, with ties and nulls, and more rows than ranges."""
+    from cytolake.functions.padjust import adjust
+
+    rng = np.random.default_rng(1)
+    rows = [(i, float(round(x, 3))) for i, x in enumerate(rng.uniform(0, 1, 900) ** 3)] + [(9000, None), (9001, None)]
+    df = spark.createDataFrame(rows, "i long, p double")
+    one = dict(adjust(df, "p", method).select("i", "p_adj").collect())
+    many = dict(adjust(df.withColumn("f", F.lit(1)), "p", method, ["f"]).select("i", "p_adj").collect())
+    assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], abs=1e-12) if one[i] is not None else many[i] is None for i in one)
+
+
+def test_products_over_many_blocks(spark):
+    """Blocks smaller than the items, with missing values, against numpy."""
+    from cytolake.functions.products import pair_sums
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(23, 40))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    df = spark.createDataFrame([(f"i{a}", f"k{k}", float(x[a, k])) for a in range(23) for k in range(40) if not np.isnan(x[a, k])], "a string, k string, x double")
+    got = {(r.a, r.b): r for r in pair_sums(df, "a", "k", "x", block=5, parts=3).collect()}
+    names = sorted(f"i{a}" for a in range(23))
+    assert set(got) == {(a, b) for i, a in enumerate(names) for b in names[i:]}
+    for (a, b), r in got.items():
+        u, v = x[int(a[1:])], x[int(b[1:])]
+        both = ~np.isnan(u) & ~np.isnan(v)
+        assert r.n == both.sum() and r.xy == pytest.approx((u * v)[both].sum()) and r.sx == pytest.approx(u[both].sum()) and r.yy == pytest.approx((v * v)[both].sum())
+
+
+def test_fisher_with_large_margins(spark):
+    """Counts in the hundred millions: a bounded sum, close to the normal tail; and tables far out."""
+    n = 10**8
+    cells = spark.createDataFrame([("m", n + 30000, n - 30000, n - 30000, n + 30000), ("far", 2 * n, 10, 10, 2 * n), ("small", 3, 1, 1, 3)], "x string, n11 long, n01 long, n10 long, n00 long")
+    p = {r.x: r.p_value for r in stats.fisher_exact(cells).collect()}
+    z = 30000 / math.sqrt(4 * n / 16)  # the margins are half of all
+    assert p["m"] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=2e-2) and p["far"] < 1e-100 and p["small"] == pytest.approx(34 / 70)
+
+
+def test_tables_of_objects_and_sets(spark):
+    from cytolake.operators import reshape
+
+    wide = spark.createDataFrame([("a", 1, 2.5), ("b", None, 3.5)], "id string, x int, y double")
+    assert sorted(map(tuple, reshape.melt(wide, ["id"], ["x", "y"]).collect()), key=str) == sorted([("a", "x", 1.0), ("a", "y", 2.5), ("b", "x", None), ("b", "y", 3.5)], key=str)
+    assert [tuple(r) for r in reshape.transposed(wide, "id", "y").select("id", "x", "y").collect()] == [(2.5, 1, "a"), (3.5, None, "b")]
+    rows = spark.createDataFrame([("a", 2), ("b", 0), ("c", None), ("d", -1)], "id string, n int")
+    assert [tuple(r) for r in reshape.replicated(rows, "n").orderBy("copy").collect()] == [("a", 2, 1), ("a", 2, 2)]
+    other = spark.createDataFrame([("b",), ("b",), (None,), ("e",)], "id string")
+    names = lambda df: sorted(r[0] for r in df.collect())
+    assert names(reshape.all_names((rows, "id"), (other, "id"))) == list("abcde")
+    assert names(reshape.common_names((rows, "id"), (other, "id"))) == ["b"] and names(reshape.names_without((rows, "id"), (other, "id"))) == list("acd")
+    ordered = reshape.ordered_by_cluster(spark.createDataFrame([("x", 2), ("y", 1), ("z", None), ("w", 2)], "item string, cluster int"))
+    assert [(r.item, r.position) for r in ordered.orderBy("position").collect()] == [("z", 1), ("y", 2), ("w", 3), ("x", 4)]
+    flags = reshape.flagged(rows, "id", ["a"]).select("id", "highly_variable").collect()
+    assert {r.id for r in flags if r.highly_variable} == {"a"}
+    assert tuple(reshape.totals(rows, F.length("id"), "id").first()) == (4, 4, 4)
+
+
+def test_sample_pca(spark):
+    from cytolake.operators.expression import sample_pca
+
+    rng = np.random.default_rng(4)
+    x = rng.gamma(2.0, 30.0, (40, 5)) * rng.gamma(2.0, 1.0, (40, 1))
+    df = spark.createDataFrame([(f"g{i}", f"s{j}", float(x[i, j])) for i in range(40) for j in range(5)], "gene string, sample string, value double")
+    z = np.log1p(x)
+    z = (z - z.mean(axis=0)) / z.std(axis=0, ddof=1)
+    values, axes = np.linalg.eigh(np.cov(z.T))
+    for r in sample_pca(df, 2).collect():
+        own = axes[:, -r.component] * np.sign(axes[np.abs(axes[:, -r.component]).argmax(), -r.component])
+        assert r.loading == pytest.approx(own[int(r.sample[1:])], abs=1e-8) and r.proportion == pytest.approx(values[-r.component] / values.sum())
+
+
+def test_urls_and_writes(spark, tmp_path):
+    from cytolake.sources import archive
+
+    row = spark.createDataFrame([("https://a.b/c/old.sra", "x y/é*~+")], "u string, n string").select(archive.moved_url(F.col("u"), "https://a.b/", "https://m/a/", F.col("n")).alias("u"), archive.quoted(F.col("n")).alias("q")).first()
+    from urllib.parse import quote
+
+    assert row.q == quote("x y/é*~+") and row.u == "https://m/a/c/" + quote("x y/é*~+")
+    df = spark.range(3)
+    assert archive.write_new(df, str(tmp_path / "t")) and not archive.write_new(df, str(tmp_path / "t"))
+    df.limit(0).write.parquet(str(tmp_path / "empty"))
+    with pytest.raises(ValueError, match="empty"):
+        archive.write_new(df, str(tmp_path / "empty"))
+
+
+def test_cell_values_are_painted(spark):
+    from cytolake.operators.image import painted_values
+
+    mask = spark.createDataFrame([("i", 0, c, c // 2) for c in range(8)], "image string, row int, col int, label int")
+    cells = spark.createDataFrame([("i", 1, 5.0), ("i", 2, 1.0), ("i", 3, 100.0)], "image string, label int, v double")
+    got = {r.col: (r.value, r.boundary) for r in painted_values(mask, cells, "v", 0.5).collect()}
+    assert got[0] == (0.0, False) and got[2][0] == 5.0 and got[4][0] == 0.0 and got[6][0] == 5.0 and got[3][1] and not got[7][1]
