@@ -712,6 +712,59 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert c.run(spark, str(tmp_path)).count() == counts[-1]
 
 
+def judged(t):
+    """The full policy, rule by rule."""
+    t = t or ""
+    w = WORD.findall(t)
+    windows = Counter(zip(w, w[1:], w[2:]))
+    marked = {k + d for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for d in range(3)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    chars, repeated = sum(map(len, w)), len(lines) - len(set(lines))
+    wrong = (
+        len(w) < 50, 100 * len(marked) > 50 * len(w), 4 * len(re.findall(r"[#*$%&|<>]", t)) > len(w), chars > 40 * len(w),
+        len(lines) >= 4 and 10 * repeated > 5 * len(lines), 100 * len(re.findall("[A-Z]", t)) > 40 * max(chars, 1),
+    )
+    return not any(wrong)
+
+
+def test_pipeline_against_brute_force(spark, corpus, tmp_path):
+    """Every stage on all that the stage before it kept: which rows stay, with which texts, how often, and the tokens' texts."""
+    import corpus_pipeline as c
+    from cytolake.llm import mixing, sp_lattice
+
+    rows = [r for r in corpus if r[0] not in (71, None, 72)] + [(80, None), (81, "short"), (82, corpus[3][1] + "\nlast line\nand one more")]
+    rows += [(83, " ".join(corpus[7][1].split())), (84, " ".join(corpus[20][1].split()[:-2])), (85, " ".join(corpus[20][1].split()[1:]))]  # in other lines
+    frame(spark, rows, extra=True).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: t for i, t in rows if judged(t)}
+    assert {80, 81, 61, 64, 68} & set(want) == set() and len(want) > 40
+    texts = brute_runs(list(want.items()))
+    near = near_components(list(texts.items()), 5)
+    texts = {i: t for i, t in texts.items() if near[i][1] == i}
+    assert len(texts) < len(want)
+    chars = Counter()
+    source = lambda i: f"s{i % 3}" if i != 5 else None
+    for i, t in texts.items():
+        chars[source(i)] += len(t)
+    total, weight = sum(chars.values()), sum(x**mixing.ALPHA for x in chars.values())
+    copies = Counter()
+    for i in texts:
+        u = int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        lam, k = chars[source(i)] ** mixing.ALPHA / weight * total / chars[source(i)], 0
+        p = below = math.exp(-lam)
+        while below <= u:
+            k += 1
+            p *= lam / k
+            below += p
+        copies[i] = k
+    got = c.run(spark, str(tmp_path))
+    back = sp_lattice.decoded(got).filter("sample = 1").select("doc_id", "text").collect()
+    assert Counter(r.doc_id for r in back) == +copies and all(r.text == texts[r.doc_id] for r in back)
+    ids = defaultdict(list)
+    for r in got.select("doc_id", "sample", "ids").collect():
+        ids[r.doc_id, r.sample].append(tuple(r.ids))
+    assert any(len(x) > 1 for x in ids.values()) and all(len(set(x)) == len(x) for x in ids.values())  # copies are sampled apart
+
+
 def brute_runs(rows):
     """Lines that stand in a run of two lines or more with an earlier place, by comparing all places."""
     lines = {i: (t or "").split("\n") for i, t in rows}
