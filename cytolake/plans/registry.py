@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import average_rank, star, zscore
 from ..functions.padjust import adjust
 from ..operators import cluster, expression, image, meta, plots, reshape, spatial, stats
+from ..session import shared_folder
 from ..sources import archive
 from .inputs import Tables, sql
 
@@ -103,7 +105,12 @@ def st4_sample_pca(t):
     return r6(expression.sample_pca(t.counts(), 2), "loading", "proportion")
 
 
-@query()
+@query(
+    sql("counts") + ", lib AS (SELECT sample, sum(value) AS lib FROM counts GROUP BY 1), s AS (SELECT gene, sample, value, lib FROM counts JOIN lib USING (sample) WHERE value > 0), ref AS (SELECT gene, value AS rv, lib AS rl FROM s WHERE sample = (SELECT min(sample) FROM counts)),"
+    " x AS (SELECT gene, sample, log2((value / lib) / (rv / rl)) AS m, (log2(value / lib) + log2(rv / rl)) / 2 AS a, (lib - value) / lib / value + (rl - rv) / rl / rv AS v FROM s JOIN ref USING (gene)),"
+    " k AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n, rank() OVER (PARTITION BY sample ORDER BY m) + (count(*) OVER (PARTITION BY sample, m) - 1) / 2.0 AS mr, rank() OVER (PARTITION BY sample ORDER BY a) + (count(*) OVER (PARTITION BY sample, a) - 1) / 2.0 AS ar FROM x)"
+    " SELECT sample, round(pow(2, sum(m / v) / sum(1 / v)), 6) AS factor FROM k WHERE mr >= floor(n * 0.3) + 1 AND mr <= n - floor(n * 0.3) AND ar >= floor(n * 0.05) + 1 AND ar <= n - floor(n * 0.05) GROUP BY 1"
+)
 def st8_tmm(t):
     c = t.counts()
     return r6(expression.tmm_factors(c, c.agg(F.min("sample")).first()[0]), "factor")
@@ -644,6 +651,22 @@ def hc4_cluster_indices(t):
     return r6(cluster.cluster_indices(t.cells(), ["x", "y"]), "calinski_harabasz", "ball", "davies_bouldin")
 
 
+@query(
+    sql("cells") + ", c AS (SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM cells GROUP BY 1), w AS (SELECT sum((x - cx) * (x - cx)) AS w11, sum((x - cx) * (y - cy)) AS w12, sum((y - cy) * (y - cy)) AS w22, count(*)::DOUBLE AS n, count(DISTINCT cluster)::DOUBLE AS k FROM cells JOIN c USING (cluster)),"
+    " t AS (SELECT var_pop(x) * count(*) AS t11, covar_pop(x, y) * count(*) AS t12, var_pop(y) * count(*) AS t22 FROM cells), d AS (SELECT *, w11 * w22 - w12 * w12 AS dw, t11 * t22 - t12 * t12 AS dt FROM w, t)"
+    " SELECT round(w11 + w22, 6) AS trace_w, round(n * ln(dt / dw), 6) AS scott, round(k * k * dw, 2) AS marriot, round((w22 * (t11 - w11) - 2 * w12 * (t12 - w12) + w11 * (t22 - w22)) / dw, 6) AS friedman, round(dt / dw, 6) AS rubin,"
+    " round((sqrt((t11 - w11) / t11) + sqrt((t22 - w22) / t22)) / 2 / sqrt(k), 6) AS ratkowsky FROM d"
+)
+def hc4_scatter_indices(t):
+    return r6(cluster.scatter_indices(t.cells(), ["x", "y"]), "trace_w", "scott", "friedman", "rubin", "ratkowsky").withColumn("marriot", F.round("marriot", 2))
+
+
+@query()
+def hc8_robustness(t):
+    return r6(cluster.robustness(t.cells(), "cell_id", ["x", "y"]), "lowest", "median")
+
+
+
 # ---- plot tables --------------------------------------------------------------------------------------------------
 
 _LINKED = (
@@ -837,6 +860,44 @@ def pf11_moved_urls(t):
     return t["pages"].select("page_id", archive.moved_url(F.col("url"), "https://", "http://mirror/", name).alias("moved"))
 
 
+def _folder(t) -> str:
+    return f"{shared_folder(t.spark)}/cytolake-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_brand AS \"gsName\", CAST(p_partkey AS VARCHAR) AS \"gsGene\", CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) END AS \"gsRange\", p_type AS \"gsSource\", 'a, \"b\"' AS \"gsCitation\" FROM part")
+def sc1_gene_sets(t):
+    rows = t["part"].select(F.col("p_brand").alias("gsName"), F.col("p_partkey").cast("string").alias("gsGene"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).alias("gsRange"), F.col("p_type").alias("gsSource"), F.lit('a, "b"').alias("gsCitation"))
+    path = _folder(t)
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return archive.read_gene_sets(t.spark, path)
+
+
+@query("SELECT 'R' || c_custkey AS \"Run\", c_name AS \"BioSample\", 'PRJNA1' AS \"BioProject\", c_mktsegment AS \"Note\" FROM customer")
+def sc2_run_info(t):
+    path = _folder(t)
+    t["customer"].select(F.concat(F.lit("R"), F.col("c_custkey").cast("string")).alias("Run"), F.col("c_name").alias("BioSample"), F.lit("PRJNA1").alias("BioProject"), F.col("c_mktsegment").alias("Note")).write.option("header", True).csv(path)
+    return archive.read_run_info(t.spark, path, t["customer"].count())
+
+
+@query("SELECT 'R' || o_orderkey AS run_accession, 'B' || o_custkey AS biosample, o_orderstatus AS sample_name, o_custkey * 1000 AS size_bytes, md5(o_orderpriority) AS md5, 'http://m/' || o_orderkey AS url FROM orders")
+def sc3_manifest(t):
+    key = F.col("o_orderkey").cast("string")
+    rows = t["orders"].select(
+        F.concat(F.lit("R"), key).alias("run_accession"), F.concat(F.lit("B"), F.col("o_custkey").cast("string")).alias("biosample"), F.col("o_orderstatus").alias("sample_name"), (F.col("o_custkey") * 1000).alias("size_bytes"),
+        F.md5(F.col("o_orderpriority").cast("binary")).alias("md5"), F.concat(F.lit("http://m/"), key).alias("url"),
+    )
+    path = _folder(t)
+    archive.write_manifest(rows, path)
+    return archive.read_manifest(t.spark, path)
+
+
+@query("SELECT c_custkey, TRUE AS first, FALSE AS again FROM customer")
+def sk1_write_new(t):
+    path, rows = _folder(t), t["customer"].select("c_custkey")
+    first, again = archive.write_new(rows, path), archive.write_new(rows.limit(1), path)
+    return t.spark.read.parquet(path).select("c_custkey", F.lit(first).alias("first"), F.lit(again).alias("again"))
+
+
 @query("SELECT o_orderkey AS path FROM orders WHERE NOT (o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0)")
 def sk4_to_fetch(t):
     files = t["orders"].select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("size_bytes"), F.md5(F.col("o_orderstatus").cast("binary")).alias("md5"))

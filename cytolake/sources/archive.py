@@ -18,12 +18,12 @@ MANIFEST = T.StructType(
 
 def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:
     """Gene-set CSV; a byte-order mark before the header does not matter, an empty range is null, a header alone gives no rows."""
-    return spark.read.schema(GENE_SETS).option("header", True).option("enforceSchema", True).csv(path)
+    return spark.read.schema(GENE_SETS).option("header", True).option("enforceSchema", True).option("escape", '"').csv(path)
 
 
 def read_run_info(spark: SparkSession, path: str, ids: int | None = None) -> DataFrame:
-    """Run table; checked for the number of ids asked for and for a single project."""
-    df = spark.read.option("header", True).csv(path)
+    """Run table, all columns as text; checked for the number of ids asked for and for a single project, from two numbers."""
+    df = spark.read.option("header", True).option("escape", '"').csv(path)
     need(df, "Run", "BioProject")
     rows, projects = df.agg(F.count(F.lit(1)), F.countDistinct("BioProject")).first()
     if ids is not None and rows != ids or projects > 1:

@@ -482,3 +482,14 @@ def test_cell_values_are_painted(spark):
     cells = spark.createDataFrame([("i", 1, 5.0), ("i", 2, 1.0), ("i", 3, 100.0)], "image string, label int, v double")
     got = {r.col: (r.value, r.boundary) for r in painted_values(mask, cells, "v", 0.5).collect()}
     assert got[0] == (0.0, False) and got[2][0] == 5.0 and got[4][0] == 0.0 and got[6][0] == 5.0 and got[3][1] and not got[7][1]
+
+
+def test_robustness_of_clusters(spark):
+    """Clusters far apart come back whole under noise; one that is noise itself does not."""
+    rng = np.random.default_rng(9)
+    rows = [(i, c, float(x), float(y)) for i, (c, x, y) in enumerate([(c, *rng.normal((30 * c, 0), 1)) for c in (0, 1, 2) for _ in range(30)])]
+    df = spark.createDataFrame(rows, "i long, cluster int, x double, y double")
+    got = {r.share: r for r in cluster.robustness(df, "i", ["x", "y"], repeats=6).collect()}
+    assert set(got) == {0.05, 0.1, 0.2} and got[0.05].lowest == got[0.1].median == 1.0 and got[0.2].lowest > 0.8
+    mixed = df.withColumn("cluster", (F.col("i") % 3).cast("int"))
+    assert cluster.robustness(mixed, "i", ["x", "y"], shares=(0.1,), repeats=4).first().median < 0.8
