@@ -45,4 +45,16 @@ _RULE_ROWS = " UNION ALL ".join(
 )
 LEDGER = OP6[: OP6.rindex("SELECT doc_id")] + _RULE_ROWS
 
-ORACLE_SQL = {"quality_ablation": LEDGER, "op3_mixing": OP3, "op6_quality_rules": OP6, "op8_exact_dedup": OP8}
+OP10 = """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM d),
+p AS (SELECT doc_id, k, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS pair FROM l),
+f AS (SELECT doc_id, k, pair, first_value(doc_id) OVER w AS fd, first_value(k) OVER w AS fk FROM p WHERE pair IS NOT NULL WINDOW w AS (PARTITION BY pair ORDER BY doc_id, k)),
+g AS (SELECT DISTINCT doc_id, k + i AS k FROM f, (SELECT unnest([0, 1]) AS i) WHERE doc_id > fd OR k > fk + 1),
+c AS (SELECT doc_id, count(*) AS gone, count(*) FILTER (WHERE NOT again) AS runs FROM (SELECT doc_id, k, coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k) = k - 1, FALSE) AS again FROM g) GROUP BY 1),
+t AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.k) AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.k = l.k WHERE g.k IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(gone, 0) AS BIGINT) AS n_lines_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_chunks_removed, CASE WHEN gone IS NULL THEN text ELSE coalesce(kept, '') END AS text
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+ORACLE_SQL = {"op10_line_dedup": OP10, "quality_ablation": LEDGER, "op3_mixing": OP3, "op6_quality_rules": OP6, "op8_exact_dedup": OP8}
