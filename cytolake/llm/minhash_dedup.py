@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut
+from .common import cut, spent
 from .components import merged
 
 ROWS, BANDS, BITS, MARGIN, ROUNDS = 6, 56, 2, 0.15, 2
@@ -229,8 +229,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = merged(labels, confirmed(pairs))
+        before, links = (labels, named), confirmed(pairs)
+        labels = merged(labels, links)
         named = open_buckets()
+        spent(*before, links)
     # What is left across components of a bucket: all of it. Sizes, the estimate and the bitmaps are part of the join.
     inside = named.select(F.col("id").alias("_id")).distinct()
     maps = held.join(inside, "_id", "left_semi").mapInArrow(_bitmaps(width), "_id long, _map array<long>")
@@ -244,6 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     rest = cut(fresh(rest))
     if not rest.isEmpty():
         labels = merged(labels, confirmed(rest))
+    spent(buckets, held, sigs, named, full, rest)  # what follows reads classes, sketches and labels
     vertex = classed.join(labels.select(F.col("id").alias("_rep"), "comp"), "_rep", "left").select("_id", "n_shingles", "_rep", "comp")
     empty = sketched.filter("n_shingles = 0").select("_id", "n_shingles", F.lit(None).cast("long").alias("_rep"), F.lit(None).cast("long").alias("comp"))
     vertex = vertex.unionByName(empty)  # these join nothing

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, position
+from .common import cut, position, spent
 
 _RANGES = 512
 #: Rows that one task numbers, about.
@@ -106,7 +106,8 @@ def propagate(cells: DataFrame, quota: DataFrame) -> DataFrame:
             if moves.isEmpty():
                 return cells
         change = moves.select("hub", "shard", (-F.col("take")).alias("members")).unionByName(moves.select("hub", F.col("target").alias("shard"), F.col("take").alias("members")))
-        cells = cut(cells.unionByName(change).groupBy("hub", "shard").agg(F.sum("members").alias("members")).filter("members > 0"))
+        before, cells = cells, cut(cells.unionByName(change).groupBy("hub", "shard").agg(F.sum("members").alias("members")).filter("members > 0"))
+        spent(before, moves)
 
 
 def shard_rows(docs: DataFrame, n_shards: int = 40) -> DataFrame:
