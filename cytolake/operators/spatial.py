@@ -67,12 +67,14 @@ def permuted(cells: DataFrame, iterations: int, pool: list[str] | None, keep: st
     inside = F.lit(True) if pool is None else F.col("cluster").isin(*pool)
     if keep is not None:
         inside = inside & (F.col("cluster") != keep)
+    # in hash order the first n1 places of a sample get its first label, the next n2 its second, and so on
+    counts = cells.filter(inside).groupBy("sample", "cluster").agg(F.count(F.lit(1)).alias("_n"))
+    ends = counts.withColumn("_end", F.sum("_n").over(W.partitionBy("sample").orderBy("cluster").rowsBetween(W.unboundedPreceding, 0)))  # a row per label
+    ends = ends.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("_end", "cluster"))).alias("_ends"))
     moving = turns.filter(inside & (F.col("iter") > 0))
-    at = W.partitionBy("sample", "iter")
-    places = moving.withColumn("_p", F.row_number().over(at.orderBy("cell_id")))
-    labels = moving.select("sample", "iter", F.col("cluster").alias("_c"), F.row_number().over(at.orderBy(F.xxhash64(F.lit(seed), "iter", "cell_id"), "cell_id")).alias("_p"))
-    dealt = places.join(labels, ["sample", "iter", "_p"]).drop("cluster", "_p").withColumnRenamed("_c", "cluster")
-    return turns.filter(~(inside & (F.col("iter") > 0))).unionByName(dealt)
+    placed = moving.withColumn("_p", F.row_number().over(W.partitionBy("sample", "iter").orderBy(F.xxhash64(F.lit(seed), "iter", "cell_id"), "cell_id")))
+    dealt = placed.drop("cluster").join(ends, "sample").withColumn("cluster", F.element_at(F.filter("_ends", lambda e: e["_end"] >= F.col("_p")), 1)["cluster"])
+    return turns.filter(~(inside & (F.col("iter") > 0))).unionByName(dealt.select(*turns.columns))
 
 
 #: Kinds of shuffle: the pool of types whose labels are dealt, and the type that stays.
@@ -124,14 +126,26 @@ def excluded_score(counts: DataFrame) -> DataFrame:
 def neighbourhood_test(edge: DataFrame, cells: DataFrame, iterations: int = 1000, method: str = "include", seed: int = 0, point: str = "point") -> DataFrame:
     """Signed permutation score of each pair of types: 1 - q for attraction, -(1 - p) for avoidance."""
     turns = permuted(cells.select(F.col(point).alias("cell_id"), "sample", "cluster"), iterations, None, None, seed)
-    keyed = lambda df: df.withColumn("sample", F.concat_ws("|", "iter", "sample")).drop("iter")
-    labels = keyed(turns).withColumnRenamed("cell_id", point)
-    spread = keyed(edge.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations))).alias("iter")))
-    n = edge_counts(spread, labels, point)
-    v = excluded_score(n) if method == "excluded" else n.withColumnRenamed("n", "score")
-    v = v.select(F.substring_index("sample", "|", 1).cast("int").alias("iter"), F.expr("substring(sample, instr(sample, '|') + 1)").alias("sample"), "c1", "c2", "score")
-    seen = v.filter("iter = 0").select("sample", "c1", "c2", F.col("score").alias("observed"))
-    p = v.filter("iter > 0").join(seen, ["sample", "c1", "c2"]).groupBy("sample", "c1", "c2").agg(
-        F.first("observed").alias("observed"), F.avg(F.when(F.col("observed") < F.col("score"), 1.0).otherwise(0.0)).alias("p"), F.avg(F.when(F.col("observed") >= F.col("score"), 1.0).otherwise(0.0)).alias("q")
-    )
+    types = cells.agg(F.array_sort(F.collect_set("cluster")).alias("_types"))  # one row, of the types there are
+    coded = turns.crossJoin(F.broadcast(types)).select("sample", F.col("cell_id").alias("_p"), "iter", F.array_position("_types", F.col("cluster")).cast("int").alias("_c"))
+    # each point carries its labels of all shuffles, so edges are joined once, not once a shuffle
+    labels = coded.groupBy("sample", "_p").agg(F.transform(F.array_sort(F.collect_list(F.struct("iter", "_c"))), lambda x: x["_c"]).alias("_l"))
+    side = lambda k: labels.select("sample", F.col("_p").alias(f"point_{k}"), F.col("_l").alias(f"_l{k}"))
+    met = edge.select("sample", "point_1", "point_2").join(side(1), ["sample", "point_1"]).join(side(2), ["sample", "point_2"])
+    pairs = met.select("sample", F.posexplode(F.zip_with("_l1", "_l2", lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))).alias("iter", "_e"))
+    half = pairs.groupBy("sample", "iter", "_e.a", "_e.b").agg(F.count(F.lit(1)).alias("n"))
+    # an edge counts for both orders of its types, so one within a type adds 2
+    both = half.select("sample", "iter", F.col("a").alias("_1"), F.col("b").alias("_2"), F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n")).alias("n"))
+    both = both.unionByName(half.filter("a <> b").select("sample", "iter", F.col("b").alias("_1"), F.col("a").alias("_2"), "n"))
+    if method == "excluded":
+        d = both.groupBy("sample", "iter", "_1").agg(F.sum(F.when(F.col("_1") == F.col("_2"), 0).otherwise(F.col("n"))).alias("_d"))
+        both = both.join(d, ["sample", "iter", "_1"]).join(d.select("sample", "iter", F.col("_1").alias("_2"), F.col("_d").alias("_e")), ["sample", "iter", "_2"])
+        both = both.withColumn("n", F.when(F.col("_1") == F.col("_2"), 0.0).otherwise(F.col("n") / (F.col("_d") + F.col("_e") + 1)))
+    name = lambda k: F.element_at("_types", F.col(k))
+    found = both.crossJoin(F.broadcast(types)).select("sample", "iter", name("_1").alias("c1"), name("_2").alias("c2"), F.col("n").alias("score"))
+    seen = edge_counts(edge, cells, point).join(edge.select("sample").distinct(), "sample", "left_semi")
+    seen = (excluded_score(seen) if method == "excluded" else seen.withColumnRenamed("n", "score")).withColumnRenamed("score", "observed")
+    # a pair without an edge in a shuffle has score 0, which no observed score is below
+    above = found.filter("iter > 0").join(seen, ["sample", "c1", "c2"]).filter("score > observed").groupBy("sample", "c1", "c2").agg((F.count(F.lit(1)) / iterations).alias("p"))
+    p = seen.join(above, ["sample", "c1", "c2"], "left").withColumn("p", F.coalesce("p", F.lit(0.0))).withColumn("q", 1 - F.col("p"))
     return p.select("sample", "c1", "c2", "observed", F.when(F.col("q") >= F.col("p"), F.col("p")).otherwise(-F.col("q")).alias("score"))

@@ -198,6 +198,40 @@ def test_neighbourhood(spark):
     assert sorted(map(tuple, t)) == sorted(map(tuple, again)) and all(-1 <= r.score <= 1 for r in t)
 
 
+@pytest.mark.parametrize("method", ["include", "excluded"])
+def test_neighbourhood_scores_from_their_shuffles(spark, method):
+    """The scores, worked out here from the labels that the shuffles deal."""
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    cells = [("s" if i < 14 else "t", "ABC"[rng.integers(3)], i) for i in range(24)]
+    df = spark.createDataFrame(cells, "sample string, cluster string, point int")
+    edge = spark.createDataFrame([("s", i, i + k) for i in range(12) for k in (1, 2)], "sample string, point_1 int, point_2 int")
+    n = 25
+    labels = {}
+    for r in spatial.permuted(df.withColumnRenamed("point", "cell_id"), n, None, None, 3).collect():
+        labels.setdefault((r.sample, r.iter), {})[r.cell_id] = r.cluster
+
+    def scores(own):
+        c = Counter()
+        for i in range(12):
+            for k in (1, 2):
+                c[own[i], own[i + k]] += 1
+                c[own[i + k], own[i]] += 1
+        if method == "include":
+            return c
+        d = {a: sum(v for (x, y), v in c.items() if x == a != y) for a in "ABC"}
+        return {(a, b): 0 if a == b else v / (d[a] + d[b] + 1) for (a, b), v in c.items()}
+
+    seen, dealt = scores(labels["s", 0]), [scores(labels["s", k]) for k in range(1, n + 1)]
+    got = {(r.sample, r.c1, r.c2): r for r in spatial.neighbourhood_test(edge, df, n, method, 3).collect()}
+    types = {c for s, c, _ in cells if s == "s"}
+    assert set(got) == {("s", a, b) for a in types for b in types}
+    for (_, a, b), r in got.items():
+        p = sum(x.get((a, b), 0) > seen.get((a, b), 0) for x in dealt) / n
+        assert r.observed == pytest.approx(seen.get((a, b), 0)) and r.score == pytest.approx(p if 1 - p >= p else p - 1)
+
+
 def test_permutations_keep_what_they_must(spark):
     p = spatial.permuted(cells(spark), 5, None, "A", 1).collect()
     assert len(p) == 6 * len(CELLS)
