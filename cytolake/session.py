@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import uuid
 
-import os
-
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str | None = None, name: str = "cytolake", memory: str = "8g") -> SparkSession:
@@ -31,3 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is unset: steps need a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: a step of a loop, without lineage and with true sizes."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cytolake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -527,3 +527,46 @@ def test_robustness_of_clusters(spark):
     assert set(got) == {0.05, 0.1, 0.2} and got[0.05].lowest == got[0.1].median == 1.0 and got[0.2].lowest > 0.8
     mixed = df.withColumn("cluster", (F.col("i") % 3).cast("int"))
     assert cluster.robustness(mixed, "i", ["x", "y"], shares=(0.1,), repeats=4).first().median < 0.8
+
+
+def plain_ward(d):
+    """Ward's clustering one merge at a time: which leaves are merged, at which heights."""
+    size, parts, d2 = {i: 1 for i in range(len(d))}, {i: (i,) for i in range(len(d))}, {(i, j): d[i][j] ** 2 for i in range(len(d)) for j in range(i)}
+    out = []
+    while len(parts) > 1:
+        (i, j), h = min(d2.items(), key=lambda x: x[1])
+        i, j = min(i, j), max(i, j)
+        of = lambda a, b: d2.pop((max(a, b), min(a, b)))
+        of(i, j)
+        for k in [k for k in parts if k not in (i, j)]:
+            new = ((size[i] + size[k]) * of(i, k) + (size[j] + size[k]) * of(j, k) - size[k] * h) / (size[i] + size[j] + size[k])
+            d2[max(i, k), min(i, k)] = new
+        parts[i] += parts.pop(j)
+        size[i] += size.pop(j)
+        out.append((tuple(sorted(parts[i])), math.sqrt(h)))
+    return out
+
+
+def test_ward_in_rounds_makes_the_tree(spark):
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 9, 24):
+        x = rng.normal(size=(n, 3))
+        sim = spark.createDataFrame([(i, j, float(1 - np.linalg.norm(x[i] - x[j]))) for i in range(n) for j in range(n)], "a int, b int, sim double")
+        want = plain_ward([[float(np.linalg.norm(u - v)) for v in x] for u in x])
+        merges = cluster.ward_merges(sim).collect() if n > 1 else []
+        parts, got = {i: (i,) for i in range(n)}, []
+        for r in sorted(merges, key=lambda r: (r.step, r.a)):
+            parts[r.a] += parts.pop(r.b)
+            got.append((tuple(sorted(parts[r.a])), r.height))
+        assert sorted(p for p, _ in got) == sorted(p for p, _ in want) and [h for _, h in sorted(got)] == pytest.approx([h for _, h in sorted(want)])
+        k = min(n, 3)
+        cut = cluster.hierarchical(sim, k).orderBy("position").collect()
+        assert [r.position for r in cut] == list(range(1, n + 1)) and cut[0].item == 0
+        groups = {}
+        for r in cut:
+            groups.setdefault(r.cluster, set()).add(r.item)
+        left = [{i} for i in range(n)]
+        for part, _ in want[: n - k]:
+            left = [g for g in left if not g <= set(part)] + [set(part)]
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, left)) and sorted(groups) == list(range(1, k + 1))
+        assert [r.cluster for r in cut] == sorted(r.cluster for r in cut)
