@@ -116,7 +116,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     rows = docs.select(F.col("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("_x"))
     rows = rows.withColumn("_hub", F.when(F.col("size") > 16, F.xxhash64("_x", "text_crc32", "size"))).drop("_x")
     spark = docs.sparkSession
-    counts = rows.groupBy("_hub").agg(F.count(F.lit(1)).alias("_members")).filter("_hub IS NOT NULL AND _members > 1")
+    counts = cut(rows.groupBy("_hub").agg(F.count(F.lit(1)).alias("_members")).filter("_hub IS NOT NULL AND _members > 1"))  # written, so that the join below can split a hot hub
     named = rows.filter("_hub IS NOT NULL").join(counts, "_hub", "left").withColumn("_hub", F.when(F.col("_members").isNotNull(), F.col("_hub")))
     none = rows.filter("_hub IS NULL").withColumn("_members", F.lit(None).cast("long"))  # null and empty texts have no key to meet on
     rows = cut(named.unionByName(none))
@@ -135,7 +135,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     # members of a hub, by rank, take its cells in order of shard
     spans = cells.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("shard", "members"))).alias("_cells"))  # n_shards cells at most
     ends = F.transform("_cells", lambda c, i: F.struct(F.aggregate(F.slice("_cells", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["members"]).alias("hi"), c["shard"].alias("shard")))
-    spans = spans.select(F.col("hub").alias("_hub"), ends.alias("_ends"))
+    spans = cut(spans.select(F.col("hub").alias("_hub"), ends.alias("_ends")))
     ranked = position(linked, ["_hub"], order, "_p", max(16, deal // 32))
     placed = ranked.join(spans, "_hub").withColumn("shard", F.element_at(F.filter("_ends", lambda e: e["hi"] > F.col("_p")), 1)["shard"]).drop("_ends", "_p")
     left = quota.join(cells.groupBy("shard").agg(F.sum("members").alias("load")), "shard", "left").select("shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("free"))
