@@ -82,4 +82,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_minhash_dedup, op5_html_extract, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_fm_quality, op10_line_dedup, quality_ablation)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle_manifest import verified
+
+    return verified(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_minhash_dedup, op5_html_extract, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_fm_quality, op10_line_dedup, op12_merkle_manifest, quality_ablation)}

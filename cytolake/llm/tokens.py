@@ -55,7 +55,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     while at < n:
         end = min(n, at + _BLOCK)
         while end < n and not _SPACE[data[end - 1]] and not edges[end]:  # a word is never cut
-            tail = np.flatnonzero(_SPACE[data[end : end + _BLOCK]] | edges[end : end + _BLOCK])
+            tail = np.flatnonzero(_SPACE[data[end : end + _BLOCK]] | edges[end : min(n, end + _BLOCK)])
             end = min(n, end + (int(tail[0]) + 1 if len(tail) else _BLOCK))
             if len(tail) and edges[end - 1]:
                 end -= 1
