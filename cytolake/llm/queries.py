@@ -82,10 +82,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import repair_report
+
+    ship(spark)
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle_manifest import verified
 
     return verified(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_minhash_dedup, op5_html_extract, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_fm_quality, op10_line_dedup, op12_merkle_manifest, quality_ablation)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_minhash_dedup, op5_html_extract, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_fm_quality, op10_line_dedup, op11_conversation_repair, op12_merkle_manifest, quality_ablation)}
