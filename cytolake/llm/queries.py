@@ -95,4 +95,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_minhash_dedup, op5_html_extract, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_fm_quality, op10_line_dedup, op11_conversation_repair, op12_merkle_manifest, quality_ablation)}
+def op13_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent_lm import language_scores
+
+    ship(spark)
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_mixing, op4_minhash_dedup, op5_html_extract, op6_quality_rules, op7_sentencepiece, op8_exact_dedup, op9_fm_quality, op10_line_dedup, op11_conversation_repair, op12_merkle_manifest, op13_maxent_lm, quality_ablation)}
