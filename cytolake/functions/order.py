@@ -32,6 +32,27 @@ def running(df: DataFrame, by: Sequence[str], value: str, amount: str, name: str
     return before(rows, by, [F.col(value)], F.col(amount), name).drop("_range")
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between neighbours, as ``percentile`` has them) of each family, a column for each share; nulls go.
+
+    Values are counted first, then looked up by running counts in two steps, so no task holds the values of a family.
+    """
+    counts = df.select(*by, F.col(value).cast("double").alias("_q")).dropna(subset=["_q"]).groupBy(*by, "_q").agg(F.count(F.lit(1)).alias("_c"))
+    ahead = running(counts, by, "_q", "_c", "_ahead")
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_n")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    rows = ahead.join(sizes, same) if by else ahead.crossJoin(F.broadcast(sizes))  # one row
+    there = lambda at: F.max(F.when((F.col("_ahead") <= at) & (at < F.col("_ahead") + F.col("_c")), F.col("_q")))
+    picks = []
+    for name, share in shares.items():
+        place = (F.col("_n") - 1) * share
+        low, part = there(F.floor(place)), F.max(place - F.floor(place))
+        picks.append((low + part * (there(F.ceil(place)) - low)).alias(name))
+    return rows.groupBy(*by).agg(*picks)
+
+
 def before(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amount: Column, name: str) -> DataFrame:
     """Adds the sum of ``amount`` over the rows ahead in ``order``, of rows that have their ``_range``."""
     sums = rows.groupBy(*by, "_range").agg(F.sum(amount).alias("_s"))

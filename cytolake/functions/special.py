@@ -18,6 +18,77 @@ _erfc = np.vectorize(math.erfc, otypes=[float])
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln gamma of positive numbers: Stirling's series above 7, the recurrence below (error under 1e-13 relative)."""
+    x = np.asarray(x, float)
+    shift = np.zeros_like(x)
+    y = x.copy()
+    low = y < 7
+    while low.any():
+        shift[low] += np.log(y[low])
+        y[low] += 1
+        low = y < 7
+    z = 1 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def digamma(x: float) -> float:
+    out = 0.0
+    while x < 16:
+        out, x = out - 1 / x, x + 1
+    z = 1 / (x * x)
+    return out + math.log(x) - 0.5 / x - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240)))
+
+
+def trigamma(x: float) -> float:
+    out = 0.0
+    while x < 16:
+        out, x = out + 1 / (x * x), x + 1
+    z = 1 / (x * x)
+    return out + 1 / x + z / 2 + z / x * (1 / 6 - z * (1 / 30 - z * (1 / 42 - z / 30)))
+
+
+def trigamma_inverse(y: float) -> float:
+    """x with trigamma(x) = y, by bisection on ln x; y not above 0 gives infinity."""
+    if y <= 1e-12:
+        return math.inf
+    low, high = -40.0, 40.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if trigamma(math.exp(middle)) > y else (low, middle)
+    return math.exp((low + high) / 2)
+
+
+def chi2_upper(x: np.ndarray, df: float) -> np.ndarray:
+    """P(chi-square with ``df`` degrees of freedom > x): the series of the lower tail, or the continued fraction of the upper."""
+    a, z = df / 2, np.maximum(np.asarray(x, float), 0) / 2
+    with np.errstate(all="ignore"):
+        front = np.exp(a * np.log(z) - z - math.lgamma(a))
+        term = np.full_like(z, 1 / a)
+        total = term.copy()
+        for n in range(1, 500):
+            term = term * z / (a + n)
+            total = total + term
+        b = z + 1 - a
+        c, d = np.full_like(z, 1e300), 1 / np.where(np.abs(b) < 1e-300, 1e-300, b)
+        h = d.copy()
+        for n in range(1, 500):
+            b = b + 2
+            d = 1 / (b - n * (n - a) * d)
+            c = b - n * (n - a) / c
+            h = h * d * c
+    return np.where(z <= 0, 1.0, np.where(z < a + 1, 1 - front * total, front * h))
+
+
+def f_upper(f: np.ndarray, d1: float, d2: np.ndarray) -> np.ndarray:
+    """P(F with d1 and d2 degrees of freedom > f); an infinite d2 gives the chi-square tail."""
+    f, d2 = np.broadcast_arrays(np.maximum(np.asarray(f, float), 0), np.asarray(d2, float))
+    far = np.isinf(d2)
+    v = np.where(far, 1.0, d2)
+    return np.where(far, chi2_upper(f * d1, d1), beta_fraction(v / 2, np.full_like(v, d1 / 2), v / (v + d1 * f)))
+
+
 def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
     a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))

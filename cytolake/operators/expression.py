@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import need, ratio, zscore
+from ..functions.order import quantiles
 
 
 def keep_genes(counts: DataFrame, genes: DataFrame, gene: str = "gene") -> DataFrame:
@@ -57,11 +58,12 @@ def normalize_counts(counts: DataFrame, intervals: DataFrame, method: str = "tpm
 
 
 def size_factors(counts: DataFrame) -> DataFrame:
-    """Median of ratios to the geometric mean, over genes without a zero."""
-    logs = counts.withColumn("_log", F.when(F.col("value") > 0, F.ln("value")))
-    gene = W.partitionBy("gene")
-    whole = logs.withColumn("_mean", F.when(F.count("_log").over(gene) == F.count(F.lit(1)).over(gene), F.avg("_log").over(gene)))
-    return whole.filter("_mean IS NOT NULL").groupBy("sample").agg(F.expr("percentile(exp(_log - _mean), 0.5)").alias("size_factor"))
+    """Median of ratios to the geometric mean, over genes with a count above 0 in every sample; a missing row is a zero."""
+    logs = counts.filter("value > 0").select("gene", "sample", F.ln("value").alias("_log"))
+    all_ = counts.agg(F.countDistinct("sample").alias("_all"))
+    whole = logs.groupBy("gene").agg(F.count(F.lit(1)).alias("_n"), F.avg("_log").alias("_mean")).crossJoin(F.broadcast(all_)).filter("_n = _all")  # one row
+    ratios = logs.join(whole.select("gene", "_mean"), "gene").select("sample", F.exp(F.col("_log") - F.col("_mean")).alias("_ratio"))
+    return quantiles(ratios, ["sample"], "_ratio", {"size_factor": 0.5})
 
 
 def fold_changes(counts: DataFrame, groups: DataFrame, reference: str) -> DataFrame:

@@ -112,66 +112,6 @@ def acat(df: DataFrame, p: str, by: list[str], weight: str | None = None, check:
     return g.select(*by, value.alias("p_value"))
 
 
-def score_statistics(geno: DataFrame, pheno: DataFrame) -> DataFrame:
-    """Per variant, against a continuous outcome with an intercept: n carriers, MAF, score t statistic and its df.
-
-    ``geno`` is sparse (ind, snp, dosage; zeros left out), ``pheno`` has (ind, y). Missing dosages are zeros.
-    """
-    need(geno, "ind", "snp", "dosage")
-    need(pheno, "ind", "y")
-    null = pheno.agg(F.count("y").cast("double").alias("n"), F.avg("y").alias("ybar"), F.var_pop("y").alias("v"))
-    rows = geno.join(pheno.dropna(subset=["y"]), "ind").crossJoin(F.broadcast(null))  # null: one row
-    g = rows.groupBy("snp").agg(
-        F.sum(F.col("dosage") * (F.col("y") - F.col("ybar"))).alias("_u"), F.sum(F.col("dosage").cast("double")).alias("mac"), F.sum(F.col("dosage").cast("double") * F.col("dosage")).alias("_gg"),
-        F.first("n").alias("n"), F.first("v").alias("_v"),
-    )
-    sigma = F.col("_gg") - F.col("mac") * F.col("mac") / F.col("n")
-    sst = F.col("_v") * F.col("n")
-    g = g.withColumn("_sig", sigma).withColumn("_sst", sst).withColumn("_ssr", F.when(F.col("_sig") <= 0, 0.0).otherwise(ratio(F.col("_u") * F.col("_u"), F.col("_sig"))))
-    df = F.col("n") - 2
-    t = F.sqrt(F.greatest(F.lit(0.0), ratio(F.col("_ssr"), (F.col("_sst") - F.col("_ssr")) / df)))
-    return g.select("snp", F.col("mac").cast("long").alias("mac"), (F.col("mac") / (2 * F.col("n"))).alias("maf"), t.alias("t"), df.cast("long").alias("df"))
-
-
-def marginal_p(geno: DataFrame, pheno: DataFrame) -> DataFrame:
-    s = score_statistics(geno, pheno)
-    return s.withColumn("p_value", t_two_sided(F.col("t"), F.col("df").cast("double")))
-
-
-def burden(geno: DataFrame, pheno: DataFrame, weighted: bool = True) -> DataFrame:
-    """One row: the weighted-sum score test. Weights are dbeta(MAF, 1, 25) = 25 (1 - MAF)^24, or 1."""
-    n = pheno.agg(F.count("y").cast("double").alias("n"))
-    maf = geno.groupBy("snp").agg(F.sum(F.col("dosage").cast("double")).alias("_m")).crossJoin(F.broadcast(n)).withColumn("_maf", F.col("_m") / (2 * F.col("n")))
-    weight = 25 * F.pow(1 - F.col("_maf"), F.lit(24.0)) if weighted else F.lit(1.0)
-    summed = geno.join(maf.select("snp", weight.alias("_w")), "snp").groupBy("ind").agg(F.sum(F.col("dosage") * F.col("_w")).alias("dosage")).withColumn("snp", F.lit(0))
-    null = pheno.agg(F.count("y").cast("double").alias("n"), F.avg("y").alias("ybar"), F.var_samp("y").alias("s2"))
-    g = summed.join(pheno.dropna(subset=["y"]), "ind").crossJoin(F.broadcast(null)).groupBy("snp").agg(
-        F.sum(F.col("dosage") * (F.col("y") - F.col("ybar"))).alias("_u"), F.sum("dosage").alias("_s"), F.sum(F.col("dosage") * F.col("dosage")).alias("_gg"), F.first("n").alias("n"), F.first("s2").alias("s2")
-    )
-    q = ratio(F.col("_u") * F.col("_u"), F.col("s2") * (F.col("_gg") - F.col("_s") * F.col("_s") / F.col("n")))
-    return g.select(q.alias("q"))
-
-
-def acat_v(geno: DataFrame, pheno: DataFrame, mac_thresh: int = 10, a: float = 1.0, b: float = 25.0) -> DataFrame:
-    """One row: ACAT over single-variant tests of common variants and a burden test of the rare ones."""
-    from ..functions.special import chi2_upper_one
-
-    s = marginal_p(geno, pheno).filter("mac > 0")
-    beta = lambda m: F.pow(m, F.lit(a - 1)) * F.pow(1 - m, F.lit(b - 1))  # noqa: E731  scale cancels within one kind only, so it is kept out of mixes
-    half = lambda m: F.pow(m, F.lit(-0.5)) * F.pow(1 - m, F.lit(-0.5)) / F.pi()
-    import math
-
-    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
-    w = lambda m: F.pow(scale * beta(m) / half(m), F.lit(2.0))
-    common = s.filter(F.col("mac") > mac_thresh).select("p_value", w(F.col("maf")).alias("weight"))
-    rare_ids = s.filter(F.col("mac") <= mac_thresh).select("snp", "maf")
-    rare = burden(geno.join(rare_ids.select("snp"), "snp", "left_semi"), pheno).select(chi2_upper_one(F.col("q")).alias("p_value"))
-    mean = rare_ids.agg(F.avg("maf").alias("maf"))
-    rare = rare.crossJoin(F.broadcast(mean)).select("p_value", w(F.col("maf")).alias("weight"))
-    both = common.unionByName(rare).filter("p_value IS NOT NULL AND p_value < 1").withColumn("_all", F.lit(1))
-    return acat(both, "p_value", ["_all"], "weight").select("p_value")
-
-
 @dataclass(frozen=True)
 class NullModel:
     """An outcome without any variant: ``rows`` has (ind, residual, _v, _x0 = 1, _x1, ...), ``_v`` each outcome's variance up to ``sigma2``."""
@@ -282,7 +222,9 @@ def burden_test(geno: DataFrame, null: NullModel, weights: DataFrame | None = No
 
 
 def acat_v_test(geno: DataFrame, null: NullModel, weights: DataFrame | None = None, beta: tuple[float, float] = (1.0, 25.0), mac_thresh: int = 10) -> DataFrame:
-    """One row: Cauchy combination of the tests of variants above ``mac_thresh`` and a burden test of the others; p-values of 1 go.
+    """One row: Cauchy combination of the tests of variants above ``mac_thresh`` and a burden test of the others.
+
+    Where there are both, p-values of 1 go; among common variants alone, one p-value of 1 makes the result 1.
 
     Without given weights (snp, weight) they are squared ratios of beta densities of the frequency; the burden test counts
     with the mean frequency, or the mean weight, of its variants.
@@ -299,5 +241,6 @@ def acat_v_test(geno: DataFrame, null: NullModel, weights: DataFrame | None = No
     pooled = burden_test(geno.join(rare.select("snp"), "snp", "left_semi"), null, given, beta).select("p_value")
     mean = rare.agg(F.avg("maf").alias("_maf"), F.avg("weight").alias("_w"))
     pooled = pooled.crossJoin(F.broadcast(mean)).select("p_value", F.coalesce("_w", density(F.col("_maf"))).alias("weight"))  # one row each
-    both = common.unionByName(pooled).filter("p_value IS NOT NULL AND p_value < 1").withColumn("_all", F.lit(1))
+    kinds = tests.agg(F.count_if(F.col("mac") > mac_thresh).alias("_common"), F.count_if(F.col("mac") <= mac_thresh).alias("_rare"))
+    both = common.unionByName(pooled).crossJoin(F.broadcast(kinds)).filter("p_value IS NOT NULL AND (p_value < 1 OR _common = 0 OR _rare = 0)").withColumn("_all", F.lit(1))  # one row
     return acat(both, "p_value", ["_all"], "weight").select("p_value")

@@ -21,12 +21,12 @@ def first_appearance(df: DataFrame, level: str, order: str, name: str = "idx") -
 
 
 def linked_layout(links: DataFrame, left: str, right: str, order: str, align: str = "bottom") -> tuple[DataFrame, DataFrame]:
-    """Points (side, name, y) of both columns and segments (y1, y2); heights are shares of the longer side."""
+    """Points (side, name, y) of both columns and segments (y1, y2); heights are shares of the longer side, from 0."""
     need(links, left, right, order)
     a, b = first_appearance(links, left, order), first_appearance(links, right, order)
     n = a.agg(F.count(F.lit(1)).alias("_l1")).crossJoin(b.agg(F.count(F.lit(1)).alias("_l2"))).withColumn("_l", F.greatest("_l1", "_l2"))
-    i, l1, l2, whole = F.col("idx"), F.col("_l1") - 1, F.col("_l2") - 1, F.col("_l").cast("double")
-    shift = {"bottom": F.lit(0.0), "top": (l1 - l2).cast("double"), "center": l1 / 2 - l2 / 2 - 1 + 0.0}
+    i, l1, l2, whole = F.col("idx") - 1, F.col("_l1") - 1, F.col("_l2") - 1, F.col("_l").cast("double")
+    shift = {"bottom": F.lit(0.0), "top": (l1 - l2).cast("double"), "center": (l1 - l2) / 2.0}
     if align not in shift:
         raise ValueError(f"align {align!r}")
     pa = a.crossJoin(F.broadcast(n)).select(F.lit("left").alias("side"), F.col(left).alias("name"), (i / whole).alias("y"))

@@ -38,6 +38,18 @@ class Tables:
         rows = self["lineitem"].join(self["part"].select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(self["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         return rows.groupBy(F.col("p_brand").alias("gene"), F.col("s_nationkey").cast("string").alias("sample")).agg(F.sum("l_quantity").alias("value"))
 
+    _SQL["expr"] = ((), "SELECT 'g' || (p_partkey // 10) AS gene, CAST(s_nationkey AS VARCHAR) AS sample, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2")
+
+    def expression(self) -> DataFrame:
+        """A gene for every ten parts, so that genes grow with the table; a sample for each nation."""
+        rows = self["lineitem"].join(self["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        return rows.groupBy(F.concat(F.lit("g"), F.floor(F.col("l_partkey") / 10).cast("string")).alias("gene"), F.col("s_nationkey").cast("string").alias("sample")).agg(F.sum("l_quantity").alias("value"))
+
+    def sample_groups(self) -> DataFrame:
+        """Samples in two groups and three batches, by nation."""
+        n = F.col("n_nationkey")
+        return self["nation"].select(n.cast("string").alias("sample"), F.when(n % 2 == 0, "even").otherwise("odd").alias("group"), F.concat(F.lit("b"), (n % 3).cast("string")).alias("batch"))
+
     _SQL["lens"] = ((), "SELECT p_brand AS gene, max(p_size) AS length FROM part GROUP BY 1")
 
     def transcripts(self) -> DataFrame:

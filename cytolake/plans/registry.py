@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import average_rank, star, zscore
 from ..functions.padjust import adjust
-from ..operators import cluster, expression, image, meta, plots, reshape, spatial, stats
+from ..operators import cluster, count_models, expression, image, meta, plots, reshape, spatial, stats
 from ..session import shared_folder
 from ..sources import archive
 from .inputs import Tables, sql
@@ -100,6 +100,33 @@ def st7_fold_changes(t):
     return r6(expression.fold_changes(c, groups, "even"), "base_mean", "log2_fc")
 
 
+@query(
+    sql("expr") + ", n AS (SELECT count(DISTINCT sample) AS n FROM expr), g AS (SELECT gene, avg(ln(value)) AS lm FROM expr, n WHERE value > 0 GROUP BY gene HAVING count(*) = any_value(n)), f AS (SELECT sample, quantile_cont(exp(ln(value) - lm), 0.5) AS size_factor FROM expr JOIN g USING (gene) WHERE value > 0 GROUP BY 1)"
+    " SELECT gene, sample, round(value / size_factor, 6) AS value FROM expr JOIN f USING (sample)"
+)
+def st7_scaled_counts(t):
+    c = t.expression()
+    return r6(c.join(expression.size_factors(c), "sample").select("gene", "sample", (F.col("value") / F.col("size_factor")).alias("value")), "value")
+
+
+_NB = ("base_mean", "dispersion", "log2_fc", "se", "statistic", "p_value", "p_adj")
+
+
+@query()
+def st7_negative_binomial(t):
+    return r6(count_models.differential(t.expression(), t.sample_groups(), "even"), *_NB)
+
+
+@query()
+def st7_likelihood_ratio(t):
+    return r6(count_models.differential(t.expression(), t.sample_groups(), "even", test="LRT"), *_NB)
+
+
+@query()
+def st10_batch(t):
+    return r6(count_models.differential(t.expression(), t.sample_groups(), "even", batch=True), *_NB)
+
+
 @query()
 def st4_sample_pca(t):
     return r6(expression.sample_pca(t.counts(), 2), "loading", "proportion")
@@ -225,7 +252,8 @@ def ag7_acat(t):
     " h AS (SELECT *, CASE WHEN gg - mac * mac / n <= 0 THEN 0 ELSE u * u / (gg - mac * mac / n) END AS ssr FROM g) SELECT snp, CAST(mac AS BIGINT) AS mac, round(mac / (2 * n), 6) AS maf, round(sqrt(ssr / ((sst - ssr) / (n - 2))), 6) AS t, CAST(n - 2 AS BIGINT) AS df FROM h"
 )
 def ag9_marginal_score(t):
-    return r6(meta.score_statistics(t.geno(), t.pheno()), "maf", "t")
+    null = meta.null_model(t.pheno())
+    return r6(meta.marginal_tests(t.geno(), null).select("snp", "mac", "maf", F.col("statistic").alias("t"), F.lit(null.n - 2).cast("long").alias("df")), "maf", "t")
 
 
 @query(
@@ -233,7 +261,7 @@ def ag9_marginal_score(t):
     " SELECT round(pow(sum(d * (y - yb)), 2) / (any_value(s2) * (sum(d * d) - pow(sum(d), 2) / any_value(n))), 6) AS q FROM b JOIN pheno USING (ind), n"
 )
 def ag8_burden(t):
-    return r6(meta.burden(t.geno(), t.pheno()), "q")
+    return r6(meta.burden_test(t.geno(), meta.null_model(t.pheno())).select("q"), "q")
 
 
 #: Customers with their nation as a covariate: the linear null model in closed form, for one covariate.
@@ -275,7 +303,7 @@ def ag10_acat_v_binary(t):
 
 @query()
 def ag10_acat_v(t):
-    return r6(meta.acat_v(t.geno(), t.pheno(), mac_thresh=500), "p_value")
+    return r6(meta.acat_v_test(t.geno(), meta.null_model(t.pheno()), mac_thresh=500), "p_value")
 
 
 # ---- tests --------------------------------------------------------------------------------------------------------
@@ -669,23 +697,30 @@ def hc8_robustness(t):
 
 # ---- plot tables --------------------------------------------------------------------------------------------------
 
+#: Names in order of first appearance count from 0, on both sides; heights are shares of the longer side.
 _LINKED = (
-    "WITH k AS (SELECT c_mktsegment AS l, 'r' || n_regionkey AS r, min(c_custkey) AS o FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2), a AS (SELECT l, row_number() OVER (ORDER BY min(o), l) AS i FROM k GROUP BY 1), b AS (SELECT r, row_number() OVER (ORDER BY min(o), r) AS i FROM k GROUP BY 1),"
-    " m AS (SELECT greatest((SELECT count(*) FROM a), (SELECT count(*) FROM b))::DOUBLE AS m, (SELECT count(*) FROM a) - (SELECT count(*) FROM b) AS d)"
+    "WITH k AS (SELECT c_mktsegment AS l, 'r' || n_regionkey || n_nationkey % 2 AS r, min(c_custkey) AS o FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2), a AS (SELECT l, row_number() OVER (ORDER BY min(o), l) - 1 AS i FROM k GROUP BY 1), b AS (SELECT r, row_number() OVER (ORDER BY min(o), r) - 1 AS i FROM k GROUP BY 1),"
+    " m AS (SELECT (SELECT count(*) FROM a) AS n1, (SELECT count(*) FROM b) AS n2, greatest((SELECT count(*) FROM a), (SELECT count(*) FROM b))::DOUBLE AS n)"
 )
+_POINTS = _LINKED + " SELECT 'left' AS side, l AS name, round(i / n, 6) AS y FROM a, m UNION ALL SELECT 'right', r, round(({}) / n, 6) FROM b, m"
 
 
 def _links(t) -> DataFrame:
     c = t["customer"].join(F.broadcast(t["nation"]), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    return c.groupBy(F.col("c_mktsegment").alias("l"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("r")).agg(F.min("c_custkey").alias("o"))
+    return c.groupBy(F.col("c_mktsegment").alias("l"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), (F.col("n_nationkey") % 2).cast("string")).alias("r")).agg(F.min("c_custkey").alias("o"))
 
 
-@query(_LINKED + " SELECT 'left' AS side, l AS name, round(i / m, 6) AS y FROM a, m UNION ALL SELECT 'right', r, round((i + d) / m, 6) FROM b, m")
+@query(_POINTS.format("i - (n2 - 1) + (n1 - 1)"))
 def pt2_linked_points(t):
     return r6(plots.linked_layout(_links(t), "l", "r", "o", "top")[0], "y")
 
 
-@query(_LINKED + " SELECT l AS \"left\", r AS \"right\", 2 AS x1, 3 AS x2, round(a.i / m, 6) AS y1, round(b.i / m, 6) AS y2 FROM k JOIN a USING (l) JOIN b USING (r), m")
+@query(_POINTS.format("(n1 - 1) / 2.0 - (n2 - 1) / 2.0 + i"))
+def pt2_linked_center(t):
+    return r6(plots.linked_layout(_links(t), "l", "r", "o", "center")[0], "y")
+
+
+@query(_LINKED + " SELECT l AS \"left\", r AS \"right\", 2 AS x1, 3 AS x2, round(a.i / n, 6) AS y1, round(b.i / n, 6) AS y2 FROM k JOIN a USING (l) JOIN b USING (r), m")
 def pt2_linked_segments(t):
     return r6(plots.linked_layout(_links(t), "l", "r", "o")[1], "y1", "y2")
 

@@ -103,12 +103,35 @@ def test_score_tests(spark):
     g = [0, 1, 1, 0, 2, 2]
     pheno = spark.createDataFrame(list(enumerate(y)), "ind long, y double")
     geno = spark.createDataFrame([(i, 7, d) for i, d in enumerate(g) if d], "ind long, snp long, dosage int")
-    r = meta.marginal_p(geno, pheno).first()
+    r = meta.marginal_tests(geno, meta.null_model(pheno)).first()
     n, my, mg = 6, sum(y) / 6, sum(g) / 6
     u, sg, st = sum((a - mg) * (b - my) for a, b in zip(g, y)), sum((a - mg) ** 2 for a in g), sum((b - my) ** 2 for b in y)
-    assert r.t == pytest.approx(math.sqrt(u * u / sg / ((st - u * u / sg) / (n - 2)))) and r.maf == pytest.approx(0.5) and 0 < r.p_value < 1
-    assert meta.burden(geno, pheno, weighted=False).first().q == pytest.approx(u * u / (st / 5 * sg))
-    assert 0 < meta.acat_v(geno, pheno, mac_thresh=2).first().p_value < 1
+    assert r.statistic == pytest.approx(math.sqrt(u * u / sg / ((st - u * u / sg) / (n - 2)))) and r.maf == pytest.approx(0.5) and 0 < r.p_value < 1
+    assert meta.burden_test(geno, meta.null_model(pheno), weighted=False).first().q == pytest.approx(u * u / (st / 5 * sg))
+    assert 0 < meta.acat_v_test(geno, meta.null_model(pheno), mac_thresh=2).first().p_value < 1
+
+
+def test_p_values_of_one_go_only_beside_rare_variants(spark):
+    pheno = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 3, 4, 5, 6, 7, 8])], "ind long, y double")
+    null = meta.null_model(pheno)
+    flat = [(0, 1, 1), (7, 1, 1), (1, 1, 1), (6, 1, 1)]  # carriers lie evenly about the mean: p = 1
+    steep = [(i, 2, 1) for i in (4, 5, 6, 7)]
+    common = spark.createDataFrame(flat + steep, "ind long, snp long, dosage int")
+    p = {r.snp: r.p_value for r in meta.marginal_tests(common, null).collect()}
+    assert p[1] == pytest.approx(1.0, abs=1e-12) and p[2] < 0.05
+    assert meta.acat_v_test(common, null, mac_thresh=2).first().p_value == pytest.approx(1.0, abs=1e-6)  # common variants alone
+    mixed = common.unionByName(spark.createDataFrame([(7, 3, 1)], "ind long, snp long, dosage int"))
+    assert meta.acat_v_test(mixed, null, mac_thresh=2).first().p_value < 0.1
+
+
+def test_repeated_keys_are_an_error(spark):
+    from cytolake.functions.products import pair_sums
+
+    rows = [("i", 1, 1.0), ("i", 2, 2.0), ("j", 1, 3.0)]
+    got = {(r.a, r.b): (r.n, r.sx, r.xy) for r in pair_sums(spark.createDataFrame(rows, "item string, k int, v double"), "item", "k", "v", keys=1).collect()}
+    assert got == {("i", "i"): (2, 3.0, 5.0), ("i", "j"): (1, 1.0, 3.0), ("j", "j"): (1, 3.0, 9.0)}
+    with pytest.raises(Exception, match="several values for one key"):
+        pair_sums(spark.createDataFrame([*rows, ("i", 1, 5.0)], "item string, k int, v double"), "item", "k", "v").collect()
 
 
 def test_correlations(spark):
@@ -290,8 +313,11 @@ def test_clusters(spark):
 def test_plot_tables(spark):
     links = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "y", 3), ("c", "y", 4)], "l string, r string, o int")
     points, segments = plots.linked_layout(links, "l", "r", "o")
-    assert {(r.side, r.name): r.y for r in points.collect()} == pytest.approx({("left", "a"): 1 / 3, ("left", "b"): 2 / 3, ("left", "c"): 1, ("right", "x"): 1 / 3, ("right", "y"): 2 / 3})
+    assert {(r.side, r.name): r.y for r in points.collect()} == pytest.approx({("left", "a"): 0, ("left", "b"): 1 / 3, ("left", "c"): 2 / 3, ("right", "x"): 0, ("right", "y"): 1 / 3})
     assert segments.count() == 4
+    for align, want in (("top", (1 / 3, 2 / 3)), ("center", (1 / 6, 1 / 2))):
+        y = {(r.side, r.name): r.y for r in plots.linked_layout(links, "l", "r", "o", align)[0].collect()}
+        assert (y["left", "a"], y["left", "c"]) == pytest.approx((0, 2 / 3)) and (y["right", "x"], y["right", "y"]) == pytest.approx(want)
     stops = rows(plots.colour_stops(spark.range(101).select(F.col("id").cast("double").alias("v")), "v", 3), "stop")
     assert [s[1] for s in stops] == pytest.approx([0, 1, 50, 99, 100])
     family = spark.createDataFrame([("g1", "p1", 65), ("g1", "p2", 14), ("g1", "p2", 12)], "d1 string, d2 string, v long")
