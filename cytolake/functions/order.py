@@ -32,12 +32,15 @@ def running(df: DataFrame, by: Sequence[str], value: str, amount: str, name: str
     return before(rows, by, [F.col(value)], F.col(amount), name).drop("_range")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], times: str | None = None) -> DataFrame:
     """Exact quantiles (linear between neighbours, as ``percentile`` has them) of each family, a column for each share; nulls go.
 
+    ``times`` is how often each row's value stands.
+
     Values are counted first, then looked up by running counts in two steps, so no task holds the values of a family.
     """
-    counts = df.select(*by, F.col(value).cast("double").alias("_q")).dropna(subset=["_q"]).groupBy(*by, "_q").agg(F.count(F.lit(1)).alias("_c"))
+    often = F.col(times).cast("long") if times else F.lit(1).cast("long")
+    counts = df.select(*by, F.col(value).cast("double").alias("_q"), often.alias("_c")).dropna(subset=["_q"]).groupBy(*by, "_q").agg(F.sum("_c").alias("_c")).filter("_c > 0")
     ahead = running(counts, by, "_q", "_c", "_ahead")
     sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_n")
     same = F.lit(True)

@@ -96,6 +96,29 @@ def tmm_factors(counts: DataFrame, reference: str, trim_m: float = 0.3, trim_a:
     return kept.groupBy("sample").agg(F.pow(F.lit(2.0), F.try_divide(F.sum(F.col("_m") / F.col("_v")), F.sum(1 / F.col("_v")))).alias("factor"))
 
 
+def reference_sample(counts: DataFrame) -> str:
+    """The sample whose upper quartile of counts per library is nearest to the samples' mean; ties go to the first by name. One name reaches the driver.
+
+    Genes without any count are left out, missing rows are zeros.
+    """
+    rows = counts.filter("value > 0").withColumn("_share", F.col("value") / F.sum("value").over(W.partitionBy("sample"))).select("sample", "_share", F.lit(1).alias("_t"))
+    genes = counts.filter("value > 0").agg(F.countDistinct("gene").alias("_g"))
+    zeros = rows.groupBy("sample").agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(genes)).select("sample", F.lit(0.0).alias("_share"), (F.col("_g") - F.col("_n")).cast("int").alias("_t"))  # one row
+    upper = quantiles(rows.unionByName(zeros), ["sample"], "_share", {"q": 0.75}, "_t")
+    near = upper.crossJoin(F.broadcast(upper.agg(F.avg("q").alias("_m")))).orderBy(F.round(F.abs(F.col("q") - F.col("_m")), 15), "sample").first()  # one row
+    if near is None:
+        raise ValueError("no counts above 0")
+    return near["sample"]
+
+
+def normalisation_factors(counts: DataFrame, reference: str | None = None) -> DataFrame:
+    """(sample, factor, library): TMM factors, centred so that their geometric mean is 1, and library sizes."""
+    raw = tmm_factors(counts, reference_sample(counts) if reference is None else reference)
+    mean = raw.agg(F.exp(F.avg(F.ln("factor"))).alias("_g"))
+    library = counts.groupBy("sample").agg(F.sum("value").cast("double").alias("library"))
+    return raw.crossJoin(F.broadcast(mean)).join(library, "sample").select("sample", (F.col("factor") / F.col("_g")).alias("factor"), "library")  # one row
+
+
 def sample_pca(counts: DataFrame, k: int = 2) -> DataFrame:
     """Loadings of each sample on the first ``k`` components of the genes x samples matrix, and the components' shares of variance.
 

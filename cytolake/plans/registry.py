@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import average_rank, star, zscore
 from ..functions.padjust import adjust
-from ..operators import cluster, count_models, expression, image, meta, plots, reshape, spatial, stats
+from ..operators import cluster, count_models, expression, image, meta, plots, quasi_likelihood, reshape, spatial, stats
 from ..session import shared_folder
 from ..sources import archive
 from .inputs import Tables, sql
@@ -109,6 +109,29 @@ def st7_scaled_counts(t):
     return r6(c.join(expression.size_factors(c), "sample").select("gene", "sample", (F.col("value") / F.col("size_factor")).alias("value")), "value")
 
 
+@query(
+    sql("expr") + ", lib AS (SELECT sample, sum(value) AS lib FROM expr GROUP BY 1), p AS (SELECT sample, value / lib AS share FROM expr JOIN lib USING (sample) WHERE value > 0), z AS (SELECT l.sample, unnest(range((SELECT count(DISTINCT gene) FROM expr WHERE value > 0) - (SELECT count(*) FROM p WHERE p.sample = l.sample))) AS k FROM lib l),"
+    " u AS (SELECT sample, quantile_cont(share, 0.75) AS q FROM (SELECT sample, share FROM p UNION ALL SELECT sample, 0.0 FROM z) GROUP BY 1), r AS (SELECT sample FROM u ORDER BY round(abs(q - (SELECT avg(q) FROM u)), 15), sample LIMIT 1),"
+    " s AS (SELECT gene, sample, value, lib FROM expr JOIN lib USING (sample) WHERE value > 0), ref AS (SELECT gene, value AS rv, lib AS rl FROM s WHERE sample = (SELECT sample FROM r)),"
+    " x AS (SELECT gene, sample, log2((value / lib) / (rv / rl)) AS m, (log2(value / lib) + log2(rv / rl)) / 2 AS a, (lib - value) / lib / value + (rl - rv) / rl / rv AS v FROM s JOIN ref USING (gene)),"
+    " k AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n, rank() OVER (PARTITION BY sample ORDER BY m) + (count(*) OVER (PARTITION BY sample, m) - 1) / 2.0 AS mr, rank() OVER (PARTITION BY sample ORDER BY a) + (count(*) OVER (PARTITION BY sample, a) - 1) / 2.0 AS ar FROM x),"
+    " f AS (SELECT sample, pow(2, sum(m / v) / sum(1 / v)) AS factor FROM k WHERE mr >= floor(n * 0.3) + 1 AND mr <= n - floor(n * 0.3) AND ar >= floor(n * 0.05) + 1 AND ar <= n - floor(n * 0.05) GROUP BY 1)"
+    " SELECT sample, round(factor / (SELECT exp(avg(ln(factor))) FROM f), 6) AS factor, CAST(lib AS DOUBLE) AS library FROM f JOIN lib USING (sample)"
+)
+def st8_normalisation_factors(t):
+    return r6(expression.normalisation_factors(t.expression()), "factor")
+
+
+@query()
+def st8_quasi_likelihood(t):
+    return r6(quasi_likelihood.tests(t.expression(), t.sample_groups(), "even"), "log2_fc", "log_cpm", "dispersion", "statistic", "p_value", "p_adj")
+
+
+@query()
+def st8_likelihood_ratio(t):
+    return r6(quasi_likelihood.tests(t.expression(), t.sample_groups(), "even", batch=True, quasi=False), "log2_fc", "log_cpm", "dispersion", "statistic", "p_value", "p_adj")
+
+
 _NB = ("base_mean", "dispersion", "log2_fc", "se", "statistic", "p_value", "p_adj")
 
 
