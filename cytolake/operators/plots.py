@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import need, ratio
 from ..functions.order import positions
+from .cluster import ordered_levels
 
 
 def _number(df: DataFrame, order: list, name: str, by: list[str] | None = None) -> DataFrame:
@@ -89,6 +90,18 @@ def annotated_order(df: DataFrame, item: str, *annotations: str) -> DataFrame:
     return positions(df.select(item, *annotations).distinct(), list(annotations), [F.col(item)])
 
 
+def ordered_plot(df: DataFrame, x: str, y: str, value: str, cluster_var: str | None = None, rows: bool = True, columns: bool = True, method: str = "complete") -> DataFrame:
+    """(axis, item, position): the order of the levels of ``y`` and of ``x``, by trees over each other's levels, or over those of ``cluster_var``."""
+    if not rows and not columns:
+        raise ValueError("neither rows nor columns are ordered")
+    out = None
+    for axis, own, other in (("row", y, x), ("column", x, y)):
+        if rows if axis == "row" else columns:
+            one = ordered_levels(df, own, cluster_var or other, value, method).select(F.lit(axis).alias("axis"), "item", "position")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def selected(df: DataFrame, gene: str, chosen: list) -> DataFrame:
     return df.withColumn("selected", F.col(gene).isin(*chosen))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import average_rank, star, zscore
 from ..functions.padjust import adjust
-from ..operators import cluster, count_models, expression, image, meta, plots, quasi_likelihood, reshape, spatial, stats
+from ..operators import cluster, count_models, expression, image, meta, networks, plots, quasi_likelihood, reshape, spatial, stats
 from ..session import shared_folder
 from ..sources import archive
 from .inputs import Tables, sql
@@ -483,6 +483,44 @@ def st15_network(t):
     return r6(stats.network_edges(t.counts(), level=0.5), "r", "p_value", "p_adj")
 
 
+def _regulators(t) -> DataFrame:
+    return t.expression().select("gene").distinct().filter(F.regexp_extract("gene", "([0-9]+)", 1).cast("int") % 10 == 0)
+
+
+@query()
+def st16_regulators(t):
+    return r6(networks.regulator_importances(t.expression(), _regulators(t), trees=10, depth=4), "weight")
+
+
+_POWER = (
+    sql("expr") + ", x AS (SELECT gene, sample, log2(value + 1) AS v FROM expr), p AS (SELECT a.gene AS a, b.gene AS b, corr(a.v, b.v) AS r FROM x a JOIN x b ON a.sample = b.sample AND a.gene <> b.gene GROUP BY 1, 2),"
+    " j AS (SELECT a, b, sign(r) * pow(abs(r), 6) AS x FROM p), k AS (SELECT a, sum(abs(x)) AS k FROM j GROUP BY 1)"
+)
+
+
+@query(
+    _POWER + ", s AS (SELECT u.a AS a, v.b AS b, sum(u.x * v.x) AS s FROM j u JOIN j v ON u.b = v.a AND u.a < v.b GROUP BY 1, 2)"
+    " SELECT a, b, round(abs(j.x + s) / (least(ka.k, kb.k) + 1 - abs(j.x)), 6) AS overlap FROM s JOIN j USING (a, b) JOIN k ka USING (a) JOIN (SELECT a AS b, k FROM k) kb USING (b)"
+)
+def st17_overlap(t):
+    logs = t.expression().select("gene", "sample", F.log2(F.col("value") + 1).alias("v"))
+    return r6(networks.topological_overlap(stats.pair_correlations(logs, "gene", "sample", "v"), 6), "overlap")
+
+
+@query(
+    sql("expr") + ", x AS (SELECT gene, sample, log2(value + 1) AS v FROM expr), p AS (SELECT a.gene AS a, b.gene AS b, corr(a.v, b.v) AS r FROM x a JOIN x b ON a.sample = b.sample AND a.gene <> b.gene GROUP BY 1, 2), k AS (SELECT power, a, sum(pow(abs(r), power)) AS k FROM p, (SELECT unnest(range(1, 11)) AS power) GROUP BY 1, 2),"
+    " e AS (SELECT power, min(k) AS lo, max(k) AS hi, avg(k) AS av, count(*) AS n FROM k GROUP BY 1), h AS (SELECT power, least(9, greatest(0, ceil((k - lo) / (hi - lo) * 10) - 1)) AS bin, count(*) AS c, avg(k) AS k, any_value(n) AS n, any_value(av) AS av FROM k JOIN e USING (power) GROUP BY 1, 2)"
+    " SELECT CAST(power AS INTEGER) AS power, round(-sign(regr_slope(log10(c / n), log10(k))) * regr_r2(log10(c / n), log10(k)), 6) AS fit, round(regr_slope(log10(c / n), log10(k)), 6) AS slope, round(any_value(av), 6) AS mean_connectivity FROM h GROUP BY 1"
+)
+def st17_powers(t):
+    return r6(networks.power_table(t.expression()), "fit", "slope", "mean_connectivity")
+
+
+@query()
+def st17_modules(t):
+    return networks.modules(t.expression(), power=2, least=15)
+
+
 @query(
     sql("coef") + ", k AS (SELECT *, row_number() OVER (ORDER BY pvalue, model) AS i, count(*) OVER () AS n FROM coef WHERE term_pos >= 4), j AS (SELECT *, least(1.0, min(pvalue * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM k),"
     " m AS (SELECT model, row_number() OVER (ORDER BY max(exp(estimate)) DESC, model) AS model_order FROM j GROUP BY 1)"
@@ -675,6 +713,17 @@ def hc2_hierarchical(t):
     return cluster.hierarchical(cluster.similarity(t.vectors()), 3)
 
 
+@query()
+def so5_branch_order(t):
+    return cluster.hierarchical(cluster.similarity(t.expression(), "gene", "sample", "value", "pearson"), 4, "weights")
+
+
+@query()
+def pt5_ordered_plot(t):
+    rows = t["lineitem"].join(t["part"].select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return plots.ordered_plot(rows, "p_type", "p_brand", "l_extendedprice")
+
+
 @query("WITH c AS (SELECT vec_id, label AS cluster, CASE WHEN label IN (2, 5) THEN 2 WHEN label IN (7, 1) THEN 7 ELSE label END AS g FROM embeddings) SELECT vec_id, cluster, CAST(dense_rank() OVER (ORDER BY g) AS INTEGER) AS combined FROM c")
 def hc6_combine_clusters(t):
     return cluster.combine_clusters(t["embeddings"].select("vec_id", F.col("label").alias("cluster")), [[2, 5], [7, 1]]).select("vec_id", "cluster", F.col("combined").cast("int").alias("combined"))
