@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import need, ratio, zscore
 from ..functions.order import quantiles
+from ..functions.products import pair_sums
 
 
 def keep_genes(counts: DataFrame, genes: DataFrame, gene: str = "gene") -> DataFrame:
@@ -120,22 +123,25 @@ def normalisation_factors(counts: DataFrame, reference: str | None = None) -> Da
 
 
 def sample_pca(counts: DataFrame, k: int = 2) -> DataFrame:
-    """Loadings of each sample on the first ``k`` components of the genes x samples matrix, and the components' shares of variance.
+    """(sample, component, loading, proportion) on the first ``k`` components of the genes x samples matrix.
 
     log(x + 1), each sample scaled; genes that a sample lacks are 0. The sign of a component is such that its largest
-    loading is positive. Only the samples' products reach the driver, as Spark's own PCA has it.
+    loading is positive. Products of samples come by blocks; one task holds a number for each pair of samples.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    scaled = counts.select("gene", "sample", zscore(F.log1p("value"), ["sample"]).alias("_z"))
-    names = sorted(r["sample"] for r in counts.select("sample").distinct().collect())  # a name for each sample
-    empty = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("_m", n), F.lit(0.0)))
-    rows = scaled.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.coalesce("_z", F.lit(0.0))))).alias("_m")).select(array_to_vector(empty).alias("_v"))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows)
-    axes, shares = model.pc.toArray(), model.explainedVariance.toArray()
-    out = []
-    for c in range(k):
-        own = axes[:, c] * (1 if axes[abs(axes[:, c]).argmax(), c] > 0 else -1)
-        out += [(n, c + 1, float(x), float(shares[c])) for n, x in zip(names, own, strict=True)]
-    return counts.sparkSession.createDataFrame(out, "sample string, component int, loading double, proportion double")
+    scaled = counts.select(F.col("sample").cast("string").alias("sample"), "gene", F.coalesce(zscore(F.log1p("value"), ["sample"]), F.lit(0.0)).alias("_z"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        place = {x: i for i, x in enumerate(names)}
+        whole = np.zeros((len(names), len(names)))
+        i, j = pdf["a"].map(place), pdf["b"].map(place)
+        whole[i, j] = whole[j, i] = pdf["xy"]
+        values, axes = np.linalg.eigh(whole)
+        out = []
+        for c in range(1, min(k, len(names)) + 1):
+            axis = axes[:, -c] * (1 if axes[np.abs(axes[:, -c]).argmax(), -c] > 0 else -1)
+            out += [(n, c, float(x), float(values[-c] / values.sum()) if values.sum() > 0 else None) for n, x in zip(names, axis, strict=True)]
+        return pd.DataFrame(out, columns=["sample", "component", "loading", "proportion"])
+
+    sums = pair_sums(scaled, "sample", "gene", "_z").select("a", "b", "xy", F.lit(0).alias("_all"))
+    return sums.groupBy("_all").applyInPandas(lambda pdf: run(pdf), "sample string, component int, loading double, proportion double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import average_rank, star, zscore
 from ..functions.padjust import adjust
-from ..operators import cluster, count_models, expression, image, meta, networks, plots, quasi_likelihood, reshape, spatial, stats
+from ..operators import cluster, count_models, expression, image, meta, neighbours, networks, plots, quasi_likelihood, reshape, spatial, stats
 from ..session import shared_folder
 from ..sources import archive
 from .inputs import Tables, sql
@@ -724,6 +724,30 @@ def pt5_ordered_plot(t):
     return plots.ordered_plot(rows, "p_type", "p_brand", "l_extendedprice")
 
 
+_PAIRS = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), d AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS l, b.label AS m, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
+
+
+@query(_PAIRS + ", r AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM d) SELECT i AS vec_id, CAST(k AS INTEGER) AS rank, j AS neighbour, round(d, 6) AS distance FROM r WHERE k <= 10")
+def hc9_nearest_neighbours(t):
+    return r6(neighbours.nearest_neighbours(t["embeddings"], "vec_id", "embedding", 10), "distance")
+
+
+@query(
+    _PAIRS + ", n AS (SELECT label, count(*) AS n FROM e GROUP BY 1), g AS (SELECT i, l, m, sum(d) / CASE WHEN l = m THEN any_value(n) - 1 ELSE any_value(n) END AS v FROM d JOIN n ON n.label = m GROUP BY 1, 2, 3),"
+    " s AS (SELECT i, l, max(v) FILTER (WHERE l = m) AS a, min(v) FILTER (WHERE l <> m) AS b, arg_min(m, v) FILTER (WHERE l <> m) AS c FROM g GROUP BY 1, 2) SELECT i AS vec_id, l AS cluster, c AS neighbour, round((b - a) / greatest(a, b), 6) AS width FROM s"
+)
+def hc4_silhouettes(t):
+    return r6(neighbours.silhouettes(t["embeddings"].withColumnRenamed("label", "cluster"), "vec_id", "embedding"), "width")
+
+
+@query(
+    _PAIRS + ", n AS (SELECT label, count(*) AS n FROM e GROUP BY 1), g AS (SELECT i, l, m, sum(d) / CASE WHEN l = m THEN any_value(n) - 1 ELSE any_value(n) END AS v FROM d JOIN n ON n.label = m GROUP BY 1, 2, 3), s AS (SELECT i, max(v) FILTER (WHERE l = m) AS a, min(v) FILTER (WHERE l <> m) AS b FROM g GROUP BY 1)"
+    " SELECT round((SELECT avg((b - a) / greatest(a, b)) FROM s), 6) AS silhouette, round(min(d) FILTER (WHERE l <> m) / max(d) FILTER (WHERE l = m), 6) AS dunn FROM d"
+)
+def hc4_point_indices(t):
+    return r6(neighbours.point_indices(t["embeddings"].withColumnRenamed("label", "cluster"), "vec_id", "embedding"), "silhouette", "dunn")
+
+
 @query("WITH c AS (SELECT vec_id, label AS cluster, CASE WHEN label IN (2, 5) THEN 2 WHEN label IN (7, 1) THEN 7 ELSE label END AS g FROM embeddings) SELECT vec_id, cluster, CAST(dense_rank() OVER (ORDER BY g) AS INTEGER) AS combined FROM c")
 def hc6_combine_clusters(t):
     return cluster.combine_clusters(t["embeddings"].select("vec_id", F.col("label").alias("cluster")), [[2, 5], [7, 1]]).select("vec_id", "cluster", F.col("combined").cast("int").alias("combined"))
