@@ -1,9 +1,11 @@
 """Exact dedup with Patricia-trie owners.
 
-Texts are compared without white space. They are dealt by (length, content hash); each task inserts the full byte
-strings of its share into a compressed radix trie whose terminal nodes hold the best identifier and a count. Each scan
-task first does the same for the rows that it reads, so a hot text leaves it once. When a trie holds more bytes than
-its limit, the heaviest subtrees go to a temporary file of the task and are finished one after another.
+Texts are compared without white space. They are dealt into partitions by length, in powers of two, and by as many bits of
+their content hash as make a partition ``PART_BYTES`` of text in the mean; a partition's full byte strings go into one
+compressed radix trie, where texts share what they begin with, and whose terminal nodes hold the best identifier and a
+count. Each scan task first does the same for the rows that it reads, so a hot text leaves it once. When a trie holds
+more bytes than its limit, the heaviest subtrees go to a temporary file of the task and are finished one after another,
+through tries of their own: a lost task begins anew from its shuffled rows.
 
 Null counts as empty; all empty texts are one group. Of equal texts the row with the most code points in the original
 text stays, then the smallest doc_id (a null doc_id comes last). Repeated rows count as often as they occur. A trie holds its
@@ -14,9 +16,10 @@ text's are split by adaptive execution.
 
 from __future__ import annotations
 
+import math
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +29,9 @@ from .common import without_space
 
 #: Bytes of text that a trie holds before it spills subtrees.
 TRIE_BYTES = 64 << 20
-_OUT = "_sha binary, _len long, _hash long, _body binary, _points long, _id long, _n long"
+#: Bytes of text of a partition, in the mean, if all lengths were alike.
+PART_BYTES = 32 << 20
+_OUT = "_sha binary, _part long, _body binary, _points long, _id long, _n long"
 
 
 class PatriciaTrie:
@@ -38,6 +43,7 @@ class PatriciaTrie:
         self.limit, self.held = limit, 0
         self.weight: dict[int, int] = {}  # bytes held below each first byte
         self.files: dict[int, object] = {}
+        self.shared, self.spills = 0, 0  # bytes that insertions did not store, as the trie held them; subtrees that went to a file
 
     @staticmethod
     def better(a: list, b: list) -> list:
@@ -57,6 +63,7 @@ class PatriciaTrie:
             node = level.get(key[at])
             if node is None:
                 level[key[at]] = [key[at:], {}, terminal]
+                self.shared += at
                 self.grow(key[0], len(key) - at)
                 return
             label = node[0]
@@ -67,6 +74,7 @@ class PatriciaTrie:
                 node[0] = label[same:]
                 node, end = fork, at + same
             if end == len(key):
+                self.shared += end
                 node[2] = terminal if node[2] is None else self.better(node[2], terminal)
                 return
             level, at = node[1], end
@@ -94,6 +102,7 @@ class PatriciaTrie:
             pickle.dump(entry, file)
         self.held -= self.weight.pop(first)
         self.files[first] = file
+        self.spills += 1
 
     @staticmethod
     def _read(file) -> Iterator[tuple[bytes, list]]:
@@ -126,43 +135,50 @@ class PatriciaTrie:
             for key, _ in self._read(file):
                 head = key if head is None else head[: self.common(head, key)]
             below = PatriciaTrie(self.limit)
-            for key, terminal in self._read(file):
+            for n, (key, terminal) in enumerate(self._read(file)):
                 below.insert(key[len(head) :], terminal)
+                self.shared += len(head) if n else 0
             file.close()
             for key, terminal in below.items():
                 yield head + key, terminal
+            self.spills, self.shared = self.spills + below.spills, self.shared + below.shared
         self.files = {}
 
 
 def _emit(items, keep: bool) -> Iterator[pa.RecordBatch]:
-    cols: list[list] = [[] for _ in range(7)]
+    cols: list[list] = [[] for _ in range(6)]
     size = 0
-    names = ("_sha", "_len", "_hash", "_body", "_points", "_id", "_n")
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    names = ("_sha", "_part", "_body", "_points", "_id", "_n")
+    kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    for key, (points, ident, count, (sha, length, hash_)) in items:
-        for c, v in zip(cols, (sha, length, hash_, key if keep else None, points, ident, count), strict=True):
+    for key, (points, ident, count, (sha, part)) in items:
+        for c, v in zip(cols, (sha, part, key if keep else None, points, ident, count), strict=True):
             c.append(v)
         size += len(key)
         if size > 8 << 20 or len(cols[0]) >= 10_000:
             yield batch()
-            cols, size = [[] for _ in range(7)], 0
+            cols, size = [[] for _ in range(6)], 0
     if cols[0]:
         yield batch()
 
 
+def _entries(b: pa.RecordBatch) -> Iterator[tuple[bytes, list]]:
+    rest = [b.column(c).to_pylist() for c in ("_points", "_id", "_n", "_sha", "_part")]
+    for key, points, ident, n, sha, part in zip(b.column("_body"), *rest, strict=True):
+        yield key.as_py(), [points, ident, n, (sha, part)]
+
+
 def _combine(limit: int):
     """Per scan task: one row for each text that the rows read so far hold; handed on whenever the trie is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(limit=1 << 62)
         for b in batches:
-            body, rest = b.column("_body"), [b.column(c).to_pylist() for c in ("_points", "_id", "_n", "_sha", "_len", "_hash")]
-            for key, points, ident, n, sha, length, hash_ in zip(body, *rest, strict=True):
-                trie.insert(key.as_py(), [points, ident, n, (sha, length, hash_)])
+            for key, terminal in _entries(b):
+                trie.insert(key, terminal)
                 if trie.held > limit:  # a batch may hold many long texts
                     yield from _emit(trie.items(), True)
                     trie = PatriciaTrie(limit=1 << 62)
@@ -171,38 +187,41 @@ def _combine(limit: int):
     return run
 
 
-def _own(limit: int):
-    """Per reduce task, whose rows come sorted by (length, hash): one trie for each such bucket."""
+def _own(limit: int, tell: Callable[[PatriciaTrie], None] = lambda _: None):
+    """Per reduce task, whose rows come sorted by partition: one trie for each. ``tell`` is given every trie that is done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def entries():
-            trie, bucket = PatriciaTrie(limit), None
+        def owners():
+            trie, part = PatriciaTrie(limit), None
             for b in batches:
-                body, rest = b.column("_body"), [b.column(c).to_pylist() for c in ("_points", "_id", "_n", "_sha", "_len", "_hash")]
-                for key, points, ident, n, sha, length, hash_ in zip(body, *rest, strict=True):
-                    if (length, hash_) != bucket:
+                for key, terminal in _entries(b):
+                    if terminal[3][1] != part:
                         yield from trie.items()
-                        trie, bucket = PatriciaTrie(limit), (length, hash_)
-                    trie.insert(key.as_py(), [points, ident, n, (sha, length, hash_)])
+                        tell(trie)
+                        trie, part = PatriciaTrie(limit), terminal[3][1]
+                    trie.insert(key, terminal)
             yield from trie.items()
+            tell(trie)
 
-        yield from _emit(entries(), False)
+        yield from _emit(owners(), False)
 
     return run
 
 
-def exact_dedup(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, limit: int = TRIE_BYTES, part_bytes: int = PART_BYTES, tell: Callable[[PatriciaTrie], None] = lambda _: None) -> DataFrame:
     """One row per document: keep_id, group_size, kept, and the SHA-256 of the text without white space."""
     text = F.coalesce(F.col("text"), F.lit(""))
     body = without_space(text)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, size / part_bytes))))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.length(text).cast("long").alias("_points"), body.alias("_text"))
     rows = rows.select("_id", "_points", F.encode("_text", "UTF-8").alias("_body"))
     light = rows.select("_id", "_points", F.unhex(F.sha2("_body", 256)).alias("_sha"))
-    full = rows.select(
-        F.unhex(F.sha2("_body", 256)).alias("_sha"), F.octet_length("_body").cast("long").alias("_len"), F.xxhash64("_body").alias("_hash"), "_body", "_points", "_id", F.lit(1).cast("long").alias("_n")
-    )
+    length = F.length(F.bin(F.octet_length("_body").cast("long"))).cast("long")
+    part = length * (1 << bits) + (F.shiftrightunsigned(F.xxhash64("_body"), 64 - bits) if bits else F.lit(0))
+    full = rows.select(F.unhex(F.sha2("_body", 256)).alias("_sha"), part.cast("long").alias("_part"), "_body", "_points", "_id", F.lit(1).cast("long").alias("_n"))
     combined = full.mapInArrow(_combine(limit), _OUT)
-    owned = combined.repartition("_len", "_hash").sortWithinPartitions("_len", "_hash").mapInArrow(_own(limit), _OUT)
+    owned = combined.repartition("_part").sortWithinPartitions("_part").mapInArrow(_own(limit, tell), _OUT)
     owners = owned.select("_sha", F.col("_id").alias("keep_id"), F.col("_n").alias("group_size"))
     return light.join(owners, "_sha").select(
         F.col("_id").alias("doc_id"), "keep_id", "group_size", F.coalesce(F.col("_id") == F.col("keep_id"), F.col("_id").isNull() & F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256")

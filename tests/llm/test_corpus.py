@@ -117,6 +117,45 @@ def test_exact_dedup(spark, corpus):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_owners_share_prefixes_and_spill(spark):
+    from cytolake.llm.exact_dedup import exact_dedup
+
+    rng = random.Random(9)
+    heads = [" ".join(prose(rng, 12)) for _ in range(6)]
+    rows = [(i, heads[i % 6] + " " + " ".join(prose(random.Random(i // 2), 6))) for i in range(240)]  # texts in pairs, or more that meet by chance
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"\s", "", t)].append(i)
+    sc = spark.sparkContext
+    for limit, part in ((64 << 20, 32 << 20), (300, 32 << 20), (300, 4000)):
+        tries, shared, spills = (sc.accumulator(0) for _ in range(3))
+
+        def tell(trie, tries=tries, shared=shared, spills=spills):
+            tries.add(1)
+            shared.add(trie.shared)
+            spills.add(trie.spills)
+
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(frame(spark, rows), limit, part, tell).collect()}
+        assert all(got[i] == (min(own, key=lambda x: (-len(rows[x][1]), x)), len(own)) for own in groups.values() for i in own)
+        assert shared.value > (30 if part > 4000 else 10) * len(groups), (shared.value, len(groups))  # what texts begin with stands once in a trie
+        assert (spills.value > 0) == (limit == 300) and tries.value < len(groups)
+
+
+def test_encoding_with_two_models_in_one_session(spark, monkeypatch):
+    from cytolake.llm import sp_lattice as s
+
+    docs = spark.createDataFrame([(1, "hello world, hello")], "doc_id long, text string").coalesce(1)
+    whole = s.load()
+    few = [("", float(len(whole)), -1) if "ello" in p or "orld" in p else (p, r, b) for p, r, b in whole]
+    ids = lambda: [tuple(r.ids) for r in s.encode(docs).orderBy("sample").collect()]
+    first = ids()
+    monkeypatch.setattr(s, "load", lambda *_: few)
+    second = ids()
+    assert first != second and all(few[i] == whole[i] for x in second for i in x)  # with the first one's cache, pieces would be used that are gone
+    monkeypatch.undo()
+    assert ids() == first
+
+
 def test_trie_spills_and_forks():
     from cytolake.llm.exact_dedup import PatriciaTrie
 
