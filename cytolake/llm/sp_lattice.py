@@ -17,6 +17,8 @@ one segmentation, the empty one. Literal U+2581 is encoded by bytes, so decoding
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 from math import exp, log
 
@@ -543,14 +545,17 @@ def _same(lattices: Lattices, piece: np.ndarray, size: np.ndarray, rows: np.ndar
     return ok
 
 
-_state: dict[float, Lattices] = {}
+_state: dict[tuple[str, float], Lattices] = {}
 
 
-def _encode(vocabulary, k: int, theta: float, seed: int):
+def _encode(vocabulary, name: str, k: int, theta: float, seed: int):
+    """``name`` is a digest of the vocabulary: Python workers outlive a job and may meet another model next."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if theta not in _state:
-            _state[theta] = Lattices(vocabulary.value, theta)
-        lattices = _state[theta]
+        if (name, theta) not in _state:
+            _state.clear()  # one at a time
+            _state[name, theta] = Lattices(vocabulary.value, theta)
+        lattices = _state[name, theta]
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text").fill_null("").to_pylist()
             key = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -591,10 +596,12 @@ def encode(docs: DataFrame, model: str = MODEL, k: int = K, theta: float = THETA
     With ``copies``, rows that repeat a doc_id and text are numbered, and each number has samples of its own; without,
     they get the same samples.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load(model))  # as many pieces as the model has
+    pieces = load(model)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)  # as many pieces as the model has
+    name = hashlib.sha256(pickle.dumps(pieces)).hexdigest()
     number = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))) - 1 if copies else F.lit(0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", number.cast("long").alias("copy"))
-    return rows.mapInArrow(_encode(vocabulary, k, theta, seed), _OUT)
+    return rows.mapInArrow(_encode(vocabulary, name, k, theta, seed), _OUT)
 
 
 def decoded(encoded: DataFrame, model: str = MODEL) -> DataFrame:
