@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import need, ratio
 from ..session import spent, written
 
-#: Cells are as many as the root of the points, within these; points and queries of a task.
-CELLS, BLOCK = 2048, 2048
+#: Cells are as many as the root of the points, within these; points and queries of a task, and queries of it at once.
+CELLS, BLOCK, SLICE = 2048, 8192, 512
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -44,78 +44,98 @@ def _nearest(k: int):
 
     def run(points: pa.Table, queries: pa.Table) -> pa.Table:
         key_type = points.schema.field("ids").type.value_type if points.num_rows else pa.int64()
-        out = {"key": [], "id": [], "distance": []}
+        key, names, distance = [], [], []
         if points.num_rows and queries.num_rows:
-            p, q = _matrix(points.column("v")), _matrix(queries.column("w"))
+            p, asked = _matrix(points.column("v")), _matrix(queries.column("w"))
             ids = points.column("ids").combine_chunks()
             first, size = ids.offsets.to_numpy()[:-1], np.diff(ids.offsets.to_numpy())
-            flat = ids.values
-            bound = queries.column("bound").to_numpy()
-            d = _apart(q, p)
-            slack = 1e-6 * (1 + np.abs(d).max(initial=0))  # products lose digits: near misses are measured anew
-            need_ = min(k, p.shape[0])
-            reach = np.minimum(np.partition(d, need_ - 1, axis=1)[:, need_ - 1] if p.shape[0] >= k else np.inf, bound) + slack
-            row, at = np.nonzero(d <= np.broadcast_to(reach, (len(q),))[:, None])
-            exact = np.sqrt(((q[row] - p[at]) ** 2).sum(axis=1))
-            often = size[at]
-            pick = np.repeat(first[at] - np.concatenate([[0], np.cumsum(often)[:-1]]), often) + np.arange(often.sum())
-            row, exact = np.repeat(row, often), np.repeat(exact, often)
-            names = flat.take(pa.array(pick))
-            order = np.lexsort((np.unique(np.array(names.to_pylist(), dtype=object if pa.types.is_string(key_type) else None), return_inverse=True)[1], exact, row))
-            ranked = row[order]
-            rank = np.arange(len(ranked)) - np.searchsorted(ranked, ranked)
-            kept = order[rank < k]
-            out = {"key": queries.column("key").combine_chunks().take(pa.array(row[kept])), "id": names.take(pa.array(kept)), "distance": exact[kept]}
-        return pa.table({"key": pa.array(out["key"], pa.int64()) if isinstance(out["key"], list) else out["key"], "id": pa.array(out["id"], key_type) if isinstance(out["id"], list) else out["id"], "distance": pa.array(out["distance"], pa.float64())})
+            bound, keys = queries.column("bound").to_numpy(), queries.column("key").combine_chunks()
+            for x in range(0, len(asked), SLICE):
+                q = asked[x : x + SLICE]
+                d = _apart(q, p)
+                slack = 1e-6 * (1 + np.abs(d).max(initial=0))  # products lose digits: near misses are measured anew
+                reach = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1] if len(p) >= k else np.inf, bound[x : x + SLICE]) + slack
+                row, at = np.nonzero(d <= np.broadcast_to(reach, (len(q),))[:, None])
+                exact, often = np.sqrt(((q[row] - p[at]) ** 2).sum(axis=1)), size[at]
+                pick = np.repeat(first[at] - np.cumsum(often) + often, often) + np.arange(often.sum())
+                row, exact, own = np.repeat(row, often), np.repeat(exact, often), ids.values.take(pa.array(pick))
+                text = pa.types.is_string(key_type)
+                order = np.lexsort((np.unique(np.array(own.to_pylist(), dtype=object), return_inverse=True)[1] if text else own.to_numpy(), exact, row))
+                ranked = row[order]
+                kept = order[np.arange(len(ranked)) - np.searchsorted(ranked, ranked) < k]
+                key.append(keys.take(pa.array(row[kept] + x)))
+                names.append(own.take(pa.array(kept)))
+                distance.append(exact[kept])
+        return pa.table({"key": pa.chunked_array(key, pa.int64()), "id": pa.chunked_array(names, key_type), "distance": np.concatenate([np.zeros(0), *distance])})
 
     return run
 
 
 def _visits(shared):
-    """The cells other than its own that a query must visit: those that a bound from pivots, radii or bisectors leaves open."""
+    """The blocks other than its own that a query must visit: those with a cell that pivots, radii and bisectors leave open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, inner, outer, between = shared.value
+        pivots, inner, outer, between, block = shared.value
+        member = np.zeros((len(block), block.max() + 1), np.float32)
+        member[np.arange(len(block)), block] = 1
         for b in batches:
-            d, own, bound = _apart(_matrix(b.column("v")), pivots), b.column("cell").to_numpy(), b.column("bound").to_numpy()
-            mine = d[np.arange(len(d)), own]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d * d - (mine * mine)[:, None]) / (2 * between[own])
-            low = np.maximum(np.maximum(d - outer, inner - d), np.where(np.isfinite(plane), plane, 0.0))
-            open_ = low <= bound[:, None] + 1e-6 * (1 + np.abs(d).max(initial=0))
-            open_[:, np.isinf(outer) | (outer < 0)] = False
-            open_[np.arange(len(d)), own] = False
-            row, cell = np.nonzero(open_)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), b.column("v").take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(bound[row])], names=["key", "v", "cell", "bound"])
+            for x in range(0, b.num_rows, SLICE):
+                part = b.slice(x, SLICE)
+                d, own, bound = _apart(_matrix(part.column("v")), pivots), part.column("cell").to_numpy(), part.column("bound").to_numpy()
+                mine = d[np.arange(len(d)), own]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = (d * d - (mine * mine)[:, None]) / (2 * between[own])
+                low = np.maximum(np.maximum(d - outer, inner - d), np.where(np.isfinite(plane), plane, 0.0))
+                open_ = (low <= bound[:, None] + 1e-6 * (1 + np.abs(d).max(initial=0))) & (outer >= 0)
+                visited = open_.astype(np.float32) @ member > 0
+                visited[np.arange(len(d)), block[own]] = False
+                row, at = np.nonzero(visited)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(bound[row])], names=["key", "v", "block", "bound"])
 
     return run
 
 
+def _blocks(pivots: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """A block for each cell, ``most`` points at most unless one cell has more: halves by points along the widest dimension."""
+    out, todo, n = np.zeros(len(pivots), np.int64), [np.arange(len(pivots))], 0
+    while todo:
+        own = todo.pop()
+        if len(own) == 1 or sizes[own].sum() <= most:
+            out[own], n = n, n + 1
+            continue
+        wide = np.ptp(pivots[own], axis=0).argmax()
+        own = own[np.argsort(pivots[own, wide], kind="stable")]
+        at = int(np.clip(np.searchsorted(np.cumsum(sizes[own]), sizes[own].sum() / 2) + 1, 1, len(own) - 1))
+        todo += [own[:at], own[at:]]
+    return out
+
+
 def _met(points: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
-    """Queries meet the points of their cells in tasks of ``BLOCK`` points and ``BLOCK`` queries at most, in expectation."""
-    parts = lambda df, key: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(key))
-    sizes = parts(points, "_np").join(parts(queries, "_nq"), "cell")  # a row for each cell
-    sizes = written(sizes, "cells")
-    own = points.join(F.broadcast(sizes), "cell").withColumn("_p", F.pmod(F.xxhash64("key"), F.col("_np")).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
-    asked = queries.join(F.broadcast(sizes), "cell").withColumn("_q", F.pmod(F.xxhash64("key", F.lit(1)), F.col("_nq")).cast("int")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_np") - 1)))
-    left, right = own.select("cell", "_p", "_q", "v", "ids"), asked.select("cell", "_p", "_q", "key", "v", "bound")
-    right = right.toDF("_cell", "_p2", "_q2", "key", "w", "bound")  # points may be asking themselves
-    return left.groupBy("cell", "_p", "_q").cogroup(right.groupBy("_cell", "_p2", "_q2")).applyInArrow(_nearest(k), f"key long, id {kind}, distance double")
+    """Queries meet the points of their blocks in tasks of about ``BLOCK`` points and ``BLOCK`` queries."""
+    parts = lambda df, key: df.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(key))
+    sizes = written(parts(points, "_np").join(parts(queries, "_nq"), "block"), "blocks")  # a row for each block
+    own = points.join(F.broadcast(sizes), "block").withColumn("_p", F.pmod(F.xxhash64("key"), F.col("_np")).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+    asked = queries.join(F.broadcast(sizes), "block").withColumn("_q", F.pmod(F.xxhash64("key", F.lit(1)), F.col("_nq")).cast("int")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_np") - 1)))
+    left, right = own.select("block", "_p", "_q", "v", "ids"), asked.select("block", "_p", "_q", "key", "v", "bound")
+    right = right.toDF("_block", "_p2", "_q2", "key", "w", "bound")  # points may be asking themselves
+    return left.groupBy("block", "_p", "_q").cogroup(right.groupBy("_block", "_p2", "_q2")).applyInArrow(_nearest(k), f"key long, id {kind}, distance double")
 
 
 def nearest_neighbours(points: DataFrame, item: str, vector: str, k: int = 10) -> DataFrame:
     """(item, rank, neighbour, distance): the ``k`` nearest other items of every item, by Euclidean distance, then by item.
 
     Exact. A hashed sample of points, the root of their number and ``CELLS`` at most, are pivots; every point goes to its
-    nearest pivot's cell. Queries first meet their own cell, which bounds how far their neighbours are, then those other
-    cells that the triangle inequality leaves open: by the cell's inner and outer radius, and by the bisector between the
-    two pivots. Equal vectors are one point, with its first ``k`` + 1 items, so copies never meet each other. How many
-    cells are left open depends on the data: where distances hardly differ, as in noise of many dimensions, it is most.
+    nearest pivot's cell, and neighbouring cells make up blocks of ``BLOCK`` points. Queries first meet their own block,
+    which bounds how far their neighbours are, then the blocks of cells that the triangle inequality leaves open: by the
+    cell's inner and outer radius, and by the bisector between the two pivots. Equal vectors are one point, with its first
+    ``k`` + 1 items, so copies never meet each other. How many cells are left open depends on the data: where distances
+    hardly differ, as in noise of many dimensions, it is most, and the work grows with the square of the points.
     """
     need(points, item, vector)
     spark = points.sparkSession
-    kind = dict(points.dtypes)[item]
-    rows = points.select(F.col(item).alias("_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).dropna(subset=["_id", "v"])
+    kind, number = dict(points.dtypes)[item], dict(points.dtypes)[vector]
+    number = number if number in ("array<float>", "array<double>") else "array<double>"
+    rows = points.select(F.col(item).alias("_id"), F.col(vector).cast(number).alias("v")).dropna(subset=["_id", "v"])
     keyed = written(rows.withColumn("key", F.xxhash64("v")), "points")
     # the k + 1 smallest items of each vector: within tasks first, however often it stands
     first = keyed.groupBy("key", "v").agg(F.min("_id").alias("_min"), F.count(F.lit(1)).alias("_n"))
@@ -129,71 +149,96 @@ def nearest_neighbours(points: DataFrame, item: str, vector: str, k: int = 10) -
     if not pivots:
         return points.select(F.col(item), F.lit(1).alias("rank"), F.col(item).alias("neighbour"), F.lit(0.0).alias("distance")).filter(F.lit(False))
     centres = np.array(pivots, float)
-    placed = written(distinct.mapInArrow(_placed(spark.sparkContext.broadcast(centres)), f"key long, v array<double>, ids array<{kind}>, cell int, d double"), "placed")
-    radii = {r["cell"]: r for r in placed.groupBy("cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}  # a row for each pivot
-    inner = np.array([radii[c]["lo"] if c in radii else 0.0 for c in range(len(centres))])
-    outer = np.array([radii[c]["hi"] if c in radii else -1.0 for c in range(len(centres))])
-    home = placed.select("key", "v", "cell", F.lit(math.inf).alias("bound"))
+    celled = written(distinct.mapInArrow(_placed(spark.sparkContext.broadcast(centres)), f"key long, v {number}, ids array<{kind}>, cell int, d double"), "celled")
+    cells = {r["cell"]: r for r in celled.groupBy("cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}  # a row for each pivot
+    of = lambda c, name, none: cells[c][name] if c in cells else none
+    inner, outer, size = (np.array([of(c, name, none) for c in range(len(centres))]) for name, none in (("lo", 0.0), ("hi", -1.0), ("n", 0)))
+    block = _blocks(centres, size, BLOCK)
+    places = F.array(*[F.lit(int(x)) for x in block])  # CELLS at most
+    placed = written(celled.withColumn("block", F.get(places, F.col("cell"))), "placed")
+    home = placed.select("key", "v", "block", F.lit(math.inf).alias("bound"))
     near = written(_met(placed, home, k + 1, kind), "near")
-    bound = near.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.sort_array(F.collect_list("distance")).alias("_d"))  # k + 1 for each block that its cell has
+    bound = near.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.sort_array(F.collect_list("distance")).alias("_d"))  # k + 1 for each part that its block has
     bound = bound.select("key", F.when(F.col("_c") > k, F.get("_d", F.lit(k))).otherwise(math.inf).alias("bound"))
     asking = placed.select("key", "v", "cell").join(bound, "key")
-    shared = spark.sparkContext.broadcast((centres, inner, outer, _apart(centres, centres)))
-    far = _met(placed, asking.select("key", "v", "cell", "bound").mapInArrow(_visits(shared), "key long, v array<double>, cell int, bound double"), k + 1, kind)
+    shared = spark.sparkContext.broadcast((centres, inner, outer, _apart(centres, centres), block))  # CELLS squared numbers
+    far = _met(placed, written(asking.select("key", "v", "cell", "bound").mapInArrow(_visits(shared), f"key long, v {number}, block int, bound double"), "visits"), k + 1, kind)
     both = near.unionByName(far).groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k + 1).alias("_all"))  # k + 1 for each block met
     own = keyed.select("key", "_id").join(both, "key")
     others = F.slice(F.filter("_all", lambda x: x["id"] != F.col("_id")), 1, k)
     out = own.select(F.col("_id").alias(item), F.posexplode(others).alias("_r", "_x"))
     out = written(out.select(item, (F.col("_r") + 1).cast("int").alias("rank"), F.col("_x.id").alias("neighbour"), F.col("_x.distance").alias("distance")), "neighbours")
-    spent(keyed, distinct, placed, near)
+    spent(keyed, distinct, celled, placed, near)
     return out
 
 
-def _compared(table: pa.Table) -> pa.Table:
-    """Two blocks' points: each one's sum of distances to every cluster, and the extreme distance of every pair of clusters."""
-    block, cluster = table.column("_b").to_numpy(), table.column("cluster").combine_chunks().dictionary_encode()
-    i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
-    names, code = cluster.dictionary, cluster.indices.to_numpy()
-    x = _matrix(table.column("v"))
-    p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    d = _apart(x[p], x[q])
-    if i == j:
-        np.fill_diagonal(d, 0.0)
-    k = len(names)
-    one = np.zeros((len(q), k))
-    one[np.arange(len(q)), code[q]] = 1
-    two = np.zeros((len(p), k))
-    two[np.arange(len(p)), code[p]] = 1
-    sums = [(p, d @ one)] + ([(q, d.T @ two)] if i != j else [])
-    item = table.column("item").combine_chunks()
-    out = {"item": [], "own": [], "cluster": [], "total": [], "low": [], "high": []}
-    for rows, s in sums:
-        r, c = np.nonzero(np.ones_like(s))
-        out["item"].append(item.take(pa.array(rows[r])))
-        out["own"].append(names.take(pa.array(code[rows[r]])))
-        out["cluster"].append(names.take(pa.array(c)))
-        out["total"].append(s[r, c])
-        side = d if rows is p else d.T
-        other = code[q] if rows is p else code[p]
-        low, high = np.full(s.shape, np.inf), np.full(s.shape, -np.inf)
-        for m in np.unique(other):
-            low[:, m], high[:, m] = side[:, other == m].min(axis=1), side[:, other == m].max(axis=1)
-        out["low"].append(low[r, c])
-        out["high"].append(high[r, c])
-    return pa.table({n: pa.chunked_array(v) if n in ("item", "own", "cluster") else np.concatenate(v) for n, v in out.items()})
-
-
-def _distances(points: DataFrame, item: str, vector: str, label: str) -> DataFrame:
-    """(item, own, cluster, total, low, high): each point's sum and extremes of distances to each cluster. Blocks of points meet in tasks of their own."""
+def _compared(n_clusters: int):
+    """Two blocks' points: each one's sum of distances to every cluster, and the least and the largest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, code = table.column("_b").to_numpy(), table.column("code").to_numpy()
+        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+        x = _matrix(table.column("v"))
+        total, low, high = np.zeros((len(x), n_clusters)), np.full((len(x), n_clusters), np.inf), np.full((len(x), n_clusters), -np.inf)
+        sides = [(i, j)] if i == j else [(i, j), (j, i)]
+        for p, q in sides:
+            mine, other = np.flatnonzero(block == p), np.flatnonzero(block == q)
+            other = other[np.argsort(code[other], kind="stable")]
+            there, starts = np.unique(code[other], return_index=True)
+            for a in range(0, len(mine), SLICE):
+                own = mine[a : a + SLICE]
+                d = _apart(x[own], x[other])
+                if p == q:
+                    d[own[:, None] == other] = 0.0
+                if len(other):
+                    total[own[:, None], there] = np.add.reduceat(d, starts, axis=1)
+                    low[own[:, None], there] = np.minimum.reduceat(d, starts, axis=1)
+                    high[own[:, None], there] = np.maximum.reduceat(d, starts, axis=1)
+        lists = lambda v: pa.array(list(v), pa.list_(pa.float64()))
+        return pa.table({"item": table.column("item"), "code": table.column("code"), "part": table.column("_part"), "total": lists(total), "low": lists(low), "high": lists(high)})
+
+    return run
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """A part's items, each from all blocks that it met."""
+    item, code = table.column("item").combine_chunks().dictionary_encode(), table.column("code").to_numpy()
+    at, n = item.indices.to_numpy(), len(item.dictionary)
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(n))
+    lists = lambda c, f: pa.array(list(f.reduceat(_matrix(table.column(c))[order], starts, axis=0)), pa.list_(pa.float64()))
+    return pa.table({"item": item.dictionary, "code": pa.array(code[order][starts]), "total": lists("total", np.add), "low": lists("low", np.minimum), "high": lists("high", np.maximum)})
+
+
+def _distances(points: DataFrame, item: str, vector: str, label: str) -> tuple[DataFrame, list, list[int]]:
+    """(item, code, total, low, high): each point's sums and extremes of distances to the clusters; and these, with their sizes.
+
+    Blocks of points meet in tasks of their own; a row for each cluster reaches the driver.
+    """
     need(points, item, vector, label)
     rows = points.select(F.col(item).alias("item"), F.col(label).alias("cluster"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).dropna()
-    n_blocks = max(1, math.ceil(rows.count() / BLOCK))
-    own = rows.withColumn("_b", F.pmod(F.xxhash64("item"), F.lit(n_blocks)).cast("int"))
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy("cluster").collect()
+    names, many = [r["cluster"] for r in sizes], [r["n"] for r in sizes]
+    n_blocks = max(1, math.ceil(sum(many) / BLOCK))
+    code = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("cluster")) - 1 if names else F.lit(0)
+    own = rows.select("item", code.cast("int").alias("code"), "v", F.pmod(F.xxhash64("item"), F.lit(n_blocks)).cast("int").alias("_b"), F.pmod(F.xxhash64("item", F.lit(1)), F.lit(n_blocks * n_blocks)).cast("int").alias("_part"))
     met = F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda o: F.struct(F.least(o, F.col("_b")).alias("_i"), F.greatest(o, F.col("_b")).alias("_j")))
-    dealt = own.withColumn("_m", F.explode(met)).select("_m._i", "_m._j", "_b", "item", "cluster", "v")
-    types = dict(rows.dtypes)
-    parts = dealt.groupBy("_i", "_j").applyInArrow(_compared, f"item {types['item']}, own {types['cluster']}, cluster {types['cluster']}, total double, low double, high double")
-    return parts.groupBy("item", "own", "cluster").agg(F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+    dealt = own.withColumn("_m", F.explode(met)).select("_m._i", "_m._j", "_b", "_part", "item", "code", "v")
+    kind, lists = dict(rows.dtypes)["item"], "total array<double>, low array<double>, high array<double>"
+    parts = dealt.groupBy("_i", "_j").applyInArrow(_compared(len(names)), f"item {kind}, code int, part int, {lists}")
+    return parts.groupBy("part").applyInArrow(_joined, f"item {kind}, code int, {lists}"), names, many
+
+
+def _widths(known: tuple[DataFrame, list, list[int]], item: str) -> DataFrame:
+    d, names, many = known
+    if len(names) < 2:
+        return d.select(F.col("item").alias(item), F.lit(None).alias("cluster"), F.lit(None).alias("neighbour"), F.lit(0.0).alias("width")).filter(F.lit(False))
+    sizes, labels = F.array(*[F.lit(n).cast("double") for n in many]), F.array(*[F.lit(x) for x in names])
+    own = F.col("code")
+    means = F.transform("total", lambda t, c: F.struct((t / F.get(sizes, c)).alias("b"), c.alias("c")))
+    rows = d.select("item", "code", ratio(F.get("total", own), F.get(sizes, own) - 1).alias("_a"), F.array_min(F.filter(means, lambda x: x["c"] != own)).alias("_o"))
+    width = F.when(F.get(sizes, own) == 1, 0.0).otherwise(F.coalesce(ratio(F.col("_o.b") - F.col("_a"), F.greatest("_o.b", "_a")), F.lit(0.0)))
+    return rows.select(F.col("item").alias(item), F.get(labels, own).alias("cluster"), F.get(labels, F.col("_o.c")).alias("neighbour"), width.alias("width"))
 
 
 def silhouettes(points: DataFrame, item: str, vector: str, label: str = "cluster") -> DataFrame:
@@ -201,24 +246,14 @@ def silhouettes(points: DataFrame, item: str, vector: str, label: str = "cluster
 
     Alone in its cluster a point has width 0; with one cluster there is no row. All pairs of points are compared, by blocks.
     """
-    return _widths(points, _distances(points, item, vector, label), item, vector, label)
-
-
-def _widths(points: DataFrame, d: DataFrame, item: str, vector: str, label: str) -> DataFrame:
-    sizes = points.dropna(subset=[item, vector, label]).groupBy(F.col(label).alias("cluster")).agg(F.count(F.lit(1)).alias("_n"))
-    rows = d.join(F.broadcast(sizes), "cluster")  # a row for each cluster
-    own = F.col("cluster") == F.col("own")
-    g = rows.groupBy("item", "own").agg(
-        F.max(F.when(own, ratio(F.col("total"), (F.col("_n") - 1).cast("double")))).alias("_a"), F.max(F.when(own, F.col("_n"))).alias("_n"),
-        F.min(F.when(~own, F.struct((F.col("total") / F.col("_n")).alias("b"), F.col("cluster").alias("c")))).alias("_o"),
-    )
-    width = F.when(F.col("_n") == 1, 0.0).otherwise(F.coalesce(ratio(F.col("_o.b") - F.col("_a"), F.greatest("_o.b", "_a")), F.lit(0.0)))
-    return g.filter("_o IS NOT NULL").select(F.col("item").alias(item), F.col("own").alias("cluster"), F.col("_o.c").alias("neighbour"), width.alias("width"))
+    return _widths(_distances(points, item, vector, label), item)
 
 
 def point_indices(points: DataFrame, item: str, vector: str, label: str = "cluster") -> DataFrame:
     """One row: the mean silhouette width, and Dunn's index, the least distance between clusters over the largest within one."""
-    known = written(_distances(points, item, vector, label), "distances")
-    s = _widths(points, known, item, vector, label).agg(F.avg("width").alias("silhouette"))
-    d = known.agg(F.min(F.when(F.col("cluster") != F.col("own"), F.col("low"))).alias("_low"), F.max(F.when(F.col("cluster") == F.col("own"), F.col("high"))).alias("_high"))
-    return s.crossJoin(d).select("silhouette", ratio(F.col("_low"), F.col("_high")).alias("dunn"))  # one row each
+    d, names, many = _distances(points, item, vector, label)
+    known = written(d, "distances")
+    s = _widths((known, names, many), item).agg(F.avg("width").alias("silhouette"))
+    apart = F.array_min(F.filter("low", lambda x, c: (c != F.col("code")) & (x < math.inf)))
+    ends = known.agg(F.min(apart).alias("_low"), F.max(F.get("high", F.col("code"))).alias("_high"))
+    return s.crossJoin(ends).select("silhouette", ratio(F.col("_low"), F.col("_high")).alias("dunn"))  # one row each

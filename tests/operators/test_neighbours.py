@@ -15,6 +15,8 @@ def frame(spark, x, ids=None):
 @pytest.mark.parametrize("kind", ["noise", "clusters", "copies", "line"])
 def test_nearest_neighbours(spark, monkeypatch, kind):
     monkeypatch.setattr(neighbours, "BLOCK", 40)
+    seen = []
+    monkeypatch.setattr(neighbours, "_blocks", lambda *a, of=neighbours._blocks: seen.append(of(*a)) or seen[-1])
     rng = np.random.default_rng(1)
     x = {
         "noise": rng.normal(size=(160, 6)), "clusters": rng.normal(size=(200, 3)) * 0.1 + rng.integers(0, 5, (200, 1)) * 10, "line": np.arange(90.0)[:, None] * [[1.0]],
@@ -27,6 +29,7 @@ def test_nearest_neighbours(spark, monkeypatch, kind):
     for i, row in enumerate(x):
         want = sorted((round(float(math.dist(row, other)), 9), j) for j, other in enumerate(x) if j != i)[:k]
         assert sorted(got[i]) == [(n, d, j) for n, (d, j) in enumerate(want, 1)]
+    assert len(set(seen[0])) > 1 or kind == "copies"  # blocks met each other; copies are few points
 
 
 def test_few_points_and_names(spark):
