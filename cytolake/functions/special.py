@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -139,6 +140,92 @@ def t_two_sided(t: Column, df: Column) -> Column:
     return _arrow(run, t, df)
 
 
+@functools.cache
+def rank_sum_counts(n1: int, n2: int) -> np.ndarray:
+    """Cumulative shares of W = 0, 1, ..., n1 n2 over all ways to deal ranks to two groups: sums of n1 of the ranks 1..n1 + n2, a rank at a time."""
+    most = n1 * n2
+    ways = np.zeros((n1 + 1, most + 1))  # of k ranks whose excess over 1..k sums to w
+    ways[0, 0] = 1
+    for rank in range(1, n1 + n2 + 1):
+        for k in range(min(rank, n1), 0, -1):
+            more = rank - k  # a rank's excess as the k-th smallest
+            if more <= most:
+                ways[k, more:] += ways[k - 1, : most + 1 - more]
+    return np.cumsum(ways[n1]) / ways[n1].sum()
+
+
+@functools.cache
+def signed_rank_counts(n: int) -> np.ndarray:
+    """Cumulative shares of V = 0, 1, ..., n (n + 1) / 2 over all signs of the ranks 1..n."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for rank in range(1, n + 1):
+        ways[rank:] += ways[:-rank].copy()
+    return np.cumsum(ways) / ways.sum()
+
+
+#: Numbers of values below which rank tests without ties are exact.
+EXACT_BELOW = 50
+
+
+def _two_sided(shares: np.ndarray, stat: float) -> float:
+    """Twice the smaller tail that holds the statistic; shares are symmetric."""
+    at = int(round(stat))
+    tail = shares[at] if at <= (len(shares) - 1) / 2 else 1 - (shares[at - 1] if at else 0.0)
+    return min(1.0, 2 * tail)
+
+
+def rank_sum_exact(w: Column, n1: Column, n2: Column) -> Column:
+    """Two-sided exact p of a rank-sum statistic without ties; null where a number is null, 0, or ``EXACT_BELOW`` and more."""
+
+    def run(w: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        ok = w.notna() & n1.between(1, EXACT_BELOW - 1) & n2.between(1, EXACT_BELOW - 1)
+        return pd.Series([_two_sided(rank_sum_counts(int(min(a, b)), int(max(a, b))), x) if k else None for k, x, a, b in zip(ok, w, n1, n2, strict=True)], dtype=float)
+
+    return _arrow(run, w, n1.cast("double"), n2.cast("double"))
+
+
+def signed_rank_exact(v: Column, n: Column) -> Column:
+    """Two-sided exact p of a signed-rank statistic without ties and zeros; null where n is null, 0, or ``EXACT_BELOW`` and more."""
+
+    def run(v: pd.Series, n: pd.Series) -> pd.Series:
+        ok = v.notna() & n.between(1, EXACT_BELOW - 1)
+        return pd.Series([_two_sided(signed_rank_counts(int(m)), x) if k else None for k, x, m in zip(ok, v, n, strict=True)], dtype=float)
+
+    return _arrow(run, v, n.cast("double"))
+
+
+def conditional_odds_ratio(n11: Column, n01: Column, n10: Column, n00: Column) -> Column:
+    """The odds ratio under which the first cell's mean, given all margins, is what was seen; 0 and infinity at the ends of its support.
+
+    The mean rises with the logarithm of the ratio, which is halved in on. The support is cut where it is beyond twelve
+    standard deviations of what was seen; a support of a single table has no ratio.
+    """
+
+    def one(a: float, b: float, c: float, d: float) -> float | None:
+        row, col, n = a + b, a + c, a + b + c + d
+        low, high = max(0.0, row + col - n), min(row, col)
+        if low == high:
+            return None
+        if a in (low, high):
+            return 0.0 if a == low else math.inf
+        reach = 12 / math.sqrt(sum(1 / (x + 0.5) for x in (a, b, c, d))) + 60
+        k = np.arange(max(low, math.floor(a - reach)), min(high, math.ceil(a + reach)) + 1)
+        log_w = -(log_gamma(k + 1) + log_gamma(row - k + 1) + log_gamma(col - k + 1) + log_gamma(n - row - col + k + 1))
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            t = log_w + k * mid
+            w = np.exp(t - t.max())
+            lo, hi = (mid, hi) if (w * k).sum() / w.sum() < a else (lo, mid)
+        return math.exp((lo + hi) / 2)
+
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(a, b, c, d, strict=True)], dtype=float)
+
+    return _arrow(run, *[x.cast("double") for x in (n11, n01, n10, n00)])
+
+
 #: The published coefficients of Acklam's rational approximation to the normal quantile.
 _QA = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 _QB = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)

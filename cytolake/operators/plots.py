@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import need, ratio
-from ..functions.order import positions
+from ..functions.order import positions, quantiles
 from .cluster import ordered_levels
 
 
@@ -38,7 +38,7 @@ def linked_layout(links: DataFrame, left: str, right: str, order: str, align: st
 
 def colour_stops(df: DataFrame, value: str, n: int = 5) -> DataFrame:
     """Minimum, n points spaced evenly from the 1st to the 99th percentile, maximum; also rescaled to [0, 1]."""
-    s = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.expr(f"percentile(`{value}`, 0.01)").alias("q1"), F.expr(f"percentile(`{value}`, 0.99)").alias("q9"))
+    s = quantiles(df, [], value, {"lo": 0.0, "q1": 0.01, "q9": 0.99, "hi": 1.0})
     inner = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.col("q1") + (F.col("q9") - F.col("q1")) * k / max(1, n - 1))
     stops = F.concat(F.array("lo"), inner, F.array("hi"))
     return s.select("lo", "hi", F.posexplode(stops).alias("stop", "value")).select(F.col("stop").cast("long").alias("stop"), "value", F.coalesce(ratio(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)).alias("scaled"))

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import average_rank, need, ratio, zscore
-from ..functions.order import running
+from ..functions.order import quantiles, running
 from ..functions.padjust import adjust
 from ..functions.products import pair_sums
-from ..functions.special import log_factorial, normal_two_sided, t_two_sided
+from ..functions.special import conditional_odds_ratio, log_factorial, normal_two_sided, rank_sum_exact, signed_rank_exact, t_two_sided
 
 
 def volcano_class(fc: Column, p: Column, fc_cut: float = 1.0, p_cut: float = 0.05) -> Column:
@@ -87,7 +87,7 @@ _TERMS = 4000
 
 
 def fisher_exact(cells: DataFrame, level: float = 0.05) -> DataFrame:
-    """Two-sided Fisher p of each 2 x 2 table: all tables no likelier than the seen one; with sample odds ratio and ``sig``.
+    """Two-sided Fisher p of each 2 x 2 table: all tables no likelier than the seen one; with conditional and sample odds ratios and ``sig``.
 
     The sum runs over the likelier tables outwards from the mode, 9 standard deviations to each side or the whole support;
     these are few thousand terms up to margins of hundred millions. Beyond, it runs in steps that keep their number, each
@@ -110,13 +110,15 @@ def fisher_exact(cells: DataFrame, level: float = 0.05) -> DataFrame:
     p = F.aggregate(places, F.lit(0.0), lambda s, k: s + F.when(log_p(k) <= seen + 1e-7, step * F.exp(log_p(k) + base)).otherwise(0.0))
     # a table farther out than the reach is as rare as itself
     p = F.when((a < first) | (a > last), F.exp(seen + base)).otherwise(p)
-    return cells.withColumn("p_value", F.least(F.lit(1.0), p)).withColumn("odds_ratio", ratio(a * d, b * c)).withColumn("sig", F.col("p_value") <= level)
+    return cells.withColumn("p_value", F.least(F.lit(1.0), p)).withColumn("odds_ratio", conditional_odds_ratio(a, b, c, d)).withColumn("sample_odds_ratio", ratio(a * d, b * c)).withColumn("sig", F.col("p_value") <= level)
 
 
 def group_matrix(df: DataFrame, group: str, variable: str, value: str, how: str = "mean") -> DataFrame:
     """Mean or median of each (group, variable), and its z-score over the groups of the variable."""
-    agg = {"mean": F.avg(value), "median": F.expr(f"percentile(`{value}`, 0.5)")}[how]
-    return df.groupBy(group, variable).agg(agg.alias("value")).withColumn("z", zscore(F.col("value"), [variable]))
+    if how not in ("mean", "median"):
+        raise ValueError(f"aggregate {how!r}")
+    cells = quantiles(df, [group, variable], value, {"value": 0.5}) if how == "median" else df.groupBy(group, variable).agg(F.avg(value).alias("value"))
+    return cells.withColumn("z", zscore(F.col("value"), [variable]))
 
 
 def group_tests(df: DataFrame, group: str, variable: str, value: str, mode: str = "ONEvsOTHER", p_values: bool = False) -> DataFrame:
@@ -163,7 +165,8 @@ def permutation_tests(df: DataFrame, group: str, variable: str, value: str, p_va
 def rank_sum_tests(df: DataFrame, group: str, variable: str, value: str, p_values: bool = False, mode: str = "ONEvsOTHER", continuity: bool = True) -> DataFrame:
     """Wilcoxon rank-sum of each group against the others of its variable, or against all (ONEvsALL: the group itself included).
 
-    W and the normal z with ties, and with continuity unless it is a permutation test's. Values are counted first; then
+    W and the normal z with ties, and with continuity unless it is a permutation test's. The p-value is exact where both
+    sides have fewer than 50 values and none ties, and it is no permutation test; else normal. Values are counted first; then
     running counts are taken in two steps over ranges of values, so that no task holds all values of a variable.
     """
     if mode not in ("ONEvsOTHER", "ONEvsALL"):
@@ -189,14 +192,24 @@ def rank_sum_tests(df: DataFrame, group: str, variable: str, value: str, p_value
     w = F.col("_rs") - n1 * (n1 + 1) / 2
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - ratio(F.col("_ties") + F.col("_more"), n * (n - 1))))
     d = w - n1 * n2 / 2
-    out = s.withColumn("w", w).withColumn("z", ratio(d - F.signum(d) * (0.5 if continuity else 0.0), sigma)).select(group, variable, n1.cast("long").alias("n"), "w", "z")
-    return out.withColumn("p_value", normal_two_sided(F.col("z"))) if p_values else out
+    out = s.withColumn("w", w).withColumn("z", ratio(d - F.signum(d) * (0.5 if continuity else 0.0), sigma)).withColumn("_n2", n2).withColumn("_tied", F.col("_ties") + F.col("_more") > 0)
+    if not p_values:
+        return out.select(group, variable, n1.cast("long").alias("n"), "w", "z")
+    p = normal_two_sided(F.col("z"))
+    if continuity and mode == "ONEvsOTHER":
+        p = F.when(F.col("_tied"), p).otherwise(F.coalesce(rank_sum_exact(F.col("w"), n1, F.col("_n2")), p))
+    return out.select(group, variable, n1.cast("long").alias("n"), "w", "z", p.alias("p_value"))
 
 
 def signed_rank_tests(df: DataFrame, group: str, variable: str, value: str, p_values: bool = False) -> DataFrame:
-    """Wilcoxon signed-rank of each group against the median of its variable: V and the normal z with ties and continuity; zero differences go."""
-    middle = df.groupBy(variable).agg(F.percentile(F.col(value).cast("double"), F.lit(0.5)).alias("_mu"))
-    rows = df.select(group, variable, F.col(value).cast("double").alias("_v")).join(middle, variable).withColumn("_d", F.col("_v") - F.col("_mu")).filter("_d <> 0")
+    """Wilcoxon signed-rank of each group against the median of its variable: V and the normal z with ties and continuity; zero differences go.
+
+    The p-value is exact for fewer than 50 values without ties and zeros, else normal.
+    """
+    middle = quantiles(df, [variable], value, {"_mu": 0.5})
+    all_ = df.select(group, variable, F.col(value).cast("double").alias("_v")).join(middle, variable).withColumn("_d", F.col("_v") - F.col("_mu"))
+    zeros = all_.filter("_d = 0").groupBy(variable, group).agg(F.count(F.lit(1)).alias("_zeros"))
+    rows = all_.filter("_d <> 0")
     counts = rows.groupBy(variable, group, F.abs("_d").alias("_a")).agg(F.count(F.lit(1)).cast("double").alias("_t"), F.count(F.when(F.col("_d") > 0, 1)).alias("_up"))
     ranked = running(counts, [variable, group], "_a", "_t", "_before")
     s = ranked.groupBy(variable, group).agg(
@@ -205,8 +218,12 @@ def signed_rank_tests(df: DataFrame, group: str, variable: str, value: str, p_va
     n = F.col("_n")
     d = F.col("v") - n * (n + 1) / 4
     z = ratio(d - F.signum(d) * 0.5, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48))
-    out = s.select(group, variable, n.cast("long").alias("n"), "v", z.alias("z"))
-    return out.withColumn("p_value", normal_two_sided(F.col("z"))) if p_values else out
+    if not p_values:
+        return s.select(group, variable, n.cast("long").alias("n"), "v", z.alias("z"))
+    s = s.join(zeros, [variable, group], "left").withColumn("z", z)
+    normal = normal_two_sided(F.col("z"))
+    p = F.when((F.col("_ties") > 0) | F.col("_zeros").isNotNull(), normal).otherwise(F.coalesce(signed_rank_exact(F.col("v"), n), normal))
+    return s.select(group, variable, n.cast("long").alias("n"), "v", "z", p.alias("p_value"))
 
 
 def average_and_share(df: DataFrame, group: str, variable: str, value: str) -> DataFrame:

@@ -351,14 +351,38 @@ def _hyper(k: str) -> str:
 
 
 @query(
-    "WITH c AS (SELECT CAST(quality AS VARCHAR) AS x, CAST(toxic AS VARCHAR) AS y, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1, 2), a AS (SELECT x, sum(n) AS nx FROM c GROUP BY 1), b AS (SELECT y, sum(n) AS ny FROM c GROUP BY 1), m AS (SELECT sum(n) AS nn FROM c),"
+    "WITH RECURSIVE c AS (SELECT CAST(quality AS VARCHAR) AS x, CAST(toxic AS VARCHAR) AS y, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1, 2), a AS (SELECT x, sum(n) AS nx FROM c GROUP BY 1), b AS (SELECT y, sum(n) AS ny FROM c GROUP BY 1), m AS (SELECT sum(n) AS nn FROM c),"
     " q AS (SELECT x, y, CAST(coalesce(n, 0) AS BIGINT) AS n11, CAST(ny - coalesce(n, 0) AS BIGINT) AS n01, CAST(nx - coalesce(n, 0) AS BIGINT) AS n10, CAST(nn - nx - ny + coalesce(n, 0) AS BIGINT) AS n00 FROM a CROSS JOIN b CROSS JOIN m LEFT JOIN c USING (x, y)),"
     " k AS (SELECT *, unnest(range(greatest(0, n11 - n00), least(n11 + n01, n11 + n10) + 1)) AS k FROM q),"
     f" p AS (SELECT x, y, n11, n01, n10, n00, sum(CASE WHEN -{_hyper('k')} <= -{_hyper('n11')} + 1e-7 THEN exp(-{_hyper('k')} + lgamma(n11 + n01 + 1) + lgamma(n10 + n00 + 1) + lgamma(n11 + n10 + 1) + lgamma(n01 + n00 + 1) - lgamma(n11 + n01 + n10 + n00 + 1)) ELSE 0 END) AS p FROM k GROUP BY ALL)"
-    " SELECT x, y, n11, n01, n10, n00, round(least(1.0, p), 6) AS p_value, round(n11 * n00 / nullif(n01 * n10, 0), 6) AS odds_ratio FROM p"
+    ", e AS (SELECT *, list_transform(range(greatest(0, n11 - n00), least(n11 + n01, n11 + n10) + 1), lambda k: CAST(k AS DOUBLE)) AS ks, n11 + n01 AS r, n11 + n10 AS c, n11 + n01 + n10 + n00 AS n FROM p),"
+    " l AS (SELECT *, list_transform(ks, lambda k: -(lgamma(k + 1) + lgamma(r - k + 1) + lgamma(c - k + 1) + lgamma(n - r - c + k + 1))) AS lw FROM e),"
+    " h AS (SELECT *, -30.0::DOUBLE AS lo, 30.0::DOUBLE AS hi, 0 AS i FROM l UNION ALL SELECT * EXCLUDE (m) REPLACE (CASE WHEN m < n11 THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN m < n11 THEN hi ELSE (lo + hi) / 2 END AS hi, i + 1 AS i) FROM"
+    " (SELECT *, list_sum(list_transform(range(len(ks)), lambda j: ks[j + 1] * exp(lw[j + 1] - list_max(lw) + (ks[j + 1] - n11) * (lo + hi) / 2))) / list_sum(list_transform(range(len(ks)), lambda j: exp(lw[j + 1] - list_max(lw) + (ks[j + 1] - n11) * (lo + hi) / 2))) AS m FROM h WHERE i < 70))"
+    " SELECT x, y, n11, n01, n10, n00, round(least(1.0, p), 6) AS p_value, round(CASE WHEN n11 = ks[1] THEN 0.0 WHEN n11 = ks[-1] THEN 'inf'::DOUBLE ELSE exp((lo + hi) / 2) END, 6) AS odds_ratio, round(n11 * n00 / nullif(n01 * n10, 0), 6) AS sample_odds_ratio FROM h WHERE i = 70"
 )
 def st5_fisher(t):
-    return r6(stats.fisher_exact(stats.contingency(t["labels"], "quality", "toxic")).drop("sig"), "p_value", "odds_ratio")
+    return r6(stats.fisher_exact(stats.contingency(t["labels"], "quality", "toxic")).drop("sig"), "p_value", "odds_ratio", "sample_odds_ratio")
+
+
+#: Suppliers' balances by nation within their region: few enough for exact tests on small tables, and without ties.
+_SMALL = (
+    "WITH RECURSIVE s AS (SELECT CAST(n_regionkey AS VARCHAR) AS variable, CAST(n_nationkey AS VARCHAR) AS grp, s_acctbal AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey), o AS (SELECT *, rank() OVER (PARTITION BY variable ORDER BY v) AS rk, count(*) OVER (PARTITION BY variable, v) AS t, count(*) OVER (PARTITION BY variable) AS n FROM s),"
+    " w AS (SELECT variable, grp, count(*) AS n1, any_value(n) - count(*) AS n2, sum(rk) - count(*) * (count(*) + 1) / 2 AS w, any_value(n) AS n FROM o GROUP BY 1, 2), big AS (SELECT max(n) AS n FROM w WHERE n1 < 50 AND n2 < 50), few AS (SELECT max(n1) AS k FROM w WHERE n1 < 50 AND n2 < 50),"
+    " d AS (SELECT 0 AS n, 0 AS k, 0 AS s, 1.0::DOUBLE AS c UNION ALL SELECT d.n + 1, k + u, s + u * (d.n + 1), sum(c) FROM d, (SELECT unnest([0, 1]) AS u) t WHERE d.n < (SELECT n FROM big) AND k + u <= (SELECT k FROM few) GROUP BY 1, 2, 3)"
+)
+
+
+@query(
+    _SMALL + ", p AS (SELECT variable, grp, n1, w, sum(c) AS whole, sum(c) FILTER (WHERE d.s - d.k * (d.k + 1) / 2 <= w) AS below, sum(c) FILTER (WHERE d.s - d.k * (d.k + 1) / 2 >= w) AS above, any_value(n2) AS n2 FROM w JOIN d ON d.n = w.n AND d.k = w.n1 WHERE n1 < 50 AND n2 < 50 GROUP BY 1, 2, 3, 4)"
+    " SELECT grp, variable, n1 AS n, CAST(w AS DOUBLE) AS w, round(least(1.0, 2 * CASE WHEN w <= n1 * n2 / 2.0 THEN below ELSE above END / whole), 6) AS p_value FROM p"
+)
+def st6_exact_rank_sum(t):
+    n = t["nation"].select("n_nationkey", "n_regionkey")
+    rows = t["supplier"].join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("string").alias("variable"), F.col("n_nationkey").cast("string").alias("grp"), "s_acctbal")  # 25 nations
+    sizes = rows.groupBy("variable").agg(F.count(F.lit(1)).alias("_all"))
+    tests = stats.rank_sum_tests(rows, "grp", "variable", "s_acctbal", p_values=True).join(sizes, "variable").filter("n < 50 AND _all - n < 50")
+    return r6(tests.select("grp", "variable", "n", "w", "p_value"), "p_value")
 
 
 @query(sql("vals") + ", g AS (SELECT grp, variable, avg(value) AS v FROM vals GROUP BY 1, 2) SELECT grp, variable, round(v, 6) AS value, round((v - avg(v) OVER w) / stddev_samp(v) OVER w, 6) AS z FROM g WINDOW w AS (PARTITION BY variable)")

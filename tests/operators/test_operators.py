@@ -151,7 +151,7 @@ def test_contingency_and_fisher(spark):
     assert cells["x", "p"] == (3, 2, 1, 3) and cells["z", "q"] == (0, 4, 1, 4) and sum(cells["x", "p"]) == 9
     tea = spark.createDataFrame([("t", "t", 3, 1, 1, 3)], "x string, y string, n11 long, n01 long, n10 long, n00 long")
     got = stats.fisher_exact(tea).first()
-    assert got.p_value == pytest.approx(0.4857142857) and got.odds_ratio == 9 and not got.sig
+    assert got.p_value == pytest.approx(0.4857142857) and got.sample_odds_ratio == 9 and got.odds_ratio == pytest.approx(6.4083, abs=1e-4) and not got.sig
 
 
 def test_group_tests(spark):
@@ -596,3 +596,37 @@ def test_ward_in_rounds_makes_the_tree(spark):
             left = [g for g in left if not g <= set(part)] + [set(part)]
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, left)) and sorted(groups) == list(range(1, k + 1))
         assert [r.cluster for r in cut] == sorted(r.cluster for r in cut)
+
+
+def test_exact_rank_tests_against_all_deals():
+    import itertools
+
+    for n1, n2 in ((1, 1), (3, 4), (5, 2)):
+        sums = [sum(c) - n1 * (n1 + 1) // 2 for c in itertools.combinations(range(1, n1 + n2 + 1), n1)]
+        assert special.rank_sum_counts(n1, n2) == pytest.approx([sum(s <= w for s in sums) / len(sums) for w in range(n1 * n2 + 1)])
+    sums = [sum(r * s for r, s in zip(range(1, 7), signs)) for signs in itertools.product((0, 1), repeat=6)]
+    assert special.signed_rank_counts(6) == pytest.approx([sum(s <= v for s in sums) / len(sums) for v in range(22)])
+    assert special.rank_sum_counts(49, 49)[-1] == pytest.approx(1.0) and special.rank_sum_counts(49, 49)[49 * 49 // 2] == pytest.approx(0.5, abs=0.01)
+
+
+def test_exact_p_values_where_nothing_ties(spark):
+    rows = [("a", 1.1), ("a", 2.2), ("a", 3.3), ("b", 4.4), ("b", 5.5), ("b", 6.6), ("b", 7.7)]
+    df = spark.createDataFrame([("v", g, x) for g, x in rows] + [("t", g, float(round(x))) for g, x in rows] + [("t", "a", 2.0)], "variable string, grp string, x double")
+    p = {(r.variable, r.grp): r for r in stats.rank_sum_tests(df, "grp", "variable", "x", p_values=True).collect()}
+    assert p["v", "a"].w == 0 and p["v", "a"].p_value == pytest.approx(2 / 35) == p["v", "b"].p_value
+    assert p["t", "a"].p_value == pytest.approx(math.erfc(abs(p["t", "a"].z) / math.sqrt(2)))  # ties: normal
+    s = {(r.variable, r.grp): r for r in stats.signed_rank_tests(df.filter("variable = 'v' AND x <> 4.4").unionByName(df.filter("variable = 'v' AND x = 4.4").replace(4.4, 4.5)), "grp", "variable", "x", p_values=True).collect()}
+    assert s["v", "a"].v == 0 and s["v", "a"].p_value == pytest.approx(2 / 8)  # -3.4, -2.3, -1.2
+    assert s["v", "b"].p_value == pytest.approx(math.erfc(abs(s["v", "b"].z) / math.sqrt(2)))  # the median itself is a zero
+
+
+def test_conditional_odds_ratio(spark):
+    tables = [(3, 1, 1, 3), (10, 2, 3, 15), (0, 5, 4, 9), (4, 0, 3, 5), (0, 0, 3, 4), (2_000_000, 1_500_000, 1_000_000, 3_000_000)]
+    df = spark.createDataFrame(tables, "a long, b long, c long, d long").coalesce(1)
+    got = [r[0] for r in df.select(special.conditional_odds_ratio(*[F.col(c) for c in "abcd"])).collect()]
+    assert got[0] == pytest.approx(6.4083, abs=1e-4)  # the published tea-tasting example
+    for (a, b, c, d), psi in zip(tables[:2], got):
+        k = np.arange(max(0, a - d), min(a + b, a + c) + 1)
+        w = np.array([math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in k.tolist()]) * psi**k
+        assert (w * k).sum() / w.sum() == pytest.approx(a, abs=1e-8)
+    assert got[2] == 0 and got[3] == math.inf and got[4] is None and got[5] == pytest.approx(2e6 * 3e6 / 1.5e6 / 1e6, rel=1e-5)
