@@ -191,20 +191,44 @@ class Trend:
     prior: float
 
 
+#: Genes whose means and dispersions, two numbers each, are summed in one place rather than by a job for every step.
+FEW = 1 << 20
+
+
+def _trend_sums(used: DataFrame):
+    """The sums of a gamma regression's step, over genes within ``TREND_RATIO`` of a trend: by numpy for ``FEW`` genes at most, else by Spark."""
+    if used.count() <= FEW:
+        got = used.select("base_mean", "own").toArrow()
+        x, own = 1 / got.column("base_mean").to_numpy(), got.column("own").to_numpy()
+
+        def few(now: tuple[float, float], before: tuple[float, float]) -> list:
+            off = own / (before[0] + before[1] * x)
+            kept = (off > TREND_RATIO[0]) & (off < TREND_RATIO[1])
+            w = 1 / (now[0] + now[1] * x[kept]) ** 2
+            return [w.sum(), (w * x[kept]).sum(), (w * x[kept] ** 2).sum(), (w * own[kept]).sum(), (w * x[kept] * own[kept]).sum(), own[kept].mean()] if kept.any() else [None]
+
+        return few
+
+    def many(now: tuple[float, float], before: tuple[float, float]) -> list:
+        x = 1 / F.col("base_mean")
+        off, w = F.col("own") / (before[0] + before[1] * x), 1 / F.pow(now[0] + now[1] * x, F.lit(2.0))
+        return list(used.filter((off > TREND_RATIO[0]) & (off < TREND_RATIO[1])).agg(F.sum(w), F.sum(w * x), F.sum(w * x * x), F.sum(w * F.col("own")), F.sum(w * x * F.col("own")), F.avg("own")).first())
+
+    return many
+
+
 def fit_trend(genes: DataFrame, freedom: int) -> Trend:
     """A gamma regression of dispersions on inverse means, without genes far off it, then the spread of the rest about it.
 
-    Every step is one aggregate over the genes. Where the regression leaves positive values, the mean dispersion stands in.
+    Where the regression leaves positive values, the mean dispersion stands in.
     """
     used = genes.filter(f"base_mean > 0 AND own > {100 * LEAST}")
+    sums = _trend_sums(used)
     rest, slope, flat = 0.1, 1.0, False
     for _ in range(10):  # genes that the trend leaves out, from the trend before
         before = (rest, slope)
         for _ in range(25):
-            fit = F.lit(rest) + F.lit(slope) / F.col("base_mean")
-            kept = used.withColumn("_f", fit).filter(F.col("own") / (F.lit(before[0]) + F.lit(before[1]) / F.col("base_mean")) > TREND_RATIO[0]).filter(F.col("own") / (F.lit(before[0]) + F.lit(before[1]) / F.col("base_mean")) < TREND_RATIO[1])
-            x, w = 1 / F.col("base_mean"), 1 / (F.col("_f") * F.col("_f"))
-            s = kept.agg(F.sum(w), F.sum(w * x), F.sum(w * x * x), F.sum(w * F.col("own")), F.sum(w * x * F.col("own")), F.avg("own")).first()
+            s = sums((rest, slope), before)
             if s[0] is None:
                 return Trend(1.0, 0.0, LEAST_PRIOR, LEAST_PRIOR)
             det = s[0] * s[2] - s[1] * s[1]
@@ -214,7 +238,7 @@ def fit_trend(genes: DataFrame, freedom: int) -> Trend:
                 rest, slope = float(s[5]), 0.0
                 break
             close = abs(np.log(now[0] / rest)) + abs(np.log(max(now[1], 1e-12) / max(slope, 1e-12))) < 1e-7
-            rest, slope = now
+            rest, slope = float(now[0]), float(now[1])
             if close:
                 break
         if flat or abs(np.log(rest / before[0])) + abs(np.log(max(slope, 1e-12) / max(before[1], 1e-12))) < 1e-3:

@@ -117,3 +117,15 @@ def test_designs_that_cannot_be_fitted(spark):
             cm.differential(counts, samples(groups), **options)
     with pytest.raises(Exception, match="several counts"):
         cm.differential(counts.unionByName(counts.limit(1)), samples("aabb")).collect()
+
+
+def test_trend_sums_agree_in_both_places(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    mean = rng.uniform(1, 500, 300)
+    own = (0.06 + 3 / mean) * rng.gamma(4, 0.25, 300)
+    genes = spark.createDataFrame([(float(m), float(a)) for m, a in zip(mean, own)], "base_mean double, own double")
+    few = cm.fit_trend(genes, 8)
+    monkeypatch.setattr(cm, "FEW", 10)
+    many = cm.fit_trend(genes, 8)
+    assert (few.rest, few.slope, few.scatter, few.prior) == pytest.approx((many.rest, many.slope, many.scatter, many.prior))
+    assert few.rest == pytest.approx(0.06, rel=0.3) and few.slope == pytest.approx(3, rel=0.3)
