@@ -12,7 +12,8 @@ of words seen once). So probabilities of the known words and one unknown word of
 Counts cover the corpus: blocks of documents give their distinct words, parts of the hashed vocabulary add them up and
 send every block the counts of its own words, in order of hash. Nothing that grows with the vocabulary meets in one place.
 Training is distributed: in each of ``ROUNDS`` rounds all tasks go on from the same weights, descend over their own
-documents in batches of tokens, every document in one round, and the weights are averaged by how often each row was used.
+documents in batches of tokens, every document in one round and every token with the rows of all its features, and the
+weights are averaged by how often each row was used.
 The model has a fixed size, whatever the corpus.
 
 Words go by 64-bit hashes. Null texts count as empty and are one end; a null doc_id is never held out; rows that repeat
@@ -63,13 +64,13 @@ def token_stream(data: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.nda
     at = np.arange(len(word)) + row
     size = np.bincount(row, minlength=n)
     ends = np.cumsum(size) + np.arange(n)
-    rows, hashes, tails = np.empty(len(word) + n, np.int64), np.empty(len(word) + n, np.uint64), np.zeros(len(word) + n, np.uint16)
-    rows[at], hashes[at] = row, word
-    rows[ends], hashes[ends] = np.arange(n), _END
-    letters = np.zeros(len(word), np.uint64)
+    rows, hashes, tails = np.repeat(np.arange(n), size + 1), np.empty(len(word) + n, np.uint64), np.zeros(len(word) + n, np.uint16)
+    hashes[at], hashes[ends] = word, _END
+    letters = np.zeros(len(word), np.uint32)
     for back in (1, 2, 3):
-        inside = end - back >= first
-        letters = letters * np.uint64(256) + np.where(inside, tokens._LOWER[data[np.maximum(end - back, 0)]] if len(data) else 0, 0).astype(np.uint64)
+        letters <<= np.uint32(8)
+        if len(data):
+            letters += np.take(tokens._LOWER, np.take(data, np.maximum(end - back, 0))) * (end - back >= first)
     tails[at] = tokens.mix(letters + np.uint64(1)) % np.uint64(TAILS)
     return rows, hashes, tails
 
@@ -111,8 +112,18 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
+def _distinct_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, and each hash's place among them: only the distinct are sorted."""
+    coded = pa.array(hashes).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return distinct[order], rank[coded.indices.to_numpy()]
+
+
 def _block_words(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """A block's tokens (row, place among the distinct), the distinct hashes with their shared slots, in order of hash, and the tokens' hashes."""
+    """A block's tokens (row, place among the distinct), and the distinct hashes with their shared slots, in order of hash."""
     rows, hashes, tails = [], [], []
     for a, _, data, part in slices(table.column("text")):
         r, h, t = token_stream(data, part)
@@ -120,13 +131,15 @@ def _block_words(table: pa.Table) -> tuple[np.ndarray, ...]:
         hashes.append(h)
         tails.append(t)
     rows, hashes, tails = np.concatenate(rows), np.concatenate(hashes), np.concatenate(tails)
-    distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-    return rows, place.astype(np.int32), distinct, tails[first], hashes
+    distinct, place = _distinct_of(hashes)
+    own = np.empty(len(distinct), np.uint16)
+    own[place] = tails  # a word has one
+    return rows, place, distinct, own
 
 
 def _distinct(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        rows, place, distinct, tails, _ = _block_words(table)
+        rows, place, distinct, tails = _block_words(table)
         trained = ~table.column("held_out").to_numpy()
         n = np.bincount(place[trained[rows]], minlength=len(distinct)).astype(np.uint32)
         own, starts = np.unique(_part(distinct, parts), return_index=True)
@@ -213,25 +226,36 @@ def _powers(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarr
 
 
 def _descend(weights: np.ndarray, uses: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
-    """One step along one feature's rows: by the sum of errors over the root of the row's uses so far, at most by the mean error."""
-    order = np.argsort(rows, kind="stable")
-    ranked = rows[order]
+    """One step along the rows of all features, (feature, token) or (token): by the sum of errors over the root of the row's uses so far, at most by the mean error."""
+    flat = rows.ravel()
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # 16 bits sort by digits
+    ranked = flat[order]
     at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    own = ranked[at]
-    fresh = np.diff(np.append(at, len(rows)))
-    uses[own] += fresh
-    step = np.add.reduceat(np.take(error, order, axis=0), at, axis=0)
-    step *= (RATE / np.maximum(np.sqrt(uses[own]), fresh))[:, None].astype(np.float32)
-    weights[own] = np.clip(np.take(weights, own, axis=0) - step, -BOUND, BOUND)
+    own = ranked[at].astype(np.int64)
+    fresh = np.diff(np.append(at, len(flat)))
+    used = uses[own] + fresh
+    uses[own] = used
+    token = np.tile(np.arange(len(error)), len(flat) // len(error))[order]
+    step = np.take(error, token[at], axis=0)
+    twice = np.flatnonzero(fresh > 1)
+    step[twice] += np.take(error, token[at[twice] + 1], axis=0)
+    many = fresh > 2  # only these have sums to work out
+    if many.any():
+        part = np.take(error, token[np.repeat(many, fresh)], axis=0)
+        sums = np.add.reduceat(part if part.shape[1] % 2 else part.view(np.complex64), np.cumsum(fresh[many]) - fresh[many], axis=0)  # two outcomes at a time
+        step[many] = sums.view(np.float32)
+    step *= (RATE / np.maximum(np.sqrt(used), fresh)).astype(np.float32)[:, None]
+    moved = np.take(weights, own, axis=0)
+    moved -= step
+    weights[own] = np.clip(moved, -BOUND, BOUND, out=moved)
 
 
 def _trained(shared, batch: int):
-    """Descent over a task's documents; every batch of tokens moves the rows of one feature, in turn."""
+    """Descent over a task's documents; every token of a batch moves the rows of all its features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         weights, uses = (m.class_rows.copy(), m.slot_rows.copy()), (m.class_uses.copy(), m.slot_uses.copy())
-        turn = -1
         for b in batches:
             for _, _, data, part in slices(b.column("text")):
                 rows, hashes, tails = token_stream(data, part)
@@ -239,12 +263,11 @@ def _trained(shared, batch: int):
                 for at, end, feature in chunks(rows, slot):
                     own = slot[at:end]
                     for x in range(0, end - at, batch):
-                        turn = (turn + 1) % FEATURES
                         for k, index, bias, target in m.softmaxes(feature[:, x : x + batch], own[x : x + batch]):
                             error = _powers(weights[k], index, bias)
                             error /= (error @ np.ones(error.shape[1], np.float32))[:, None]
                             error[np.arange(len(target)), target] -= 1
-                            _descend(weights[k], uses[k], index[turn], error)
+                            _descend(weights[k], uses[k], index, error)
         salt = TaskContext.get().partitionId() // 32  # the first sum takes 32 tasks, the second what is left
         for k, before in enumerate((m.class_uses, m.slot_uses)):
             here = uses[k] - before
@@ -314,7 +337,7 @@ def _vocabulary(added: DataFrame) -> Model:
 def _scored(shared):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         m = shared.value
-        rows, place, distinct, tails, hashes = _block_words(docs)
+        rows, place, distinct, tails = _block_words(docs)
         order = np.argsort(counts.column("part").to_numpy())
         payload = counts.column("counts").to_pylist()
         count = np.concatenate([np.frombuffer(payload[k], np.int64) for k in order])

@@ -116,6 +116,39 @@ def test_descent_is_the_gradient():
     assert weights == pytest.approx(np.clip(want, -m.BOUND, m.BOUND), abs=1e-4) and list(uses) == [1000 * r + (rows == r).sum() for r in range(9)]
 
 
+def test_every_token_moves_the_rows_of_all_features(spark):
+    """One batch of descent, against a loop over its tokens."""
+    from cytolake.llm import maxent_lm as m
+
+    texts = ["a b a c d a b", "b a b a", "a"]
+    zeros = lambda: (np.zeros((1 << m.CLASS_BITS, m.CLASSES), np.float32), np.zeros((1 << m.SLOT_BITS, m.SLOTS), np.float32), np.zeros(1 << m.CLASS_BITS), np.zeros(1 << m.SLOT_BITS))
+    biases = np.zeros(m.CLASSES, np.float32), np.zeros((m.CLASSES, m.SLOTS), np.float32)
+    model = m.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), 15, 5, np.zeros(m.TAILS, np.int64), np.zeros(m.TAILS, np.int64), *biases, *zeros())
+    data, parts = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    rows, hashes, tails = m.token_stream(data, parts)
+    feature, slot = m.features(rows, model.slots(hashes, tails)), model.slots(hashes, tails)
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean").coalesce(1)
+    got = m.fit(spark, docs, model, rounds=1)
+    for k, index, _, target in got.softmaxes(feature, slot):
+        weights, uses = ((got.class_rows, got.class_uses), (got.slot_rows, got.slot_uses))[k]
+        step, count = np.zeros_like(weights), np.zeros_like(uses)
+        for t in range(len(rows)):
+            for f in range(m.FEATURES):
+                step[index[f, t]] += 1 / weights.shape[1] - (np.arange(weights.shape[1]) == target[t])
+                count[index[f, t]] += 1
+        assert list(uses) == list(count) and count.sum() == m.FEATURES * len(rows)
+        assert weights == pytest.approx(-m.RATE * step / np.maximum(count, 1)[:, None], abs=1e-5)
+
+
+def test_distinct_hashes():
+    from cytolake.llm import maxent_lm as m
+
+    hashes = np.random.default_rng(6).integers(0, 1 << 64, 300, np.uint64)[np.random.default_rng(7).integers(0, 300, 2000)]
+    distinct, place = m._distinct_of(hashes)
+    assert list(distinct) == sorted(set(hashes.tolist())) and np.array_equal(distinct[place], hashes)
+    assert [len(x) for x in m._distinct_of(hashes[:0])] == [0, 0]
+
+
 def test_held_out_texts_are_not_learned(spark):
     from cytolake.llm import maxent_lm as m
 
