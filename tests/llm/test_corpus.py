@@ -374,6 +374,24 @@ def test_compact_windows_are_cartesian_nodes():
     assert {tuple(map(int, z)) for z in zip(*compact_windows(row, x, t)[:4])} == want
 
 
+def test_regions_and_nearest_smaller():
+    """Covered stretches against a count at every token, smaller values before against a walk back, and the Jaccard similarity of sets."""
+    from cytolake.llm import substring_dedup as s
+
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(1, 30))
+        left, k, t, agree = rng.integers(0, 150, n), rng.integers(0, 4, n), int(rng.integers(1, 30)), int(rng.integers(1, 4))
+        right = left + rng.integers(0, 60, n)
+        covered = [len({int(f) for a, b, f in zip(left, right, k) if a <= x <= b}) >= agree for x in range(220)]
+        runs = [(key, list(g)) for key, g in itertools.groupby(range(220), lambda x: covered[x])]
+        assert s._regions(left, right, k, t, agree) == [(g[0], g[-1]) for key, g in runs if key and len(g) >= t]
+        rows, values = np.sort(rng.integers(0, 4, n)), rng.integers(0, rng.choice([1, 4, 99]), n).astype(np.uint64)
+        assert list(s._nearest_smaller(rows, values)) == [max((j for j in range(i) if rows[j] == rows[i] and values[j] < values[i]), default=-1) for i in range(n)]
+        u, v = set(values.tolist()), set(k.tolist())
+        assert s._jaccard(s._distinct(values), s._distinct(k.astype(np.uint64))) == len(u & v) / len(u | v)
+
+
 def rolling_chunks(lines, hashes, window=2, divisor=3):
     """A text's chunks, with boundaries worked out here from the lines' hashes."""
     mask, out, run = (1 << 64) - 1, [], []
