@@ -61,10 +61,14 @@ def normalize_counts(counts: DataFrame, intervals: DataFrame, method: str = "tpm
 
 
 def size_factors(counts: DataFrame) -> DataFrame:
-    """Median of ratios to the geometric mean, over genes with a count above 0 in every sample; a missing row is a zero."""
+    """Median of ratios to the geometric mean, over genes with a count above 0 in every sample; a missing row is a zero.
+
+    Logs are summed as decimals, whose sum does not hang on the order of rows: the quantiles read the ratios several
+    times, and each reading has to give the same ones.
+    """
     logs = counts.filter("value > 0").select("gene", "sample", F.ln("value").alias("_log"))
     all_ = counts.agg(F.countDistinct("sample").alias("_all"))
-    whole = logs.groupBy("gene").agg(F.count(F.lit(1)).alias("_n"), F.avg("_log").alias("_mean")).crossJoin(F.broadcast(all_)).filter("_n = _all")  # one row
+    whole = logs.groupBy("gene").agg(F.count(F.lit(1)).alias("_n"), (F.sum(F.col("_log").cast("decimal(28,18)")).cast("double") / F.count(F.lit(1))).alias("_mean")).crossJoin(F.broadcast(all_)).filter("_n = _all")  # one row
     ratios = logs.join(whole.select("gene", "_mean"), "gene").select("sample", F.exp(F.col("_log") - F.col("_mean")).alias("_ratio"))
     return quantiles(ratios, ["sample"], "_ratio", {"size_factor": 0.5})
 

@@ -630,3 +630,16 @@ def test_conditional_odds_ratio(spark):
         w = np.array([math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in k.tolist()]) * psi**k
         assert (w * k).sum() / w.sum() == pytest.approx(a, abs=1e-8)
     assert got[2] == 0 and got[3] == math.inf and got[4] is None and got[5] == pytest.approx(2e6 * 3e6 / 1.5e6 / 1e6, rel=1e-5)
+
+
+def test_size_factors_whatever_the_order_of_rows(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 400, (40, 25))
+    data = [(f"g{g}c{c}", f"s{s}", float(base[g, s])) for c in range(4) for g in range(40) for s in rng.permutation(25)]
+    got = set()
+    for turn in range(4):
+        df = spark.createDataFrame([data[i] for i in rng.permutation(len(data))], "gene string, sample string, value double").repartition(3 + turn)
+        got.add(tuple(sorted((r.sample, r.size_factor) for r in expression.size_factors(df).collect())))
+    ratios = np.log(base) - np.log(base).mean(axis=1, keepdims=True)
+    assert len(got) == 1  # bit by bit
+    assert dict(got.pop()) == pytest.approx({f"s{s}": np.median(np.exp(np.repeat(ratios[:, s], 4))) for s in range(25)}, rel=1e-6)
